@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagemill.functions.numbers import whole
+from pagemill.functions.numbers import let, whole
 
 
 def x_of(corners: Column, i: int | Column) -> Column:
@@ -53,13 +53,15 @@ def other_indices(indices: Column) -> Column:
 
 def ordered(corners: Column) -> Column:
     """Four points as top-left, top-right, bottom-right, bottom-left; null for any other count."""
-    indices = corner_indices(corners)
-    rest = other_indices(indices)
-    a, b = F.get(rest, F.lit(0)), F.get(rest, F.lit(1))
-    first_is_right = x_of(corners, a) > x_of(corners, b)
-    right, left = F.when(first_is_right, a).otherwise(b), F.when(first_is_right, b).otherwise(a)
-    points = [indices["top_left"], right, indices["bottom_right"], left]
-    return F.when(F.size(corners) == 4, F.array(*[F.get(corners, i) for i in points]))
+
+    def place(c: Column, ends: Column, rest: Column) -> Column:
+        a, b = F.get(rest, F.lit(0)), F.get(rest, F.lit(1))
+        first_is_right = x_of(c, a) > x_of(c, b)
+        right, left = F.when(first_is_right, a).otherwise(b), F.when(first_is_right, b).otherwise(a)
+        return F.array(*[F.get(c, i) for i in (ends["top_left"], right, ends["bottom_right"], left)])
+
+    placed = let(corners, lambda c: let(corner_indices(c), lambda ends: let(other_indices(ends), lambda rest: place(c, ends, rest))))
+    return F.when(F.size(corners) == 4, placed)
 
 
 def scaled(corners: Column, width: Column, height: Column) -> Column:

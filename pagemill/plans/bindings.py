@@ -256,7 +256,7 @@ page_angles AS (SELECT {_GEOMETRY_SQL} FROM lineitem)"""
 # Corner lists: seventh lines have none, sixth three points, fifth relative coordinates, fourth near the whole
 # page when the part is even and five points when odd.
 _X = ["l_partkey % 200", "700 + l_partkey % 300", "700 + l_suppkey % 300", "l_orderkey % 200"]
-_Y = ["l_suppkey % 200", "l_orderkey % 200", "900 + l_partkey % 400", "900 + l_suppkey % 400"]
+_Y = ["115 + (l_suppkey * 7) % 200", "115 + l_orderkey % 200", "900 + l_partkey % 400", "900 + l_suppkey % 400"]
 _POINTS = [(f"CAST({x} AS DOUBLE)", f"CAST({y} AS DOUBLE)") for x, y in zip(_X, _Y)]
 _RELATIVE = [(f"CAST({x} AS DOUBLE) / 1200", f"CAST({y} AS DOUBLE) / 1500") for x, y in zip(_X, _Y)]
 _WIDE = [("CAST(0 AS DOUBLE)", "CAST(l_partkey % 9 AS DOUBLE)"), ("CAST(1199 AS DOUBLE)", "CAST(3 AS DOUBLE)"),

@@ -84,7 +84,7 @@ sums AS (SELECT *, [corners[1][1] + corners[1][2], corners[2][1] + corners[2][2]
          FROM page_detections),
 ends AS (SELECT *, list_position(s, list_min(s)) AS tl, list_position(s, list_max(s)) AS br FROM sums),
 rest AS (SELECT *, list_filter([1, 2, 3, 4], lambda i: i <> tl AND i <> br) AS others FROM ends),
-turned AS (SELECT *, CASE WHEN len(corners) <> 4 THEN NULL
+turned AS (SELECT *, CASE WHEN len(corners) IS DISTINCT FROM 4 THEN NULL
         WHEN corners[others[1]][1] > corners[others[2]][1] THEN [corners[tl], corners[others[1]], corners[br], corners[others[2]]]
         ELSE [corners[tl], corners[others[2]], corners[br], corners[others[1]]] END AS quad FROM rest)"""
 QUERIES["ordered_quads"] = ordered_quads
@@ -110,7 +110,7 @@ ORACLE["other_corners"] = B.sql(
 def polygon_shares(s, d):
     pages = B.page_detections(s, d).where(F.size("corners") >= 4)
     pixels = quads.scaled(F.col("corners"), F.col("width"), F.col("height"))
-    return pages.select(*DETECTION_KEYS, rounded(quads.area(pixels) / (F.col("width") * F.col("height"))).alias("area_ratio"))
+    return pages.select(*DETECTION_KEYS, (quads.area(pixels) / (F.col("width") * F.col("height"))).alias("area_ratio"))
 
 
 _AREA = """
@@ -121,7 +121,7 @@ areas AS (SELECT * EXCLUDE (t), abs(list_sum(list_transform(range(1, len(t) + 1)
         t[i][1] * t[CASE WHEN i = len(t) THEN 1 ELSE i + 1 END][2] - t[CASE WHEN i = len(t) THEN 1 ELSE i + 1 END][1] * t[i][2]))) / 2
         / (width * height) AS area_share FROM truncated)"""
 QUERIES["polygon_shares"] = polygon_shares
-ORACLE["polygon_shares"] = B.sql(f"SELECT {', '.join(DETECTION_KEYS)}, round(area_share, 6) AS area_ratio FROM areas WHERE len(corners) >= 4",
+ORACLE["polygon_shares"] = B.sql(f"SELECT {', '.join(DETECTION_KEYS)}, area_share AS area_ratio FROM areas WHERE len(corners) >= 4",
                                  B.PAGE_DETECTIONS, _AREA)
 
 # P11, P12, P13
@@ -135,10 +135,10 @@ decided AS (SELECT *, CASE WHEN capture_type = 'SCAN' THEN 'skipped_scan' WHEN c
     WHEN quad IS NULL THEN 'error' WHEN least(m_top, m_bottom, m_left, m_right) < 8 THEN 'rejected_overcrop' ELSE 'cropped' END AS crop_status
     FROM sides)"""
 QUERIES["crop_decisions"] = lambda s, d: G.crop_decisions(B.page_detections(s, d)).select(
-    *DETECTION_KEYS, "crop_status", "crop_applied", rounded(F.col("area_ratio")).alias("area_ratio"))
+    *DETECTION_KEYS, "crop_status", "crop_applied", "area_ratio")
 ORACLE["crop_decisions"] = B.sql(f"""
 SELECT {', '.join(DETECTION_KEYS)}, crop_status, crop_status = 'cropped' AS crop_applied,
-       CASE WHEN crop_status IN ('already_cropped', 'rejected_overcrop', 'cropped', 'error') THEN round(area_share, 6) ELSE 1 END AS area_ratio
+       CASE WHEN crop_status IN ('already_cropped', 'rejected_overcrop', 'cropped', 'error') THEN area_share ELSE 1 END AS area_ratio
 FROM decided""", B.PAGE_DETECTIONS, _DECIDED)
 QUERIES["crop_margins"] = lambda s, d: G.crop_decisions(B.page_detections(s, d)).where("margins IS NOT NULL").select(
     *DETECTION_KEYS, *[rounded(F.col(f"margins.{e}")).alias(e) for e in quads.EDGES])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["lines", "geometry"]
+MODULES = ["lines", "geometry", "quality"]
 
 
 def _collect(attribute: str) -> dict:
