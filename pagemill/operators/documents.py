@@ -27,7 +27,7 @@ def page_numbers(documents: DataFrame, count: str = "num_pages", keep: list[str]
     spread = blocks.repartition(*keep, "_block")
     first = F.col("_block") * BLOCK
     last = F.least(first + BLOCK, F.col("total_pages")) - 1
-    return spread.select(*keep, "total_pages", F.explode(F.sequence(first, last)).cast("bigint").alias("page_index"))
+    return spread.select(*keep, "total_pages", F.explode(F.sequence(first.cast("bigint"), last.cast("bigint"))).alias("page_index"))
 
 
 def named_pages(documents: DataFrame, path: str = "path", count: str = "num_pages") -> DataFrame:

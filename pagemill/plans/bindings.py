@@ -433,18 +433,18 @@ label_mapping AS (SELECT t.file_name, CASE WHEN l.quality = 1 THEN 'good' ELSE '
 
 
 def page_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Maps of at most 64 pages each, so that no map grows with its document."""
+    """Maps of at most 64 pages each, so that no map grows with its document; every ninth document has none."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return turns.groupBy(F.col("conv_id").alias("document_id"), F.expr("turn div 64").alias("block")).agg(
-        F.expr("map_from_entries(collect_list(named_struct('k', turn, 'v', array(text))) FILTER (WHERE turn % 3 <> 0))").alias("lines"),
-        F.expr("map_from_entries(collect_list(named_struct('k', turn, 'v', concat('err ', CAST(turn AS STRING)))) FILTER (WHERE turn % 4 = 0))").alias("errors"),
+        F.expr("map_from_entries(collect_list(named_struct('k', turn, 'v', array(text))) FILTER (WHERE turn % 3 <> 0 AND conv_id % 9 <> 8))").alias("lines"),
+        F.expr("map_from_entries(collect_list(named_struct('k', turn, 'v', concat('err ', CAST(turn AS STRING)))) FILTER (WHERE turn % 4 = 0 AND conv_id % 9 <> 8))").alias("errors"),
     )
 
 
 PAGE_MAPS = """
-map_lines AS (SELECT conv_id AS document_id, turn AS page_index, text FROM conversations WHERE turn % 3 <> 0),
+map_lines AS (SELECT conv_id AS document_id, turn AS page_index, text FROM conversations WHERE turn % 3 <> 0 AND conv_id % 9 <> 8),
 map_errors AS (SELECT conv_id AS document_id, turn AS page_index, concat('err ', turn) AS error
-               FROM conversations WHERE turn % 4 = 0)"""
+               FROM conversations WHERE turn % 4 = 0 AND conv_id % 9 <> 8)"""
 
 # --- monitoring -------------------------------------------------------------------------------------
 

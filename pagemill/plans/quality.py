@@ -8,6 +8,7 @@ from pagemill.functions.numbers import rounded
 from pagemill.operators import quality as Q
 from pagemill.plans import bindings as B
 from pagemill.sinks import tables as K
+from pagemill.sources.records import FLAG_SCHEMA
 
 QUERIES, ORACLE = {}, {}
 KEYS = ["batch", "page_key", "part_key", "line_key"]
@@ -112,7 +113,20 @@ SELECT {KEY_SQL}, CASE WHEN orientation_confidence >= 0.7::DOUBLE THEN 'good' WH
 FROM flags""", B.PAGE_MEASURES, FLAGS)
 
 # K1
-QUERIES["page_records"] = lambda s, d: K.page_records(flags(s, d), KEYS)
+def page_records(s, d):
+    """The JSON records, read back with the sidecar schema."""
+    back = K.page_records(flags(s, d), KEYS).withColumn("r", F.from_json("record", FLAG_SCHEMA))
+    return back.select(
+        *KEYS, *[f"r.{n}" for n in Q.WARNINGS], "r.rotated", "r.orientation_confidence", "r.deskew_angle", "r.capture_type",
+        F.size("r.crop_margins").cast("bigint").alias("margins"), F.col("r.crop_margins")["top"].alias("margin_top"),
+        F.get("r.final_resolution", F.lit(0)).cast("bigint").alias("final_width"), "r.capture_white_percentage")
+
+
+QUERIES["page_records"] = page_records
+ORACLE["page_records"] = B.sql(f"""
+SELECT {KEY_SQL}, {', '.join(Q.WARNINGS)}, rotated, orientation_confidence, deskew_angle, capture_type,
+  CASE WHEN crop_status = 'cropped' THEN 4 ELSE 0 END AS margins, CASE WHEN crop_status = 'cropped' THEN margin_top END AS margin_top,
+  final_width, white_fraction AS capture_white_percentage FROM flags""", B.PAGE_MEASURES, FLAGS)
 
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["lines", "geometry", "quality"]
+MODULES = ["documents", "scoring", "training"]
 
 
 def _collect(attribute: str) -> dict:
