@@ -23,8 +23,8 @@ def fixed_class(rows: DataFrame, prediction: str = "prediction") -> DataFrame:
 
 def class_names(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """Name of the predicted class; the index as text when the class list does not know it."""
-    named = rows.join(classes.select("class_index", "class_name"), "class_index", "left")
-    return named.withColumn("document_type", F.coalesce("class_name", F.col("class_index").cast("string"))).drop("class_name")
+    named = rows.join(classes.select("class_index", F.col("class_name").alias("_name")), "class_index", "left")
+    return named.withColumn("document_type", F.coalesce("_name", F.col("class_index").cast("string"))).drop("_name")
 
 
 def reject_unsure(rows: DataFrame, p: Params = Params()) -> DataFrame:

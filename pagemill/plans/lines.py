@@ -124,14 +124,14 @@ ORACLE["line_features"] = B.sql(
 
 
 # M3
-def _page_list(s, d):
+def page_list(s, d):
     docs = B.table(s, d, "documents").select("doc_id", F.size(F.split("text", "\n")).alias("n"))
     last = F.expr("(n - 1) div 40")
     return docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("page_index"))
 
 
 def page_vectors(s, d):
-    vectors = V.document_vectors(B.line_vectors(s, d), _page_list(s, d), B.VECTOR_DIM)
+    vectors = V.document_vectors(B.line_vectors(s, d), page_list(s, d), B.VECTOR_DIM)
     return _wide(vectors, ["doc_id", "page_index"], D)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["documents", "scoring", "training"]
+MODULES = ["documents", "files", "monitoring", "training"]
 
 
 def _collect(attribute: str) -> dict:
