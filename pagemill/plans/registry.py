@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["documents", "files", "monitoring", "training"]
+MODULES = ["lines", "geometry", "quality", "documents", "failures", "scoring", "training", "files", "monitoring", "streams"]
 
 
 def _collect(attribute: str) -> dict:

@@ -17,5 +17,6 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int = FILES_
     """The events table as a stream, with ``ts`` as an instant (watermarks need one)."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    raw = read_stream(spark, path, schema, files_per_batch=files_per_batch)
+    # The pattern matches the table as one file and as a folder of part files.
+    raw = read_stream(spark, f"{sf_dir}/events.parque[t]", schema, files_per_batch=files_per_batch)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("ts_us", F.unix_micros("ts"))
