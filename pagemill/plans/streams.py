@@ -16,6 +16,7 @@ from pagemill.sources.streams import event_stream
 from pagemill.streaming import documents as SD
 from pagemill.streaming import rates as SR
 from pagemill.streaming.retries import start_retries
+from pagemill.streaming.tasks import task_states
 from pagemill.streaming.runner import drain, newest, stream_session
 
 QUERIES, ORACLE = {}, {}
@@ -54,6 +55,14 @@ def stream_fan_in(s, d):
 
 
 QUERIES["stream_fan_in"] = stream_fan_in
+# All rows are available at the start, so every result arrives before its document's deadline fires.
+ORACLE["stream_fan_in"] = B.sql("""
+SELECT document_id, num_pages, good AS successful_pages, num_pages - good AS failed_pages, num_pages - pages AS missing_count,
+  pages < num_pages AS timeout_reached, first_ms, last_ms,
+  CASE WHEN good = num_pages THEN 'success' WHEN good = 0 THEN 'error' ELSE 'partial_success' END AS status
+FROM (SELECT document_id, 20 + document_id % 3 AS num_pages, count(*) AS pages, count(*) FILTER (WHERE error IS NULL) AS good FROM latest GROUP BY 1)
+JOIN (SELECT document_id, min(ts_us // 1000) AS first_ms, max(ts_us // 1000) AS last_ms FROM page_results GROUP BY 1) USING (document_id)""",
+    B.PAGE_RESULTS, D.LATEST)
 
 
 # T4
@@ -115,3 +124,14 @@ def stream_retries(s, d):
 
 QUERIES["stream_retries"] = stream_retries
 ORACLE["stream_retries"] = M.ORACLE["retry_split"]
+
+
+# T10
+def stream_task_states(s, d):
+    exprs, _ = B._dual(B._TASK)
+    events = _events(s, d).selectExpr(*[e.replace("VARCHAR(20)", "STRING") for e in exprs], "ts_us")
+    return newest(drain(s, "tasks", task_states(events)), ["task_id"])
+
+
+QUERIES["stream_task_states"] = stream_task_states
+ORACLE["stream_task_states"] = M.ORACLE["task_states"]
