@@ -6,15 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once per row, however often the body names it.
-
-    Filters on derived columns are pushed down as copies of their expressions; binding the inner steps
-    keeps such copies as long as the rule itself instead of multiplying with every step.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def whole(value: Column) -> Column:
     """Truncate toward zero."""
     return value.cast("bigint")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.numbers import let, whole
+from pagemill.functions.frames import once
+from pagemill.functions.numbers import whole
 
 
 def x_of(corners: Column, i: int | Column) -> Column:
@@ -24,7 +25,9 @@ def y_of(corners: Column, i: int | Column) -> Column:
 
 def all_points(corners: Column) -> Column:
     """True when every entry has at least two coordinates."""
-    return F.forall(corners, lambda c: F.coalesce(F.size(c) >= 2, F.lit(False)))
+    four = reduce(lambda a, b: a & b, [F.coalesce(F.size(F.get(corners, F.lit(i))) >= 2, F.lit(False)) for i in range(4)])
+    many = F.forall(corners, lambda c: F.coalesce(F.size(c) >= 2, F.lit(False)))
+    return F.when(F.size(corners) == 4, four).otherwise(many)
 
 
 def bounding_box(corners: Column) -> Column:
@@ -33,46 +36,60 @@ def bounding_box(corners: Column) -> Column:
     return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
-def corner_indices(corners: Column) -> Column:
-    """Indices (top-left, bottom-right) of four points: smallest and largest x + y, first one on ties."""
-    sums = [x_of(corners, i) + y_of(corners, i) for i in range(4)]
-    low, high = F.least(*sums), F.greatest(*sums)
+def four_points(rows: DataFrame, corners: str = "corners") -> DataFrame:
+    """Adds the coordinates of four-corner lists as plain columns ``_x0`` .. ``_y3`` (null for other counts)."""
+    usable = F.size(corners) == 4
+    axes = {"_x": x_of, "_y": y_of}
+    return once(rows, {f"{n}{i}": F.when(usable, axis(F.col(corners), i)) for i in range(4) for n, axis in axes.items()})
+
+
+def corner_indices(rows: DataFrame) -> DataFrame:
+    """Adds the positions of top-left and bottom-right (smallest and largest x + y, first one on ties) and of
+    the other two corners in ascending order; expects ``four_points``."""
+    sums = once(rows, {f"_s{i}": F.col(f"_x{i}") + F.col(f"_y{i}") for i in range(4)})
+    s = [F.col(f"_s{i}") for i in range(4)]
 
     def first(target: Column) -> Column:
-        return F.when(sums[0] == target, 0).when(sums[1] == target, 1).when(sums[2] == target, 2).otherwise(3)
+        return F.when(s[0] == target, 0).when(s[1] == target, 1).when(s[2] == target, 2).when(s[3] == target, 3)
 
-    return F.struct(first(low).alias("top_left"), first(high).alias("bottom_right"))
+    ends = once(sums, {"_tl": first(F.least(*s)), "_br": first(F.greatest(*s))})
+    rest = F.array_except(F.array(*[F.lit(i) for i in range(4)]), F.array("_tl", "_br"))
+    return once(ends, {"_a": F.when(F.col("_tl").isNotNull(), F.get(rest, F.lit(0))),
+                       "_b": F.when(F.col("_tl").isNotNull(), F.get(rest, F.lit(1)))}).drop(*[f"_s{i}" for i in range(4)])
 
 
-def other_indices(indices: Column) -> Column:
-    """The corner positions that are neither top-left nor bottom-right, ascending."""
-    return F.array_except(
-        F.array(*[F.lit(i) for i in range(4)]), F.array(indices["top_left"], indices["bottom_right"])
-    )
+def ordered(rows: DataFrame, name: str = "quad") -> DataFrame:
+    """Adds the points as top-left, top-right, bottom-right, bottom-left; expects ``corner_indices``."""
+    xs = F.array(*[f"_x{i}" for i in range(4)])
+    points = F.array(*[F.array(f"_x{i}", f"_y{i}") for i in range(4)])
+    first_is_right = F.get(xs, F.col("_a")) > F.get(xs, F.col("_b"))
+    sides = once(rows, {"_r": F.when(first_is_right, F.col("_a")).otherwise(F.col("_b")),
+                        "_l": F.when(first_is_right, F.col("_b")).otherwise(F.col("_a"))})
+    quad = F.array(*[F.get(points, F.col(i)) for i in ("_tl", "_r", "_br", "_l")])
+    return once(sides, {name: F.when(F.col("_tl").isNotNull(), quad)}).drop("_r", "_l")
 
 
-def ordered(corners: Column) -> Column:
-    """Four points as top-left, top-right, bottom-right, bottom-left; null for any other count."""
+POINT_COLUMNS = [f"_{a}{i}" for i in range(4) for a in "xy"] + ["_tl", "_br", "_a", "_b"]
 
-    def place(c: Column, ends: Column, rest: Column) -> Column:
-        a, b = F.get(rest, F.lit(0)), F.get(rest, F.lit(1))
-        first_is_right = x_of(c, a) > x_of(c, b)
-        right, left = F.when(first_is_right, a).otherwise(b), F.when(first_is_right, b).otherwise(a)
-        return F.array(*[F.get(c, i) for i in (ends["top_left"], right, ends["bottom_right"], left)])
 
-    placed = let(corners, lambda c: let(corner_indices(c), lambda ends: let(other_indices(ends), lambda rest: place(c, ends, rest))))
-    return F.when(F.size(corners) == 4, placed)
+def quad_area() -> Column:
+    """Area of the four points over truncated coordinates; expects ``four_points``."""
+    x = [whole(F.col(f"_x{i}")) for i in range(4)]
+    y = [whole(F.col(f"_y{i}")) for i in range(4)]
+    doubled = reduce(lambda t, i: t + x[i] * y[(i + 1) % 4] - x[(i + 1) % 4] * y[i], range(4), F.lit(0).cast("bigint"))
+    return F.abs(doubled).cast("double") / 2
 
 
 def scaled(corners: Column, width: Column, height: Column) -> Column:
     """Relative coordinates (none above 1) become pixels; pixels stay."""
     top = F.array_max(F.flatten(corners))
-    pixels = F.transform(corners, lambda c: F.array(F.get(c, F.lit(0)) * width, F.get(c, F.lit(1)) * height))
-    return F.when(top <= 1.0, pixels).otherwise(corners)
+    four = F.array(*[F.array(x_of(corners, i) * width, y_of(corners, i) * height) for i in range(4)])
+    many = F.transform(corners, lambda c: F.array(F.get(c, F.lit(0)) * width, F.get(c, F.lit(1)) * height))
+    return F.when(top <= 1.0, F.when(F.size(corners) == 4, four).otherwise(many)).otherwise(corners)
 
 
 def area(corners: Column) -> Column:
-    """Area of the polygon over truncated coordinates."""
+    """Area of a polygon with any number of points over truncated coordinates."""
     count = F.size(corners)
 
     def cross(point: Column, i: Column) -> Column:
@@ -90,14 +107,16 @@ EDGES = ("top", "bottom", "left", "right")
 
 
 def edge_margins(corners: Column, width: Column, height: Column) -> Column:
-    """Distance of the box from each page edge, in percent."""
-    xs = F.transform(corners, lambda c: F.get(c, F.lit(0)))
-    ys = F.transform(corners, lambda c: F.get(c, F.lit(1)))
+    """Distance of the box of four points from each page edge, in percent."""
+    return margins_of([x_of(corners, i) for i in range(4)], [y_of(corners, i) for i in range(4)], width, height)
+
+
+def margins_of(xs: list[Column], ys: list[Column], width: Column, height: Column) -> Column:
     return F.struct(
-        (F.array_min(ys) / height * 100).alias("top"),
-        ((height - F.array_max(ys)) / height * 100).alias("bottom"),
-        (F.array_min(xs) / width * 100).alias("left"),
-        ((width - F.array_max(xs)) / width * 100).alias("right"),
+        (F.least(*ys) / height * 100).alias("top"),
+        ((height - F.greatest(*ys)) / height * 100).alias("bottom"),
+        (F.least(*xs) / width * 100).alias("left"),
+        ((width - F.greatest(*xs)) / width * 100).alias("right"),
     )
 
 

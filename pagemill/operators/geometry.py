@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions import quads
-from pagemill.functions.numbers import clamp, first_max_index, let, ratio, softmax, whole
+from pagemill.functions.frames import once
+from pagemill.functions.numbers import clamp, first_max_index, ratio, softmax, whole
 from pagemill.params import Params
 
 RIGHT_ANGLES = (0, 90, 180, 270)
@@ -51,45 +52,40 @@ def crop_decisions(pages: DataFrame, p: Params = Params()) -> DataFrame:
 
     Expects corners (null or empty: nothing detected), capture_type, width and height.
     """
-    count = F.size("corners")
-    well_formed = quads.all_points(F.col("corners"))
     width, height = F.col("width"), F.col("height")
-
-    def measure(pixels: Column) -> Column:
-        # Margins come from the box of the points, which does not depend on their order.
-        return F.struct(
-            (quads.area(pixels) / (width * height).cast("double")).alias("share"),
-            quads.ordered(pixels).alias("quad"),
-            F.when(F.size(pixels) == 4, quads.edge_margins(pixels, width, height)).alias("margins"),
-        )
-
-    def decide(m: Column) -> Column:
-        return (
-            F.when(F.lit(not p.crop_enabled), "skipped")
-            .when((F.col("capture_type") == "SCAN") & F.lit(p.skip_crop_if_scan), "skipped_scan")
-            .when(F.col("corners").isNull() | (count == 0), "no_detection")
-            .when(count < 4, "invalid_geometry")
-            .when(~well_formed, "error")
-            .when(m["share"] > p.crop_max_area_ratio, "already_cropped")
-            .when(m["quad"].isNull(), "error")
-            .when(quads.smallest(m["margins"]) < p.crop_min_margin_ratio * 100, "rejected_overcrop")
-            .otherwise("cropped")
-        )
-
-    pixels = F.when((count >= 4) & well_formed, quads.scaled(F.col("corners"), width, height))
-    crop = let(let(pixels, measure), lambda m: F.struct(decide(m).alias("status"), m.alias("m")))
-    decided = pages.withColumn("_crop", crop)
-    status, share = F.col("_crop.status"), F.col("_crop.m.share")
-    applied = status == "cropped"
-    measured = status.isin("already_cropped", "rejected_overcrop", "cropped", "error") & share.isNotNull()
+    count = F.size("corners")
+    usable = (count >= 4) & quads.all_points(F.col("corners"))
+    pixels = once(pages, {"_pixels": F.when(usable, quads.scaled(F.col("corners"), width, height))})
+    placed = quads.ordered(quads.corner_indices(quads.four_points(pixels, "_pixels")), "_quad")
+    area = F.when(F.size("_pixels") == 4, quads.quad_area()).otherwise(quads.area(F.col("_pixels")))
+    # Margins come from the box of the points, which does not depend on their order.
+    margins = quads.margins_of([F.col(f"_x{i}") for i in range(4)], [F.col(f"_y{i}") for i in range(4)], width, height)
+    measured = once(placed, {
+        "_share": F.when(F.col("_pixels").isNotNull(), area / (width * height).cast("double")),
+        "_margins": F.when(F.col("_quad").isNotNull(), margins),
+    })
+    status = (
+        F.when(F.lit(not p.crop_enabled), "skipped")
+        .when((F.col("capture_type") == "SCAN") & F.lit(p.skip_crop_if_scan), "skipped_scan")
+        .when(F.col("corners").isNull() | (count == 0), "no_detection")
+        .when(count < 4, "invalid_geometry")
+        .when(F.col("_pixels").isNull(), "error")
+        .when(F.col("_share") > p.crop_max_area_ratio, "already_cropped")
+        .when(F.col("_quad").isNull(), "error")
+        .when(quads.smallest(F.col("_margins")) < p.crop_min_margin_ratio * 100, "rejected_overcrop")
+        .otherwise("cropped")
+    )
+    decided = once(measured, {"crop_status": status})
+    state = F.col("crop_status")
+    applied = state == "cropped"
+    judged = state.isin("already_cropped", "rejected_overcrop", "cropped", "error") & F.col("_share").isNotNull()
     return decided.withColumns({
-        "crop_status": status,
         "crop_applied": applied,
-        "area_ratio": F.when(measured, share).otherwise(1.0),
-        "margins": F.when(status.isin("rejected_overcrop", "cropped"), F.col("_crop.m.margins")),
-        "source_points": F.when(applied, F.col("_crop.m.quad")),
-        "output_size": F.when(applied, let(F.col("_crop.m.quad"), quads.output_size)),
-    }).drop("_crop")
+        "area_ratio": F.when(judged, F.col("_share")).otherwise(1.0),
+        "margins": F.when(state.isin("rejected_overcrop", "cropped"), F.col("_margins")),
+        "source_points": F.when(applied, F.col("_quad")),
+        "output_size": F.when(applied, quads.output_size(F.col("_quad"))),
+    }).drop("_pixels", "_quad", "_share", "_margins", *quads.POINT_COLUMNS)
 
 
 def deskew_decisions(pages: DataFrame, p: Params = Params(), called: bool = False) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.frames import once
+
 
 def sorted_transforms(transforms: Column) -> Column:
     """Stable order: by ``order``, then by place in the log; a missing order counts 0."""
@@ -49,15 +51,15 @@ def _step(s: Column, t: Column) -> Column:
 
 def replay(pages: DataFrame, points: str = "corners", transforms: str = "transforms", width: str = "width", height: str = "height") -> DataFrame:
     """Fold the ordered transforms of each page over its points; adds ``moved`` (points) and the final size."""
-    ordered = pages.withColumn("_t", sorted_transforms(F.col(transforms)))
+    ordered = once(pages, {"_t": sorted_transforms(F.col(transforms))})
 
     def fold(point: Column) -> Column:
         start = _state(F.get(point, F.lit(0)), F.get(point, F.lit(1)), F.col(width), F.col(height))
         return F.aggregate("_t", start, _step)
 
-    folded = ordered.withColumn("_s", F.transform(points, fold))
+    folded = once(ordered, {"_s": F.transform(points, fold)})
     last = F.get("_s", F.lit(0))
-    return folded.withColumns({
+    return once(folded, {
         "moved": F.transform("_s", lambda s: F.array(s["x"], s["y"])),
         "final_width": last["w"], "final_height": last["h"],
     }).drop("_t", "_s")

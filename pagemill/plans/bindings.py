@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A provided table. ``spread`` is for work that is heavy per row: a table stored in fewer splits than there
+    are cores (one small file) is dealt out over them first. Tables of many splits are read as they are."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if spread and rows.rdd.getNumPartitions() * 2 <= cores else rows
 
 
 def _dual(columns: dict[str, str]) -> tuple[list[str], str]:
@@ -33,7 +37,7 @@ _LINE_EXPRS, _LINE_SQL = _dual(_LINE)
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     return lines.selectExpr(*_LINE_EXPRS, "CAST(line_no div 40 AS BIGINT) AS page_index")
 
@@ -276,7 +280,7 @@ def _corners(make: str) -> str:
 
 
 def page_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return table(spark, sf_dir, "lineitem", spread=True).selectExpr(
         "l_orderkey AS page_key", "l_linenumber AS line_key", "l_partkey AS part_key", "l_suppkey AS supp_key",
         "CASE WHEN l_orderkey % 6 = 0 THEN 'SCAN' ELSE 'PHOTO' END AS capture_type",
         f"{_corners('array({})')} AS corners", "1200 AS width", "1500 AS height",
@@ -321,7 +325,7 @@ def transform_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
              'transform_matrix', array(array(2D, 0D, 0D), array(0D, 2D, 0D), array(0D, 0D, 1D)),
              'output_size', array(CAST(2 * (1000 + l_partkey % 3000) AS BIGINT), CAST(2 * (1400 + l_orderkey % 3000) AS BIGINT))),
              'order', {_ORDERS['crop']}))))"""
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return table(spark, sf_dir, "lineitem", spread=True).selectExpr(
         "l_orderkey AS page_key", "l_linenumber AS line_key", "l_partkey AS part_key", "l_suppkey AS supp_key",
         "1000 + l_partkey % 3000 AS width", "1400 + l_orderkey % 3000 AS height", f"{log} AS log",
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pagemill.functions import quads
+from pagemill.functions.frames import once
 from pagemill.functions.numbers import rounded
 from pagemill.operators import capture as C
 from pagemill.operators import geometry as G
@@ -73,8 +74,7 @@ _XY = [f"corners[{i}][{j}]" for i in range(1, 5) for j in (1, 2)]
 
 
 def ordered_quads(s, d):
-    quad = quads.ordered(F.col("corners"))
-    pages = B.page_detections(s, d).withColumn("quad", quad)
+    pages = quads.ordered(quads.corner_indices(quads.four_points(B.page_detections(s, d))))
     flat = [F.get(F.get("quad", F.lit(i)), F.lit(j)).alias(f"{'xy'[j]}{i}") for i in range(4) for j in range(2)]
     return pages.select(*DETECTION_KEYS, F.col("quad").isNull().alias("unusable"), *[rounded(c).alias(f"{'xy'[k % 2]}{k // 2}") for k, c in enumerate(flat)])
 
@@ -95,9 +95,8 @@ ORACLE["ordered_quads"] = B.sql(
 
 
 def other_corners(s, d):
-    pages = B.page_detections(s, d).where(F.size("corners") == 4)
-    rest = quads.other_indices(quads.corner_indices(F.col("corners")))
-    return pages.select(*DETECTION_KEYS, F.get(rest, F.lit(0)).cast("bigint").alias("first"), F.get(rest, F.lit(1)).cast("bigint").alias("second"))
+    pages = quads.corner_indices(quads.four_points(B.page_detections(s, d).where(F.size("corners") == 4)))
+    return pages.select(*DETECTION_KEYS, F.col("_a").cast("bigint").alias("first"), F.col("_b").cast("bigint").alias("second"))
 
 
 QUERIES["other_corners"] = other_corners
@@ -109,8 +108,8 @@ ORACLE["other_corners"] = B.sql(
 # P10
 def polygon_shares(s, d):
     pages = B.page_detections(s, d).where(F.size("corners") >= 4)
-    pixels = quads.scaled(F.col("corners"), F.col("width"), F.col("height"))
-    return pages.select(*DETECTION_KEYS, (quads.area(pixels) / (F.col("width") * F.col("height"))).alias("area_ratio"))
+    pages = once(pages, {"pixels": quads.scaled(F.col("corners"), F.col("width"), F.col("height"))})
+    return pages.select(*DETECTION_KEYS, (quads.area(F.col("pixels")) / (F.col("width") * F.col("height"))).alias("area_ratio"))
 
 
 _AREA = """

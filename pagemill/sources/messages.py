@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.functions.frames import once
+
 SCHEMA = (
     "message_id string, actor_name string, args array<string>, kwargs map<string,string>, queue_name string,"
     " options struct<retries: bigint, max_retries: bigint>, retries bigint, max_retries bigint, message_timestamp bigint,"
@@ -15,7 +17,7 @@ SCHEMA = (
 def parse_messages(raw: DataFrame, keep_malformed: bool = False) -> DataFrame:
     """Columns of each message with the defaults of absent keys. Text that is no JSON object is skipped, or
     kept with null columns. ``raw`` has (position, raw)."""
-    parsed = raw.withColumn("_m", F.from_json("raw", SCHEMA, {"columnNameOfCorruptRecord": "_bad"}))
+    parsed = once(raw, {"_m": F.from_json("raw", SCHEMA, {"columnNameOfCorruptRecord": "_bad"})})
     readable = F.col("_m").isNotNull() & F.col("_m._bad").isNull()
     rows = parsed if keep_malformed else parsed.where(readable)
     zero = F.lit(0).cast("bigint")

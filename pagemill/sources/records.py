@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.functions.frames import once
 from pagemill.functions.names import has_extension
 
 _LINE = "struct<text: string, confidence: double, bounding_box: string, line_no: bigint>"
@@ -21,8 +22,9 @@ LOG_SCHEMA = (
 def parse_line_records(records: DataFrame, keys: list[str], record: str = "record") -> DataFrame:
     """One row per text line from records in any of four shapes: ``ocr_lines``, ``features.ocr_lines``,
     ``lines`` or a bare list. Boxes come as ``box`` (four numbers) or ``corners`` (points)."""
-    typed = records.select(*keys, F.from_json(record, LINE_SCHEMA).alias("_o"),
-                           F.when(F.trim(record).startswith("["), F.from_json(record, LIST_SCHEMA)).alias("_l"))
+    is_list = F.trim(record).startswith("[")
+    typed = once(records.select(*keys, record), {
+        "_o": F.when(~is_list, F.from_json(record, LINE_SCHEMA)), "_l": F.when(is_list, F.from_json(record, LIST_SCHEMA))})
     lines = F.coalesce("_l", "_o.ocr_lines", "_o.features.ocr_lines", "_o.lines")
     rows = typed.select(*keys, F.posexplode(lines).alias("place", "_x"))
     box = F.col("_x.bounding_box")
@@ -41,7 +43,7 @@ def read_records(spark: SparkSession, root: str, pattern: str = "*.json") -> Dat
 
 def parse_transform_logs(logs: DataFrame, keys: list[str], log: str = "log") -> DataFrame:
     """Transform logs with the old path key as fallback; a missing order counts 0."""
-    typed = logs.withColumn("_t", F.from_json(log, LOG_SCHEMA))
+    typed = once(logs, {"_t": F.from_json(log, LOG_SCHEMA)})
     orders = F.transform("_t.transforms", lambda t: t.withField("order", F.coalesce(t["order"], F.lit(0))))
     return typed.select(
         *[c for c in logs.columns if c != log], F.col("_t.input_path").alias("input_path"),
@@ -59,7 +61,7 @@ FLAG_SCHEMA = (
 def read_quality_sidecars(spark: SparkSession, root: str) -> DataFrame:
     """Every ``*.qa.json`` below a folder with its flags."""
     records = read_records(spark, root, "*.qa.json")
-    return records.select("path", F.from_json("record", FLAG_SCHEMA).alias("_q")).select("path", "_q.*")
+    return records.select("path", F.from_json("record", FLAG_SCHEMA).alias("_q")).select("path", F.inline_outer(F.array("_q")))
 
 
 def read_images_listing(spark: SparkSession, root: str) -> DataFrame:
