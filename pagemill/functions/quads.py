@@ -36,37 +36,47 @@ def bounding_box(corners: Column) -> Column:
     return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs), F.array_max(ys))
 
 
-def four_points(rows: DataFrame, corners: str = "corners") -> DataFrame:
-    """Adds the coordinates of four-corner lists as plain columns ``_x0`` .. ``_y3`` (null for other counts)."""
-    usable = F.size(corners) == 4
-    axes = {"_x": x_of, "_y": y_of}
-    return once(rows, {f"{n}{i}": F.when(usable, axis(F.col(corners), i)) for i in range(4) for n, axis in axes.items()})
+def four_points(rows: DataFrame, corners: str = "corners", size: tuple[Column, Column] | None = None) -> DataFrame:
+    """Adds the coordinates of four-corner lists as plain columns ``_x0`` .. ``_y3`` (null for other lists).
+
+    With a page size, relative coordinates (none above 1) become pixels.
+    """
+    points = F.col(corners)
+    measured = rows.withColumns({
+        "_four": F.coalesce((F.size(points) == 4) & all_points(points), F.lit(False)), "_top": F.array_max(F.flatten(points))})
+
+    def value(axis, i: int, side: int) -> Column:
+        raw = axis(points, i)
+        return raw if size is None else F.when(F.col("_top") <= 1.0, raw * size[side]).otherwise(raw)
+
+    axes = (("_x", x_of, 0), ("_y", y_of, 1))
+    coordinates = {f"{n}{i}": F.when(F.col("_four"), value(axis, i, side)) for i in range(4) for n, axis, side in axes}
+    return once(measured, coordinates).drop("_four", "_top")
 
 
 def corner_indices(rows: DataFrame) -> DataFrame:
     """Adds the positions of top-left and bottom-right (smallest and largest x + y, first one on ties) and of
     the other two corners in ascending order; expects ``four_points``."""
-    sums = once(rows, {f"_s{i}": F.col(f"_x{i}") + F.col(f"_y{i}") for i in range(4)})
-    s = [F.col(f"_s{i}") for i in range(4)]
+    s = [F.col(f"_x{i}") + F.col(f"_y{i}") for i in range(4)]
 
     def first(target: Column) -> Column:
         return F.when(s[0] == target, 0).when(s[1] == target, 1).when(s[2] == target, 2).when(s[3] == target, 3)
 
-    ends = once(sums, {"_tl": first(F.least(*s)), "_br": first(F.greatest(*s))})
+    ends = once(rows, {"_tl": first(F.least(*s)), "_br": first(F.greatest(*s))})
     rest = F.array_except(F.array(*[F.lit(i) for i in range(4)]), F.array("_tl", "_br"))
-    return once(ends, {"_a": F.when(F.col("_tl").isNotNull(), F.get(rest, F.lit(0))),
-                       "_b": F.when(F.col("_tl").isNotNull(), F.get(rest, F.lit(1)))}).drop(*[f"_s{i}" for i in range(4)])
+    known = F.col("_tl").isNotNull()
+    return once(ends, {"_a": F.when(known, F.get(rest, F.lit(0))), "_b": F.when(known, F.get(rest, F.lit(1)))})
 
 
-def ordered(rows: DataFrame, name: str = "quad") -> DataFrame:
-    """Adds the points as top-left, top-right, bottom-right, bottom-left; expects ``corner_indices``."""
+def ordered() -> Column:
+    """The points as top-left, top-right, bottom-right, bottom-left; expects ``corner_indices``."""
     xs = F.array(*[f"_x{i}" for i in range(4)])
     points = F.array(*[F.array(f"_x{i}", f"_y{i}") for i in range(4)])
     first_is_right = F.get(xs, F.col("_a")) > F.get(xs, F.col("_b"))
-    sides = once(rows, {"_r": F.when(first_is_right, F.col("_a")).otherwise(F.col("_b")),
-                        "_l": F.when(first_is_right, F.col("_b")).otherwise(F.col("_a"))})
-    quad = F.array(*[F.get(points, F.col(i)) for i in ("_tl", "_r", "_br", "_l")])
-    return once(sides, {name: F.when(F.col("_tl").isNotNull(), quad)}).drop("_r", "_l")
+    right = F.when(first_is_right, F.col("_a")).otherwise(F.col("_b"))
+    left = F.when(first_is_right, F.col("_b")).otherwise(F.col("_a"))
+    quad = F.array(*[F.get(points, i) for i in (F.col("_tl"), right, F.col("_br"), left)])
+    return F.when(F.col("_tl").isNotNull(), quad)
 
 
 POINT_COLUMNS = [f"_{a}{i}" for i in range(4) for a in "xy"] + ["_tl", "_br", "_a", "_b"]

@@ -54,28 +54,29 @@ def crop_decisions(pages: DataFrame, p: Params = Params()) -> DataFrame:
     """
     width, height = F.col("width"), F.col("height")
     count = F.size("corners")
-    usable = (count >= 4) & quads.all_points(F.col("corners"))
-    pixels = once(pages, {"_pixels": F.when(usable, quads.scaled(F.col("corners"), width, height))})
-    placed = quads.ordered(quads.corner_indices(quads.four_points(pixels, "_pixels")), "_quad")
-    area = F.when(F.size("_pixels") == 4, quads.quad_area()).otherwise(quads.area(F.col("_pixels")))
+    # Lists of more than four points only need their area; they cannot be straightened.
+    many = (count > 4) & quads.all_points(F.col("corners"))
+    polygons = pages.withColumn("_polygon", F.when(many, quads.area(quads.scaled(F.col("corners"), width, height))))
+    placed = quads.corner_indices(quads.four_points(polygons, "corners", (width, height)))
+    xs, ys = [F.col(f"_x{i}") for i in range(4)], [F.col(f"_y{i}") for i in range(4)]
+    page_area = (width * height).cast("double")
     # Margins come from the box of the points, which does not depend on their order.
-    margins = quads.margins_of([F.col(f"_x{i}") for i in range(4)], [F.col(f"_y{i}") for i in range(4)], width, height)
     measured = once(placed, {
-        "_share": F.when(F.col("_pixels").isNotNull(), area / (width * height).cast("double")),
-        "_margins": F.when(F.col("_quad").isNotNull(), margins),
+        "_share": F.coalesce(quads.quad_area(), F.col("_polygon")) / page_area,
+        "_margins": F.when(F.col("_tl").isNotNull(), quads.margins_of(xs, ys, width, height)),
     })
     status = (
         F.when(F.lit(not p.crop_enabled), "skipped")
         .when((F.col("capture_type") == "SCAN") & F.lit(p.skip_crop_if_scan), "skipped_scan")
         .when(F.col("corners").isNull() | (count == 0), "no_detection")
         .when(count < 4, "invalid_geometry")
-        .when(F.col("_pixels").isNull(), "error")
+        .when(F.col("_share").isNull(), "error")
         .when(F.col("_share") > p.crop_max_area_ratio, "already_cropped")
-        .when(F.col("_quad").isNull(), "error")
+        .when(F.col("_tl").isNull(), "error")
         .when(quads.smallest(F.col("_margins")) < p.crop_min_margin_ratio * 100, "rejected_overcrop")
         .otherwise("cropped")
     )
-    decided = once(measured, {"crop_status": status})
+    decided = once(measured, {"crop_status": status, "_quad": quads.ordered()})
     state = F.col("crop_status")
     applied = state == "cropped"
     judged = state.isin("already_cropped", "rejected_overcrop", "cropped", "error") & F.col("_share").isNotNull()
@@ -85,7 +86,7 @@ def crop_decisions(pages: DataFrame, p: Params = Params()) -> DataFrame:
         "margins": F.when(state.isin("rejected_overcrop", "cropped"), F.col("_margins")),
         "source_points": F.when(applied, F.col("_quad")),
         "output_size": F.when(applied, quads.output_size(F.col("_quad"))),
-    }).drop("_pixels", "_quad", "_share", "_margins", *quads.POINT_COLUMNS)
+    }).drop("_polygon", "_quad", "_share", "_margins", *quads.POINT_COLUMNS)
 
 
 def deskew_decisions(pages: DataFrame, p: Params = Params(), called: bool = False) -> DataFrame:

@@ -74,7 +74,7 @@ _XY = [f"corners[{i}][{j}]" for i in range(1, 5) for j in (1, 2)]
 
 
 def ordered_quads(s, d):
-    pages = quads.ordered(quads.corner_indices(quads.four_points(B.page_detections(s, d))))
+    pages = once(quads.corner_indices(quads.four_points(B.page_detections(s, d))), {"quad": quads.ordered()})
     flat = [F.get(F.get("quad", F.lit(i)), F.lit(j)).alias(f"{'xy'[j]}{i}") for i in range(4) for j in range(2)]
     return pages.select(*DETECTION_KEYS, F.col("quad").isNull().alias("unusable"), *[rounded(c).alias(f"{'xy'[k % 2]}{k // 2}") for k, c in enumerate(flat)])
 
@@ -108,8 +108,10 @@ ORACLE["other_corners"] = B.sql(
 # P10
 def polygon_shares(s, d):
     pages = B.page_detections(s, d).where(F.size("corners") >= 4)
-    pages = once(pages, {"pixels": quads.scaled(F.col("corners"), F.col("width"), F.col("height"))})
-    return pages.select(*DETECTION_KEYS, (quads.area(F.col("pixels")) / (F.col("width") * F.col("height"))).alias("area_ratio"))
+    # Four points by the direct rule, longer lists by the general one.
+    pixels = pages.withColumn("_polygon", F.when(F.size("corners") > 4, quads.area(quads.scaled(F.col("corners"), F.col("width"), F.col("height")))))
+    placed = quads.four_points(pixels, "corners", (F.col("width"), F.col("height")))
+    return placed.select(*DETECTION_KEYS, (F.coalesce(quads.quad_area(), F.col("_polygon")) / (F.col("width") * F.col("height"))).alias("area_ratio"))
 
 
 _AREA = """
