@@ -12,7 +12,7 @@ from pagemill.params import LISTED_EXTENSIONS, UPLOAD_EXTENSIONS
 def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = LISTED_EXTENSIONS) -> DataFrame:
     """Files below a folder with one of the extensions (any case), sorted by path. Contents are not read."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    facts = listing.select("path", F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified_us"))
+    facts = listing.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified_us"))
     return wanted_files(facts, extensions)
 
 
@@ -35,7 +35,7 @@ def check_uploads(files: DataFrame, extensions: tuple[str, ...] = UPLOAD_EXTENSI
 def labelled_files(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """(path, class_name) of files in class folders: the parent folder is the class."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return with_class(listing.select("path"))
+    return with_class(listing.select(F.col("_metadata.file_path").alias("path")))
 
 
 def with_class(files: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ def parse_line_records(records: DataFrame, keys: list[str], record: str = "recor
 
 def read_records(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
     """Whole JSON files as (path, record)."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root)
+    files = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("record"))
 
 
@@ -65,7 +65,8 @@ def read_quality_sidecars(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_images_listing(spark: SparkSession, root: str) -> DataFrame:
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listing = listing.select(F.col("_metadata.file_path").alias("path"))
     return listing.where(has_extension(F.col("path"), (".png", ".jpg")))
 
 
