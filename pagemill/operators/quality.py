@@ -79,13 +79,11 @@ def flag_statistics(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
 def report_statistics(flags: DataFrame, by: list[str] | None = None, p: Params = Params()) -> DataFrame:
     """Figures of the quality report. Times count only above 0; an empty table gives one row of zeros."""
     by = by or []
-    keyed = flags if by else flags.withColumn("_all", F.lit(1))
-    keys = by or ["_all"]
     timed = F.when(F.col("processing_time") > 0, F.col("processing_time"))
     steady = F.when(F.col("deskew_confidence") > 0, F.col("deskew_confidence"))
     zero = F.lit(0.0)
     angle = F.abs(F.coalesce("deskew_angle", zero))
-    figures = keyed.groupBy(*keys).agg(
+    figures = flags.groupBy(*by).agg(
         F.count(F.lit(1)).alias("pages"),
         ratio(F.count_if(~F.col("low_confidence_orientation")), F.count(F.lit(1))).alias("orientation_accuracy"),
         F.count_if("overcrop_risk").alias("overcrop_risk_count"),
@@ -102,12 +100,11 @@ def report_statistics(flags: DataFrame, by: list[str] | None = None, p: Params =
         F.count_if(angle >= p.deskew_shown_angle).alias("deskews_applied"),
         F.count_if("dewarp_applied").alias("crops_applied"),
     )
-    medians = exact_median(keyed.where("processing_time > 0"), keys, "processing_time")
-    figures = figures.join(medians, keys, "left").withColumn("median_time", F.coalesce("median", zero)).drop("median")
-    if not by:
-        # One row even for an empty table: the outer side is a single row.
-        one = flags.sparkSession.range(1).select(F.lit(1).alias("_all"))
-        figures = one.join(figures, "_all", "left").drop("_all").na.fill(0)
+    medians = exact_median(flags.where("processing_time > 0"), by, "processing_time")
+    if by:
+        figures = figures.join(medians, by, "left").withColumn("median_time", F.coalesce("median", zero)).drop("median")
+    else:
+        figures = figures.withColumn("median_time", F.coalesce(medians.select("median").scalar(), zero))
     return figures.withColumns({
         "time_spread": F.col("max_time") - F.col("min_time"),
         "mean_median_gap": F.abs(F.col("avg_time") - F.col("median_time")),

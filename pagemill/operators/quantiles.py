@@ -20,6 +20,8 @@ def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     3. Only the values between them (about 0.2 % of a large group) are ranked; the ranks are checked.
     """
     present = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    if not keys:
+        return _single_median(present)
     counts = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
     bounds = present.groupBy(*keys).agg(
         F.percentile_approx("_v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("_b"), F.count(F.lit(1)).alias("_total")
@@ -31,6 +33,12 @@ def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     placed = ranked.join(below, keys).withColumn("_upto", F.col("_upto") + F.col("_below"))
     low, high = F.expr("(_total + 1) div 2"), F.expr("(_total + 2) div 2")
 
+    return _middle(placed, keys, low, high)
+
+
+def _middle(placed: DataFrame, keys: list[str], low: Column, high: Column) -> DataFrame:
+    """Mean of the values at two ranks, from values with their running count."""
+
     def at(rank: Column) -> Column:
         return F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
 
@@ -40,7 +48,21 @@ def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     enclosed = F.col("_enclosed") & F.col("_a").isNotNull() & F.col("_z").isNotNull()
     median = F.when(enclosed, (F.col("_a") + F.col("_z")) / 2).otherwise(
         F.raise_error(F.lit("median bracket missed the middle rank")).cast("double"))
-    return middle_two.select(*keys, median.alias("median"))
+    found = middle_two.select(*keys, "_enclosed", median.alias("median"))
+    return found.where("_enclosed IS NOT NULL").drop("_enclosed")
+
+
+def _single_median(present: DataFrame) -> DataFrame:
+    """The same for one group: the bounds are scalar subqueries, so nothing is joined."""
+    bounds = present.agg(
+        F.percentile_approx("_v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("b"), F.count(F.lit(1)).alias("total"))
+    box = bounds.select(F.struct("b", "total")).scalar()
+    counts = present.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    below = counts.where(F.col("_v") < box["b"][0]).agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
+    middle = counts.where((F.col("_v") >= box["b"][0]) & (F.col("_v") <= box["b"][1]))
+    running = Window.partitionBy(F.lit(0)).orderBy("_v")
+    placed = middle.withColumns({"_below": below, "_total": box["total"]}).withColumn("_upto", F.sum("_n").over(running) + F.col("_below"))
+    return _middle(placed, [], F.expr("(_total + 1) div 2"), F.expr("(_total + 2) div 2"))
 
 
 def positions(rows: DataFrame, order: list[Column], keys: list[str] | None = None, name: str = "position") -> DataFrame:

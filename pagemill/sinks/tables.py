@@ -40,9 +40,10 @@ def write_labelled(files: DataFrame, path: str, label: str = "document_type") ->
 def metadata_document(sidecars: DataFrame, kept: DataFrame) -> DataFrame:
     """Statistics row of the metadata document. ``total_pages`` counts every sidecar, the rates only the pages
     whose image exists. The pages themselves stay a table."""
-    total = sidecars.agg(F.count(F.lit(1)).alias("total_pages")).withColumn("_one", F.lit(1))
-    statistics = flag_statistics(kept).withColumn("_one", F.lit(1))
-    return total.join(statistics, "_one", "left").drop("_one")
+    total = sidecars.agg(F.count(F.lit(1)).alias("total_pages"))
+    # One row of figures as a scalar subquery: null when no page was kept.
+    statistics = flag_statistics(kept).select(F.struct("*")).scalar()
+    return total.select("total_pages", F.inline_outer(F.array(statistics)))
 
 
 def write_metadata(sidecars: DataFrame, kept: DataFrame, path: str, generated_at: str) -> None:

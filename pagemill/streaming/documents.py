@@ -52,7 +52,24 @@ class DocumentFanIn(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         fresh = not self.document.exists()
         total, good, bad, first, last, done = (0, 0, 0, None, None, False) if fresh else self.document.get()
+        watermark = timerValues.getCurrentWatermarkInMs()
+        if not fresh and watermark >= last + self.ttl_ms:
+            # The lifetime is over although its timer has not run yet: these rows start a new document.
+            if not done:
+                yield self._row(key, (total, good, bad, first, last, True), True)
+                self.handle.deleteTimer(first + self.deadline_ms)
+            self.handle.deleteTimer(last + self.ttl_ms)
+            self.pages.clear()
+            self.document.clear()
+            fresh, (total, good, bad, first, last, done) = True, (0, 0, 0, None, None, False)
+        elif not fresh and not done and watermark >= first + self.deadline_ms:
+            # These rows came after the deadline: the document goes out without them.
+            done = True
+            yield self._row(key, (total, good, bad, first, last, done), True)
+            self.handle.deleteTimer(first + self.deadline_ms)
+            self.pages.clear()
         old_last = last
+        known_first = first
         for chunk in rows:
             stamps = chunk["ts_us"] // 1000
             total = int(chunk["num_pages"].max())
@@ -84,7 +101,10 @@ class DocumentFanIn(StatefulProcessor):
         if complete:
             self.pages.clear()
             if not fresh:
-                self.handle.deleteTimer(first + self.deadline_ms)
+                self.handle.deleteTimer(known_first + self.deadline_ms)
+        elif not fresh and not done and first != known_first:
+            self.handle.deleteTimer(known_first + self.deadline_ms)
+            self.handle.registerTimer(first + self.deadline_ms)
         self.document.update(state)
         if complete:
             yield self._row(key, state, False)
