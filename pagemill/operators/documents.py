@@ -71,8 +71,10 @@ def page_outcomes(documents: DataFrame, results: DataFrame, failed: DataFrame |
     joined = pages.join(stored, PAGE, "left").withColumn("missing", F.col("found").isNull()).drop("found")
     reason = F.when(late, F.format_string(texts.MISSING_TIMEOUT, F.lit(p.document_deadline_s))).otherwise(texts.MISSING_UNKNOWN)
     if failed is not None:
-        notes = failed.select("document_key", "page_index", "message_id", "retries", "max_retries", F.lit(True).alias("in_store"))
-        joined = joined.withColumn("document_key", F.col("document_id").cast("string")).join(notes, ["document_key", "page_index"], "left")
+        # The key is brought to the type of the id, so that this join reuses the partitioning of the one before.
+        key = F.col("document_key").try_cast(documents.schema["document_id"].dataType).alias("document_id")
+        notes = failed.select(key, "page_index", "message_id", "retries", "max_retries", F.lit(True).alias("in_store"))
+        joined = joined.join(notes, PAGE, "left")
         told = F.format_string(texts.MISSING_FAILED, "retries", "max_retries", "message_id")
         reason = F.when(F.col("in_store"), told).otherwise(reason)
     error = F.when(F.col("missing"), reason).otherwise(texts.explained_error(F.col("error")))
@@ -83,27 +85,34 @@ def page_outcomes(documents: DataFrame, results: DataFrame, failed: DataFrame |
     })
     outcome = outcome.withColumn("summary", texts.page_summary(
         F.col("page_number"), F.col("document_type"), F.col("confidence"), F.col("error")))
-    return outcome.select("document_id", "page_number", "page_index", "document_type", "confidence", "error", "missing", "summary")
+    return outcome.select("document_id", "total_pages", "page_number", "page_index", "document_type", "confidence", "error", "missing", "summary")
 
 
-def document_counts(outcomes: DataFrame, documents: DataFrame) -> DataFrame:
-    """Counts, status and success rate per document; only counters are shuffled per document."""
+ENTRIES = "array<struct<page_number: bigint, document_type: string, confidence: double, error: string, missing: boolean, summary: string>>"
+COUNTS = ["document_id", "filename", "status", "total_pages", "successful_pages", "failed_pages", "missing_count", "success_rate"]
+
+
+def _rolled_up(outcomes: DataFrame, documents: DataFrame, *extra: Column) -> DataFrame:
+    """One aggregation over the pages, joined to the documents (some have no page)."""
     counted = outcomes.groupBy("document_id").agg(
         F.count_if(F.col("error").isNull()).alias("ok"),
         F.count_if(F.col("error").isNotNull()).alias("bad"),
-        F.count_if("missing").alias("gaps"),
+        F.count_if("missing").alias("gaps"), *extra,
     )
     zero = F.lit(0).cast("bigint")
     known = documents.join(counted, "document_id", "left").withColumns(
         {"ok": F.coalesce("ok", zero), "bad": F.coalesce("bad", zero), "gaps": F.coalesce("gaps", zero)})
-    return known.select(
-        "document_id",
-        F.coalesce("filename", F.concat(F.lit("document_"), F.col("document_id").cast("string"))).alias("filename"),
-        texts.document_status(F.col("ok"), F.col("bad")).alias("status"),
-        F.col("num_pages").cast("bigint").alias("total_pages"),
-        F.col("ok").alias("successful_pages"), F.col("bad").alias("failed_pages"), F.col("gaps").alias("missing_count"),
-        success_rate(F.col("ok"), F.col("num_pages")).alias("success_rate"),
-    )
+    return known.withColumns({
+        "filename": F.coalesce("filename", F.concat(F.lit("document_"), F.col("document_id").cast("string"))),
+        "status": texts.document_status(F.col("ok"), F.col("bad")),
+        "total_pages": F.col("num_pages").cast("bigint"),
+        "success_rate": success_rate(F.col("ok"), F.col("num_pages")),
+    }).withColumnsRenamed({"ok": "successful_pages", "bad": "failed_pages", "gaps": "missing_count"})
+
+
+def document_counts(outcomes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Counts, status and success rate per document; only counters are shuffled per document."""
+    return _rolled_up(outcomes, documents).select(*COUNTS)
 
 
 def success_rate(ok: Column, total: Column) -> Column:
@@ -122,11 +131,12 @@ def document_results(outcomes: DataFrame, documents: DataFrame, p: Params = Para
     summary lines are complete as rows of ``page_outcomes``.
     """
     late = F.lit(False) if late is None else late
-    counts = document_counts(outcomes, documents)
-    short = documents.where(F.col("num_pages") <= p.nested_pages).select("document_id")
     entry = F.struct("page_number", "document_type", "confidence", "error", "missing", "summary")
-    nested = outcomes.join(short, "document_id", "left_semi").groupBy("document_id").agg(F.sort_array(F.collect_list(entry)).alias("_p"))
-    joined = counts.join(nested, "document_id", "left")
+    # Nulls are not collected: pages of long documents only count.
+    pages = F.collect_list(F.when(F.col("total_pages") <= p.nested_pages, entry))
+    rolled = _rolled_up(outcomes, documents, F.sort_array(pages).alias("_p"))
+    nested = F.col("total_pages") <= p.nested_pages
+    joined = rolled.select(*COUNTS, F.when(nested, F.coalesce("_p", F.array().cast(ENTRIES))).alias("_p"))
     gaps = F.transform(F.filter("_p", lambda r: r["missing"]), lambda r: r["page_number"])
     full = joined.withColumns({
         "nested": F.col("total_pages") <= p.nested_pages,

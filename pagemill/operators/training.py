@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
@@ -111,10 +112,18 @@ def classifier(kind: str, p: Params = Params(), **overrides):
 
 
 def train(rows: DataFrame, kind: str, label: str = "class_name", p: Params = Params(), **overrides) -> PipelineModel:
-    """Fit on (features, label); class names are indexed by name and stored with the model."""
-    indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc").fit(rows)
-    back = IndexToString(inputCol="prediction", outputCol="predicted_name", labels=indexer.labels)
-    return Pipeline(stages=[indexer, classifier(kind, p, **overrides), back]).fit(rows)
+    """Fit on (features, label); class names are indexed by name and stored with the model.
+
+    The rows are read once per iteration, so they are kept in memory or on disk while the model is fitted;
+    a lost executor's share is computed again.
+    """
+    needed = rows.select("features", label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc").fit(needed)
+        back = IndexToString(inputCol="prediction", outputCol="predicted_name", labels=indexer.labels)
+        return Pipeline(stages=[indexer, classifier(kind, p, **overrides), back]).fit(needed)
+    finally:
+        needed.unpersist()
 
 
 def model_classes(model: PipelineModel, spark) -> DataFrame:
