@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -46,6 +48,19 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers of this session, once; they need not have it installed."""
+    sc, package = spark.sparkContext, Path(__file__).resolve().parent
+    if getattr(sc, "_pagemill_shipped", False) or not package.is_dir():  # or it came as a zip with --py-files
+        return
+    packed = Path(tempfile.mkdtemp(prefix="pagemill-")) / "pagemill.zip"
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    sc.addPyFile(str(packed))  # the driver serves the file to the executors
+    sc._pagemill_shipped = True
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A new, unused folder below the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
