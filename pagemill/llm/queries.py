@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pagemill.llm import fingerprints, licenses, line_dedup, mixing, simhash
+from pagemill.llm import fingerprints, licenses, line_dedup, mixing, packing, simhash, substrings
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_packing": packing.op3_packing,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_simhash": simhash.op7_simhash,
     "op8_license_scan": licenses.op8_license_scan,
 }
 
-ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.ORACLE, "op8_license_scan": licenses.ORACLE}
+ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op4_substring_dedup": substrings.ORACLE, "op6_mixing": mixing.ORACLE, "op8_license_scan": licenses.ORACLE}
