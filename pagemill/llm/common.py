@@ -19,8 +19,20 @@ CHUNK_BYTES = 1 << 20
 _U = np.uint64
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Rows a batch between Spark and Python, where the session sets none: texts are long.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and keep batches of texts small."""
     ship(spark)
+    if spark.sparkContext.getConf().get(_BATCH) is None:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -215,7 +215,7 @@ def neighbours_by_range(docs: DataFrame, ranges: int) -> DataFrame:
     return dealt.repartitionById(n, "part").sortWithinPartitions("part", "edge", F.col("did").desc(), "row_hash").select("part", "edge", "doc_id", "body")
 
 
-def fingerprint_pairs(docs: DataFrame, ranges: int | None = None, piece: int = 1 << 21) -> DataFrame:
+def fingerprint_pairs(docs: DataFrame, ranges: int | None = None, piece: int = 1 << 20) -> DataFrame:
     """Fingerprint of every text and of its edited text, and their likeness to each other and to the next document's."""
     return neighbours_by_range(docs, ranges or partitions(docs.sparkSession)).mapInArrow(_stream(piece), _OUT_SQL)
 
