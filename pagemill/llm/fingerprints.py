@@ -43,12 +43,13 @@ _U = np.uint64
 def paragraph_digests(text: str) -> np.ndarray:
     """A digest for each paragraph; repetitions get digests of their own."""
     seen: dict[str, int] = {}
-    out = []
+    digests, times = [], []
     for part in _PARTS.split(text):
         if part:
-            again = seen[part] = seen.get(part, -1) + 1
-            out.append(xxhash.xxh3_64_intdigest(part.encode("utf-8", "replace"), again))
-    return np.array(out, np.uint64)
+            seen[part] = again = seen.get(part, 0) + 1
+            digests.append(xxhash.xxh3_64_intdigest(part.encode("utf-8", "replace")))
+            times.append(again)
+    return mixed(np.array(digests, np.uint64) ^ mixed(np.array(times, np.uint64), 7), 8)
 
 
 def _places(digests: np.ndarray, widths: np.ndarray, begins: np.ndarray, seed: int) -> np.ndarray:
@@ -136,7 +137,12 @@ def differences(left: list[np.ndarray], right: list[np.ndarray], width: int = WI
         plus, minus = (np.bincount(owner[sign == s], minlength=len(todo)) for s in (1, -1))
         more[todo[done]], fewer[todo[done]] = plus[done], minus[done]
         todo, attempt = todo[~done], attempt + 1
-        widths[todo] *= 3 if attempt < 6 else 2
+        widths[todo] *= 3
+        for i in todo[widths[todo] > 16 * (size_l + size_r)[todo] + 64 * width]:  # two paragraphs of one text with one digest: count without peeling
+            kinds, signs = np.unique(np.concatenate([left[i], right[i]]), return_inverse=True)
+            balance = np.bincount(signs, weights=np.repeat([1, -1], [size_l[i], size_r[i]]), minlength=len(kinds))
+            more[i], fewer[i] = balance[balance > 0].sum(), -balance[balance < 0].sum()
+            todo = todo[todo != i]
     return more, fewer
 
 
