@@ -49,31 +49,21 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language: a row for each known word and n-gram."""
+    """Log frequencies by language: a row for each known word, and for each known n-gram."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], longest: int = LONGEST):
+    def __init__(self, languages: list[str], words: tuple[list[str], np.ndarray], grams: tuple[list[str], np.ndarray], longest: int = LONGEST):
         self.languages, self.longest = languages, longest
-        self.words, self.grams = words, grams
+        self.words, self.word_logs = words
+        self.grams, self.gram_logs = grams
 
 
-def _log_frequencies(counts: dict[str, list[int]], languages: int) -> dict[str, np.ndarray]:
-    if not counts:
-        return {}
-    table = np.array(list(counts.values()), np.float64).reshape(-1, languages) + 0.5
-    logs = np.log(table / table.sum(axis=0)).astype(np.float32)
-    return dict(zip(counts, logs))
-
-
-def _collected(rows: DataFrame, key: str, languages: list[str], most: int) -> dict[str, list[int]]:
-    """The most frequent entries with their count in each language; ties in order of the entry."""
-    at = {name: i for i, name in enumerate(languages)}
-    top = rows.groupBy(key).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy(F.desc("total"), key).limit(most)
-    out: dict[str, list[int]] = {}
-    for row in top.collect():  # at most ``most`` entries
-        counts = out[row[key]] = [0] * len(languages)
-        for name, n in row["by"].items():
-            counts[at[name]] = n
-    return out
+def _logs(rows: DataFrame, key: str, languages: list[str], most: int) -> tuple[list[str], np.ndarray]:
+    """The most frequent entries, ties in order of the entry, and their log frequencies in each language."""
+    counts = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)]
+    top = rows.groupBy(key).agg(F.sum("n").alias("total"), *counts).orderBy(F.desc("total"), key).limit(most)
+    found = top.drop("total").toArrow()  # at most ``most`` entries
+    table = np.stack([found[f"n{i}"].to_numpy() for i in range(len(languages))], axis=1).astype(np.float64) + 0.5
+    return found[key].to_pylist(), np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
 def fit(labelled: DataFrame, rows: int = FIT_ROWS, words: int = WORDS, grams: int = GRAMS, longest: int = LONGEST) -> Model | None:
@@ -89,10 +79,12 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, words: int = WORDS, grams: in
     if not languages:
         return None
     marked = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-    parts = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (k - 1), F.lit(1))), lambda i, k=k: F.substring(marked, i, F.lit(k))) for k in range(1, longest + 1)]
-    pieces = counts.select("lang", "n", F.explode(F.concat(*parts)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return Model(languages, _log_frequencies(_collected(counts, "word", languages, words), len(languages)),
-                 _log_frequencies(_collected(pieces, "gram", languages, grams), len(languages)), longest)
+
+    def runs(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (k - 1), F.lit(1))), lambda i: F.substring(marked, i, F.lit(k)))
+
+    pieces = counts.select("lang", "n", F.explode(F.concat(*map(runs, range(1, longest + 1)))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return Model(languages, _logs(counts, "word", languages, words), _logs(pieces, "gram", languages, grams), longest)
 
 
 class Scorer(dict):
@@ -101,13 +93,13 @@ class Scorer(dict):
     def __init__(self, model: Model, remembered: int = REMEMBERED):
         self.model, self.room = model, len(model.words) + remembered
         self.table = np.zeros((self.room, len(model.languages)), np.float32)
+        self.table[: len(model.words)] = model.word_logs
+        self.grams = dict(zip(model.grams, model.gram_logs))
         self._begin()
 
     def _begin(self) -> None:
         self.clear()
         self.update(zip(self.model.words, range(len(self.model.words))))
-        if self.model.words:
-            self.table[: len(self)] = list(self.model.words.values())
 
     def __missing__(self, word: str) -> int:
         number = self[word] = len(self)
@@ -117,7 +109,7 @@ class Scorer(dict):
         return number
 
     def backed_off(self, word: str) -> np.ndarray:
-        grams = self.model.grams
+        grams = self.grams
         for n in range(min(self.model.longest, len(word) + 2), 0, -1):
             found = [grams[g] for g in grams_of(word, n) if g in grams]
             if found:
