@@ -123,16 +123,16 @@ def edge_margins(corners: Column, width: Column, height: Column) -> Column:
 
 def margins_of(xs: list[Column], ys: list[Column], width: Column, height: Column) -> Column:
     return F.struct(
-        (F.least(*ys) / height * 100).alias("top"),
-        ((height - F.greatest(*ys)) / height * 100).alias("bottom"),
-        (F.least(*xs) / width * 100).alias("left"),
-        ((width - F.greatest(*xs)) / width * 100).alias("right"),
+        (F.try_divide(F.least(*ys), height) * 100).alias("top"),
+        (F.try_divide(height - F.greatest(*ys), height) * 100).alias("bottom"),
+        (F.try_divide(F.least(*xs), width) * 100).alias("left"),
+        (F.try_divide(width - F.greatest(*xs), width) * 100).alias("right"),
     )
 
 
 def centred_margins(width: Column, height: Column, final_width: Column, final_height: Column) -> Column:
     """Margin estimate when the corners are unknown: the crop is taken as centred."""
-    margin = (1 - F.least(final_width / width, final_height / height)) * 50
+    margin = (1 - F.least(F.try_divide(final_width, width), F.try_divide(final_height, height))) * 50
     return F.struct(*[margin.alias(e) for e in EDGES])
 
 

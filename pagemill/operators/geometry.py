@@ -62,7 +62,7 @@ def crop_decisions(pages: DataFrame, p: Params = Params()) -> DataFrame:
     page_area = (width * height).cast("double")
     # Margins come from the box of the points, which does not depend on their order.
     measured = once(placed, {
-        "_share": F.coalesce(quads.quad_area(), F.col("_polygon")) / page_area,
+        "_share": F.try_divide(F.coalesce(quads.quad_area(), F.col("_polygon")), page_area),
         "_margins": F.when(F.col("_tl").isNotNull(), quads.margins_of(xs, ys, width, height)),
     })
     status = (

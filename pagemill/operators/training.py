@@ -49,13 +49,9 @@ def unprocessed(inputs: DataFrame, outputs: DataFrame, key: str = "file_name") -
 
 
 def hash_key(seed: int, *keys: str):
-    """Deterministic pseudo-random order of rows: integer arithmetic on the id, spread over 0 .. 2^31 - 1."""
-    mixed = F.lit(seed).cast("bigint")
-    for k in keys:
-        mixed = (mixed * 69069 + F.pmod(F.col(k).cast("bigint"), F.lit(2147483647)) * 40503 + 12345) % 2147483647
-    for _ in range(2):
-        mixed = (mixed * 48271 + 11) % 2147483647
-    return mixed
+    """Deterministic pseudo-random order of rows, 0 .. 2^31 - 2, from the first digits of the MD5 of seed and ids."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("bigint").cast("string"), F.lit("null")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") % 2147483647
 
 
 SPLIT_BUCKETS = 4096

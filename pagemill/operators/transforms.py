@@ -31,7 +31,7 @@ def _step(s: Column, t: Column) -> Column:
     x, y, w, h = s["x"], s["y"], s["w"], s["h"]
     new_w, new_h = F.get(size, F.lit(0)), F.get(size, F.lit(1))
     depth = _apply(m, x, y, 2)
-    warped = _state(_apply(m, x, y, 0) / depth, _apply(m, x, y, 1) / depth, new_w, new_h)
+    warped = _state(F.try_divide(_apply(m, x, y, 0), depth), F.try_divide(_apply(m, x, y, 1), depth), new_w, new_h)
     moved = _state(_apply(m, x, y, 0), _apply(m, x, y, 1), new_w, new_h)
     standard = F.coalesce(p["rotation_type"], F.lit("standard")) == "standard"
     cx, cy = F.floor(w / 2), F.floor(h / 2)

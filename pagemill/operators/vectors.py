@@ -6,8 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +14,6 @@ from pagemill.operators.lines import BOX, PAGE, confident_lines, extent_columns
 from pagemill.params import Params
 
 METHODS = ("weighted_mean", "mean", "max", "sum")
-# Up to this many dimensions one sum per dimension stays in generated hash aggregation.
-DIRECT_DIMS = 64
 
 
 def _fold(vectors: DataFrame, keys: list[str], vector: str, dim: int, method: str, weight: str | None) -> DataFrame:
@@ -33,27 +30,17 @@ def _fold(vectors: DataFrame, keys: list[str], vector: str, dim: int, method: st
     return folded.select(*keys, F.array(*parts).alias("vector"))
 
 
-def _summarize(vectors: DataFrame, keys: list[str], vector: str, method: str, weight: str | None) -> DataFrame:
-    stat = "mean" if method == "weighted_mean" else method
-    weighted = method == "weighted_mean" and weight is not None
-    typed = vectors.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
-    args = (F.col("_v"), F.col(weight).cast("float").cast("double")) if weighted else (F.col("_v"),)
-    folded = typed.groupBy(*keys).agg(getattr(Summarizer, stat)(*args).alias("_s"))
-    return folded.select(*keys, vector_to_array("_s").cast("array<float>").alias("vector"))
-
-
 def aggregate_vectors(vectors: DataFrame, keys: list[str], dim: int, method: str = "weighted_mean",
                       vector: str = "vector", weight: str | None = "confidence") -> DataFrame:
     """One vector per key. Without a weight column the weighted mean is the plain mean.
 
-    Both forms pre-aggregate before the shuffle, so a key that holds a third of all lines costs one
-    partial row per input partition. Neither explodes the dimensions.
+    One sum per dimension, pre-aggregated before the shuffle, so a key that holds a third of all lines costs
+    one partial row per input partition. Every width is treated alike: a null element is skipped, and a weight
+    of zero gives null elements.
     """
     if method not in METHODS:
         raise ValueError(f"unknown aggregation {method!r}, expected one of {METHODS}")
-    if dim <= DIRECT_DIMS:
-        return _fold(vectors, keys, vector, dim, method, weight)
-    return _summarize(vectors, keys, vector, method, weight)
+    return _fold(vectors, keys, vector, dim, method, weight)
 
 
 def explode_aggregate(vectors: DataFrame, keys: list[str], vector: str = "vector", weight: str = "confidence") -> DataFrame:

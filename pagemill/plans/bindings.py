@@ -9,12 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
-    """A provided table. ``spread`` is for work that is heavy per row: a table stored in fewer splits than there
-    are cores (one small file) is dealt out over them first. Tables of many splits are read as they are."""
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if spread and rows.rdd.getNumPartitions() * 2 <= cores else rows
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A provided table, in the splits it is stored in."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _dual(columns: dict[str, str]) -> tuple[list[str], str]:
@@ -37,7 +34,7 @@ _LINE_EXPRS, _LINE_SQL = _dual(_LINE)
 
 
 def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     return lines.selectExpr(*_LINE_EXPRS, "CAST(line_no div 40 AS BIGINT) AS page_index")
 
@@ -76,20 +73,19 @@ def line_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-VECTOR_DIM = 8
+VECTOR_DIM = 64
 
 
 def line_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = text_lines(spark, sf_dir).withColumn("vec_id", F.expr("(doc_id * 7 + line_no) % 500"))
-    vectors = table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.slice("embedding", 1, VECTOR_DIM).cast("array<double>").alias("semantic")
-    )
+    """Every line with a whole vector; the lines are dealt over all vectors of the table."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("semantic"))
+    lines = text_lines(spark, sf_dir).withColumn("vec_id", F.expr("doc_id * 7 + line_no") % max(vectors.count(), 1))
     return lines.join(vectors, "vec_id").drop("vec_id")
 
 
-LINE_VECTORS = TEXT_LINES + f""",
-line_vectors AS (SELECT l.*, CAST(e.embedding[1:{VECTOR_DIM}] AS DOUBLE[]) AS semantic
-                 FROM text_lines l JOIN embeddings e ON e.vec_id = (l.doc_id * 7 + l.line_no) % 500)"""
+LINE_VECTORS = TEXT_LINES + """,
+line_vectors AS (SELECT l.*, CAST(e.embedding AS DOUBLE[]) AS semantic
+                 FROM text_lines l JOIN embeddings e ON e.vec_id = (l.doc_id * 7 + l.line_no) % (SELECT count(*) FROM embeddings))"""
 
 # --- page results, documents, failed messages -------------------------------------------------------
 
@@ -280,7 +276,7 @@ def _corners(make: str) -> str:
 
 
 def page_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem", spread=True).selectExpr(
+    return table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey AS page_key", "l_linenumber AS line_key", "l_partkey AS part_key", "l_suppkey AS supp_key",
         "CASE WHEN l_orderkey % 6 = 0 THEN 'SCAN' ELSE 'PHOTO' END AS capture_type",
         f"{_corners('array({})')} AS corners", "1200 AS width", "1500 AS height",
@@ -325,7 +321,7 @@ def transform_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
              'transform_matrix', array(array(2D, 0D, 0D), array(0D, 2D, 0D), array(0D, 0D, 1D)),
              'output_size', array(CAST(2 * (1000 + l_partkey % 3000) AS BIGINT), CAST(2 * (1400 + l_orderkey % 3000) AS BIGINT))),
              'order', {_ORDERS['crop']}))))"""
-    return table(spark, sf_dir, "lineitem", spread=True).selectExpr(
+    return table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey AS page_key", "l_linenumber AS line_key", "l_partkey AS part_key", "l_suppkey AS supp_key",
         "1000 + l_partkey % 3000 AS width", "1400 + l_orderkey % 3000 AS height", f"{log} AS log",
     )
@@ -440,13 +436,13 @@ def page_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maps of at most 64 pages each, so that no map grows with its document; every ninth document has none."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     return turns.groupBy(F.col("conv_id").alias("document_id"), F.expr("turn div 64").alias("block")).agg(
-        F.expr("map_from_entries(collect_list(named_struct('k', turn, 'v', array(text))) FILTER (WHERE turn % 3 <> 0 AND conv_id % 9 <> 8))").alias("lines"),
+        F.expr("map_from_entries(collect_list(named_struct('k', turn, 'v', array(text))) FILTER (WHERE turn % 12 <> 0 AND conv_id % 9 <> 8))").alias("lines"),
         F.expr("map_from_entries(collect_list(named_struct('k', turn, 'v', concat('err ', CAST(turn AS STRING)))) FILTER (WHERE turn % 4 = 0 AND conv_id % 9 <> 8))").alias("errors"),
     )
 
 
 PAGE_MAPS = """
-map_lines AS (SELECT conv_id AS document_id, turn AS page_index, text FROM conversations WHERE turn % 3 <> 0 AND conv_id % 9 <> 8),
+map_lines AS (SELECT conv_id AS document_id, turn AS page_index, text FROM conversations WHERE turn % 12 <> 0 AND conv_id % 9 <> 8),
 map_errors AS (SELECT conv_id AS document_id, turn AS page_index, concat('err ', turn) AS error
                FROM conversations WHERE turn % 4 = 0 AND conv_id % 9 <> 8)"""
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.session import ship
+
 MODULES = ["lines", "geometry", "quality", "documents", "failures", "scoring", "training", "files", "monitoring", "streams"]
 
 
@@ -21,8 +24,18 @@ def _collect(attribute: str) -> dict:
     return found
 
 
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, with the package given to the session's Python workers first."""
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _collect("QUERIES")
+    return {name: _shipped(query) for name, query in _collect("QUERIES").items()}
 
 
 def oracles() -> dict[str, str]:

@@ -66,9 +66,7 @@ def vectors(s, d):
 
 
 QUERIES["stratified_split"] = lambda s, d: T.stratified_split(vectors(s, d).select("vec_id", "label")).select("vec_id", "label", "is_test")
-_HASH = "((CAST(42 AS BIGINT) * 69069 + (vec_id % 2147483647) * 40503 + 12345) % 2147483647)"
-for _ in range(2):
-    _HASH = f"(({_HASH} * 48271 + 11) % 2147483647)"
+_HASH = "(('0x' || substr(md5(concat('42:', vec_id)), 1, 12))::BIGINT % 2147483647)"
 ORACLE["stratified_split"] = f"""
 WITH hashed AS (SELECT vec_id, CAST(label AS BIGINT) AS label, {_HASH} AS h FROM embeddings),
 sizes AS (SELECT label, count(*) AS size FROM hashed GROUP BY 1),

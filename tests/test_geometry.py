@@ -154,3 +154,11 @@ def test_stable_order(spark):
     steps = [("a", (None,) * 4, 2), ("b", (None,) * 4, None), ("c", (None,) * 4, 2), ("d", (None,) * 4, 1)]
     df = spark.createDataFrame([(steps,)], f"t {STEP}")
     assert [t["transform_type"] for t in df.select(X.sorted_transforms(F.col("t")).alias("t")).first()["t"]] == ["b", "d", "a", "c"]
+
+
+def test_a_page_without_size_is_a_row(spark):
+    from pagemill.functions import quads
+    row = spark.createDataFrame([(0, 0, [[0., 0.], [1., 0.], [1., 1.], [0., 1.]])], "width int, height int, corners array<array<double>>")
+    first = row.select(quads.edge_margins(F.col("corners"), F.col("width"), F.col("height")).alias("m"),
+                       quads.centred_margins(F.col("width"), F.col("height"), F.lit(1), F.lit(1)).alias("c")).first()
+    assert list(first["m"]) == [None] * 4 and list(first["c"]) == [None] * 4

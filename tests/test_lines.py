@@ -63,9 +63,15 @@ def test_checked_lines(spark):
     assert {r["problem"] for r in bad.collect()} == {"confidence_range", "box_shape", "negative_time", "text_missing"}
 
 
-@pytest.mark.parametrize("limit", [64, 0])
-def test_vector_aggregation(spark, limit, monkeypatch):
-    monkeypatch.setattr(V, "DIRECT_DIMS", limit)
+@pytest.mark.parametrize("dim", [1, 64, 65, 384])
+def test_every_width_is_treated_alike(spark, dim):
+    rows = [(1, [1.0] * dim, .5), (1, [None] * dim, .5), (2, [3.0] * dim, 0.0)]
+    df = spark.createDataFrame(rows, "k int, vector array<double>, confidence double")
+    found = {r["k"]: list(r["vector"]) for r in V.aggregate_vectors(df, ["k"], dim).collect()}
+    assert found == {1: [.5] * dim, 2: [None] * dim}
+
+
+def test_vector_aggregation(spark):
     df = spark.createDataFrame([(1, [1., 2., 3.], .9), (1, [4., 5., 6.], .8), (1, [7., 8., 9.], .7)], "k int, vector array<double>, confidence double")
     assert vectors_of(V.aggregate_vectors(df, ["k"], 3)) == [3.75, 4.75, 5.75]
     assert vectors_of(V.aggregate_vectors(df, ["k"], 3, weight=None)) == [4, 5, 6]

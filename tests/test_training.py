@@ -1,6 +1,6 @@
 """Labels, split, models, evaluation, scoring."""
 
-import math
+import hashlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -97,7 +97,11 @@ def test_unknown_model():
 
 def test_hash_is_stable(spark):
     value = spark.range(1).select(T.hash_key(42, "id")).first()[0]
-    h = (42 * 69069 + 12345) % 2147483647
-    for _ in range(2):
-        h = (h * 48271 + 11) % 2147483647
-    assert value == h and not math.isnan(h)
+    assert value == int(hashlib.md5(b"42:0").hexdigest()[:12], 16) % 2147483647
+
+
+def test_split_has_no_stride(spark):
+    rows = spark.range(20_000).selectExpr("id", "'a' AS class_name", "0 AS label")
+    chosen = sorted(r["id"] for r in T.stratified_split(rows, key="id").where("is_test").collect())
+    gaps = {b - a for a, b in zip(chosen, chosen[1:])}
+    assert len(chosen) == 4000 and len(gaps) > 15
