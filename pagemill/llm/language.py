@@ -10,7 +10,7 @@ id over the whole table, and the ``WORDS`` and ``GRAMS`` most frequent entries.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0. Without any labelled document every
 prediction is ``und``. Ties go to the language that sorts first. A text none of whose words says anything gets equal
-shares. Rows of one doc_id are predicted one by one; a null doc_id is not held out and hashes as the text ``null``.
+shares. Rows of one doc_id are predicted one by one; a null doc_id hashes as the text ``null``.
 An empty table gives an empty result. Other columns are ignored.
 """
 
@@ -73,7 +73,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, words: int = WORDS, grams: in
     if not n:
         return None
     if n > rows:  # a share of the hash range, not of the order
-        known = known.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+        known = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
     counts = cut(known.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")))
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # at most ``rows``
     if not languages:

@@ -7,7 +7,7 @@ scorer is then fitted to the weak labels, on hashed features: the shape of every
 statistics. It scores every whole text, and documents of a score under ``KEEP`` are rejected.
 
 The patterns are at most 3 to the number of labellers, so their counts fit the driver at any size. The scorer's fit is
-bounded by a documented parameter: about ``FIT_ROWS`` documents, chosen by a hash over the whole table.
+bounded by a documented parameter: about ``FIT_ROWS`` different texts, chosen by a hash over the whole table.
 
 Defined cases: a null or empty text, or one without words, gets no votes; its score is the share of good documents,
 so it is kept unless most are bad. Rows of one doc_id are judged one by one; a null doc_id stays null. An empty table
@@ -196,11 +196,12 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS, buckets: int = BUCKETS) -> tuple[
     """Weak labels from the vote patterns of all documents, and a scorer fitted to them on about ``rows`` documents."""
     n = docs.count()
     share = min(1.0, rows / max(n, 1))
-    texts = docs.select(body().alias("body"), (F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * share)).alias("chosen"))
+    texts = docs.select(body().alias("body"), (F.pmod(F.xxhash64("doc_id", body(), F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * share)).alias("chosen"))
     seen = cut(texts.mapInArrow(_observe(buckets), "pattern long, features binary"))
     counted = seen.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()  # 3 ** labellers at most
     labels = Labels(np.array([r["pattern"] for r in counted], np.int64), np.array([r["n"] for r in counted], np.float64))
-    sample = seen.where(F.col("features").isNotNull()).orderBy("pattern", "features").collect()  # about ``rows``
+    # about ``rows``: equal rows are chosen together, so each kind counts once
+    sample = sorted(seen.where(F.col("features").isNotNull()).distinct().collect(), key=lambda r: (r["pattern"], bytes(r["features"])))
     features = np.array([np.frombuffer(r["features"], np.float32) for r in sample], np.float32).reshape(-1, buckets)
     patterns = np.array([r["pattern"] for r in sample], np.int64)
     return labels, Scorer(features, labels.posterior(patterns), labels.good)
