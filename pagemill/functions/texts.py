@@ -48,13 +48,18 @@ def document_status(ok: Column, failed: Column) -> Column:
     return F.when(failed == 0, "success").when(ok == 0, "error").otherwise("partial_success")
 
 
-def document_message(ok: Column, failed: Column, total: Column, missing: Column, late: Column, deadline_s: int) -> Column:
-    """Status message; ``missing`` is the joined list of missing page numbers, empty or null when there is none."""
+def document_message(ok: Column, failed: Column, total: Column, late: Column, deadline_s: int) -> Column:
+    """Status message without the list of missing pages, which ``missing_list`` gives block by block."""
     base = (
         F.when(failed == 0, F.format_string(ALL_OK, ok, total))
         .when(ok == 0, F.format_string(ALL_FAILED, failed, total))
         .otherwise(F.format_string(PARTIAL, ok, failed, total))
     )
-    listed = F.when(F.coalesce(F.length(missing), F.lit(0)) > 0, F.concat(F.lit(MISSING_LIST), missing)).otherwise("")
     note = F.when(late, F.format_string(DEADLINE_NOTE, F.lit(deadline_s))).otherwise("")
-    return F.concat(base, listed, note)
+    return F.concat(base, note)
+
+
+def missing_list(numbers: Column) -> Column:
+    """Text of missing page numbers, empty when there is none."""
+    listed = F.array_join(F.transform(numbers, lambda n: n.cast("string")), ", ")
+    return F.when(F.size(numbers) > 0, F.concat(F.lit(MISSING_LIST), listed)).otherwise("")

@@ -58,15 +58,39 @@ def failed_pages(messages: DataFrame) -> DataFrame:
     return latest_results(keyed, ["document_key", "page_index"], ["position"])
 
 
-def page_outcomes(documents: DataFrame, results: DataFrame, failed: DataFrame | None = None, p: Params = Params(),
-                  late: Column | None = None) -> DataFrame:
+def decided_results(documents: DataFrame, results: DataFrame, p: Params = Params()) -> tuple[DataFrame, DataFrame]:
+    """(documents with ``timeout_reached`` and ``processing_time``, their results as of the decision, one per page).
+
+    A document is decided when every expected page has a result, or ``p.document_deadline_s`` after its first result
+    (by ``ts_us``), whichever is first; what comes later does not count. A document without any result has reached its
+    deadline. Only each row's own time counts, never the order in which rows arrive. Pages are reduced before documents,
+    so a huge document is spread over its pages.
+    """
+    deadline = p.document_deadline_s * 1_000_000
+    starts = results.groupBy("document_id").agg(F.min("ts_us").alias("first_us"))
+    timely = results.join(starts, "document_id").where(F.col("ts_us") <= F.col("first_us") + deadline)
+    known = timely.join(documents.select("document_id", "num_pages"), "document_id").where(F.col("page_index").between(0, F.col("num_pages") - 1))
+    reached = known.groupBy(*PAGE).agg(F.min("ts_us").alias("_at")).groupBy("document_id").agg(
+        F.count(F.lit(1)).alias("_pages"), F.max("_at").alias("_complete_us"))
+    judged = documents.join(starts, "document_id", "left").join(reached, "document_id", "left")
+    late = F.coalesce(F.col("_pages"), F.lit(0)) < F.col("num_pages")
+    decided = F.when(late, F.col("first_us") + deadline).otherwise(F.coalesce("_complete_us", "first_us"))
+    judged = judged.withColumns({"timeout_reached": late, "_decided_us": decided}).withColumn(
+        "processing_time", rounded((F.col("_decided_us") - F.col("first_us")) / 1_000_000, 3))
+    counted = known.drop("num_pages", "first_us").join(judged.select("document_id", "_decided_us"), "document_id").where("ts_us <= _decided_us")
+    return judged.drop("first_us", "_pages", "_complete_us", "_decided_us"), latest_results(counted.drop("_decided_us"))
+
+
+def page_outcomes(documents: DataFrame, results: DataFrame, failed: DataFrame | None = None, p: Params = Params()) -> DataFrame:
     """One row per expected page: its result, or an error row that says why it is missing.
 
-    ``results`` hold one row per page (see ``latest_results``); ``failed`` comes from ``failed_pages``.
+    ``results`` hold one row per page (see ``latest_results``); ``failed`` comes from ``failed_pages``. Documents may say by
+    ``timeout_reached`` that they ran into their deadline (see ``decided_results``).
     All joins are on (document, page), so one huge document is spread like many small ones.
     """
-    late = F.lit(False) if late is None else late
-    pages = page_numbers(documents)
+    timed = ["timeout_reached"] if "timeout_reached" in documents.columns else []
+    late = F.col("timeout_reached") if timed else F.lit(False)
+    pages = page_numbers(documents, keep=["document_id", *timed])
     stored = results.select(*PAGE, "document_type", "confidence", "error", F.lit(True).alias("found"))
     joined = pages.join(stored, PAGE, "left").withColumn("missing", F.col("found").isNull()).drop("found")
     reason = F.when(late, F.format_string(texts.MISSING_TIMEOUT, F.lit(p.document_deadline_s))).otherwise(texts.MISSING_UNKNOWN)
@@ -88,16 +112,15 @@ def page_outcomes(documents: DataFrame, results: DataFrame, failed: DataFrame |
     return outcome.select("document_id", "total_pages", "page_number", "page_index", "document_type", "confidence", "error", "missing", "summary")
 
 
-ENTRIES = "array<struct<page_number: bigint, document_type: string, confidence: double, error: string, missing: boolean, summary: string>>"
 COUNTS = ["document_id", "filename", "status", "total_pages", "successful_pages", "failed_pages", "missing_count", "success_rate"]
 
 
-def _rolled_up(outcomes: DataFrame, documents: DataFrame, *extra: Column) -> DataFrame:
+def _rolled_up(outcomes: DataFrame, documents: DataFrame) -> DataFrame:
     """One aggregation over the pages, joined to the documents (some have no page)."""
     counted = outcomes.groupBy("document_id").agg(
         F.count_if(F.col("error").isNull()).alias("ok"),
         F.count_if(F.col("error").isNotNull()).alias("bad"),
-        F.count_if("missing").alias("gaps"), *extra,
+        F.count_if("missing").alias("gaps"),
     )
     zero = F.lit(0).cast("bigint")
     known = documents.join(counted, "document_id", "left").withColumns(
@@ -123,33 +146,37 @@ def seconds_per_page(seconds: Column, pages: Column) -> Column:
     return rounded(ratio(seconds, pages), 3)
 
 
-def document_results(outcomes: DataFrame, documents: DataFrame, p: Params = Params(), late: Column | None = None) -> DataFrame:
-    """The stored document record with nested pages, missing numbers, summary lines and message.
+def document_results(outcomes: DataFrame, documents: DataFrame, p: Params = Params()) -> DataFrame:
+    """The stored document record: counts, status, rate, ``timeout_reached``, ``processing_time`` and message.
+
+    It is the same for documents of any size and holds no list: page results, summary lines and missing numbers are the
+    rows of ``page_outcomes``, or the numbered blocks of ``document_blocks``. ``timeout_reached`` and ``processing_time``
+    are taken from the documents (see ``decided_results``); without them they are false and null.
+    """
+    late = F.col("timeout_reached") if "timeout_reached" in documents.columns else F.lit(False)
+    seconds = F.col("processing_time") if "processing_time" in documents.columns else F.lit(None).cast("double")
+    full = _rolled_up(outcomes, documents).select(*COUNTS, late.alias("timeout_reached"), seconds.alias("processing_time"))
+    return full.withColumn("message", texts.document_message(
+        F.col("successful_pages"), F.col("failed_pages"), F.col("total_pages"), F.col("timeout_reached"), p.document_deadline_s))
+
 
-    Arrays are built only for documents of at most ``p.nested_pages`` expected pages, a known bound.
-    Longer documents keep counts and status here (``nested`` is false); their pages, missing numbers and
-    summary lines are complete as rows of ``page_outcomes``.
+def document_blocks(outcomes: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Page results, summary lines, missing numbers and their text, in blocks of ``size`` consecutive pages numbered from 0.
+
+    Documents of any size have the same form: a group is a block, so no row and no task holds more than ``size`` pages of one
+    document. A document without pages has no block.
     """
-    late = F.lit(False) if late is None else late
     entry = F.struct("page_number", "document_type", "confidence", "error", "missing", "summary")
-    # Nulls are not collected: pages of long documents only count.
-    pages = F.collect_list(F.when(F.col("total_pages") <= p.nested_pages, entry))
-    rolled = _rolled_up(outcomes, documents, F.sort_array(pages).alias("_p"))
-    nested = F.col("total_pages") <= p.nested_pages
-    joined = rolled.select(*COUNTS, F.when(nested, F.coalesce("_p", F.array().cast(ENTRIES))).alias("_p"))
+    blocks = outcomes.groupBy("document_id", F.expr(f"page_index div {size}").alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("_p"))
     gaps = F.transform(F.filter("_p", lambda r: r["missing"]), lambda r: r["page_number"])
-    full = joined.withColumns({
-        "nested": F.col("total_pages") <= p.nested_pages,
+    return blocks.withColumns({
         "missing_pages": gaps,
+        "missing_list": texts.missing_list(gaps),
         "results_by_page": F.transform("_p", lambda r: F.struct(
             r["page_number"].alias("page_number"), r["document_type"].alias("document_type"),
             r["confidence"].alias("confidence"), r["error"].alias("error"))),
         "page_summary": F.transform("_p", lambda r: r["summary"]),
-        "timeout_reached": late,
     }).drop("_p")
-    listed = F.array_join(F.transform("missing_pages", lambda n: n.cast("string")), ", ")
-    return full.withColumn("message", texts.document_message(
-        F.col("successful_pages"), F.col("failed_pages"), F.col("total_pages"), listed, F.col("timeout_reached"), p.document_deadline_s))
 
 
 def with_filenames(documents: DataFrame, names: DataFrame) -> DataFrame:

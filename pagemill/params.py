@@ -56,10 +56,6 @@ class Params:
     test_size: float = 0.2
     seed: int = 42
 
-    # Ours: a document with more expected pages than this keeps its per-page rows in the page table only,
-    # so that no nested array grows with an unbounded document.
-    nested_pages: int = 20000
-
 
 # Accepted file extensions, in their documented order.
 LISTED_EXTENSIONS = (".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".bmp")

@@ -117,6 +117,27 @@ PAGE_RESULTS = f"""
 page_results AS (SELECT {_PAGE_RESULT_SQL}, ts, epoch_us(ts) AS ts_us FROM events)"""
 
 
+# Page results a thousand times closer together, so that some documents of one to seven pages complete within their deadline
+# and others do not.
+_TIMED = {**_PAGE_RESULT, "page_index": "event_id % (1 + user_id % 7)", "num_pages": "1 + user_id % 7"}
+TIMED_EXPRS, _TIMED_SQL = _dual(_TIMED)
+TIMED_EXPRS = [e.replace("VARCHAR(20)", "STRING") for e in TIMED_EXPRS]
+
+
+def timed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events(spark, sf_dir).selectExpr(*TIMED_EXPRS, "ts_us div 1000 AS ts_us").drop("num_pages")
+
+
+def timed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id")).distinct()
+    return ids.selectExpr("document_id", "1 + document_id % 7 AS num_pages", "CAST(NULL AS STRING) AS filename")
+
+
+TIMED = f"""
+timed_results AS (SELECT {_TIMED_SQL}, epoch_us(ts) // 1000 AS ts_us FROM events),
+timed_documents AS (SELECT DISTINCT user_id AS document_id, 1 + user_id % 7 AS num_pages FROM events)"""
+
+
 def documents_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id")).distinct()
     return ids.selectExpr(

@@ -8,10 +8,12 @@ from pagemill.functions import texts
 from pagemill.functions.numbers import rounded
 from pagemill.operators import documents as D
 from pagemill.operators.quantiles import positions
+from pagemill.params import Params
 from pagemill.plans import bindings as B
 from pagemill.sources.messages import parse_messages
 
 QUERIES, ORACLE = {}, {}
+P = Params()
 
 
 def stored(s, d):
@@ -39,6 +41,10 @@ _TOLD = _quoted(texts.MISSING_FAILED.replace("%d", "{}").replace("%s", "{}"))
 _SUMMARY_OK = _quoted(texts.PAGE_OK.replace("%d", "{}").replace("%s", "{}").replace("%.2f%%", "{:.2f}%"))
 _SUMMARY_ERROR = _quoted(texts.PAGE_ERROR.replace("%d", "{}").replace("%s", "{}"))
 _A, _B = texts.ERROR_PREFIXES
+MESSAGE = f"""CASE WHEN bad = 0 THEN format({_quoted(texts.ALL_OK.replace('%d', '{}'))}, ok, total_pages)
+                WHEN ok = 0 THEN format({_quoted(texts.ALL_FAILED.replace('%d', '{}'))}, bad, total_pages)
+                ELSE format({_quoted(texts.PARTIAL.replace('%d', '{}'))}, ok, bad, total_pages) END"""
+_EXPLAINED = f"""CASE WHEN contains(ERR, '{_A[0]}') THEN concat('{_A[1]}', ERR) WHEN contains(ERR, '{_B[0]}') THEN concat('{_B[1]}', ERR) ELSE ERR END"""
 OUTCOMES = f"""
 numbered AS (SELECT document_id, num_pages, unnest(range(num_pages)) AS page_index FROM documents_expected),
 joined AS (SELECT n.document_id, n.page_index, n.page_index + 1 AS page_number, l.document_type, coalesce(l.confidence, 0) AS confidence,
@@ -53,16 +59,12 @@ outcomes AS (SELECT *, CASE WHEN error IS NOT NULL THEN format({_SUMMARY_ERROR},
     ELSE format({_SUMMARY_OK}, page_number, coalesce(document_type, 'None'), confidence * 100) END AS summary FROM joined),
 counted AS (SELECT d.document_id, coalesce(d.filename, concat('document_', d.document_id)) AS filename, d.num_pages AS total_pages,
     count(*) FILTER (WHERE o.page_number IS NOT NULL AND o.error IS NULL) AS ok, count(o.error) AS bad,
-    count(*) FILTER (WHERE o.missing) AS gaps,
-    string_agg(CASE WHEN o.missing THEN CAST(o.page_number AS VARCHAR) END, ', ' ORDER BY o.page_number) AS listed
+    count(*) FILTER (WHERE o.missing) AS gaps
   FROM documents_expected d LEFT JOIN outcomes o ON o.document_id = d.document_id GROUP BY 1, 2, 3),
 reported AS (SELECT document_id, filename, CASE WHEN bad = 0 THEN 'success' WHEN ok = 0 THEN 'error' ELSE 'partial_success' END AS status,
     total_pages, ok AS successful_pages, bad AS failed_pages, gaps AS missing_count,
     CASE WHEN total_pages > 0 THEN round(CAST(ok AS DOUBLE) / total_pages * 100, 2) ELSE 0 END AS success_rate,
-    concat(CASE WHEN bad = 0 THEN format({_quoted(texts.ALL_OK.replace('%d', '{}'))}, ok, total_pages)
-                WHEN ok = 0 THEN format({_quoted(texts.ALL_FAILED.replace('%d', '{}'))}, bad, total_pages)
-                ELSE format({_quoted(texts.PARTIAL.replace('%d', '{}'))}, ok, bad, total_pages) END,
-           CASE WHEN listed <> '' THEN concat('{texts.MISSING_LIST}', listed) ELSE '' END) AS message FROM counted)"""
+    {MESSAGE} AS message FROM counted)"""
 _PARTS = (B.PAGE_RESULTS, B.DOCUMENTS_EXPECTED, B.FAILED_MESSAGES, LATEST, NOTES, OUTCOMES)
 
 # J1, J2, F2, F3 (rows)
@@ -177,19 +179,64 @@ SELECT result_id, CASE WHEN error IS NULL THEN 'success' ELSE 'error' END AS sta
   CASE WHEN error IS NULL THEN confidence ELSE 0 END AS confidence, error FROM page_results""", B.PAGE_RESULTS)
 
 
-# nested record: array shapes as text
+# nested record in blocks: array shapes as text
 def document_records(s, d):
-    full = D.document_results(outcomes(s, d), B.documents_expected(s, d))
-    return full.select(
-        "document_id", F.array_join(F.transform("missing_pages", lambda n: n.cast("string")), ",").alias("missing"),
+    return D.document_blocks(outcomes(s, d)).select(
+        "document_id", "block", "missing_list",
         F.array_join(F.transform("results_by_page", lambda r: F.concat(r["page_number"].cast("string"), F.lit(":"), F.coalesce(r["document_type"], F.lit("-")))), ",").alias("types"),
         rounded(F.aggregate("results_by_page", F.lit(0.0), lambda a, r: a + r["confidence"]), 4).alias("confidence_sum"),
-        F.array_join("page_summary", "|").alias("page_summary"), "timeout_reached")
+        F.array_join("page_summary", "|").alias("page_summary"))
 
 
+LISTED = f"""CASE WHEN bool_or(missing) THEN concat('{texts.MISSING_LIST}',
+    string_agg(CAST(page_number AS VARCHAR), ', ' ORDER BY page_number) FILTER (WHERE missing)) ELSE '' END"""
 QUERIES["document_records"] = document_records
-ORACLE["document_records"] = B.sql("""
-SELECT document_id, coalesce(string_agg(CASE WHEN missing THEN CAST(page_number AS VARCHAR) END, ',' ORDER BY page_number), '') AS missing,
+ORACLE["document_records"] = B.sql(f"""
+SELECT document_id, page_index // {D.BLOCK} AS block, {LISTED} AS missing_list,
   string_agg(concat(page_number, ':', coalesce(document_type, '-')), ',' ORDER BY page_number) AS types,
-  round(sum(confidence ORDER BY page_number), 4) AS confidence_sum, string_agg(summary, '|' ORDER BY page_number) AS page_summary,
-  false AS timeout_reached FROM outcomes GROUP BY document_id""", *_PARTS)
+  round(sum(confidence ORDER BY page_number), 4) AS confidence_sum, string_agg(summary, '|' ORDER BY page_number) AS page_summary
+FROM outcomes GROUP BY document_id, page_index // {D.BLOCK}""", *_PARTS)
+
+
+# A2, J1: documents decided at completeness or at their deadline, by the time of each result
+def _decided(s, d):
+    return D.decided_results(B.timed_documents(s, d), B.timed_results(s, d))
+
+
+_DEADLINE_S = P.document_deadline_s
+DECIDED = f"""
+starts AS (SELECT document_id, min(ts_us) AS first_us FROM timed_results GROUP BY 1),
+reached AS (SELECT r.document_id, n.num_pages, first_us, page_index, min(r.ts_us) AS at_us
+  FROM timed_results r JOIN starts USING (document_id) JOIN timed_documents n USING (document_id)
+  WHERE r.ts_us <= first_us + {_DEADLINE_S * 1000000} AND page_index BETWEEN 0 AND n.num_pages - 1 GROUP BY ALL),
+decided AS (SELECT document_id, num_pages, first_us, count(*) < num_pages AS late,
+    CASE WHEN count(*) < num_pages THEN first_us + {_DEADLINE_S * 1000000} ELSE max(at_us) END AS decided_us FROM reached GROUP BY document_id, num_pages, first_us),
+in_time AS (SELECT r.* FROM timed_results r JOIN decided USING (document_id) WHERE r.ts_us <= decided_us
+  QUALIFY row_number() OVER (PARTITION BY document_id, page_index ORDER BY r.ts_us DESC, result_id DESC) = 1),
+expected AS (SELECT document_id, num_pages, late, unnest(range(num_pages)) AS page_index FROM decided),
+judged AS (SELECT e.document_id, e.page_index, e.page_index + 1 AS page_number, i.document_type, coalesce(i.confidence, 0) AS confidence,
+    i.result_id IS NULL AS missing,
+    CASE WHEN i.result_id IS NULL AND e.late THEN {_quoted(texts.MISSING_TIMEOUT.replace("%d", str(_DEADLINE_S)))}
+         WHEN i.result_id IS NULL THEN {_UNKNOWN} ELSE {_EXPLAINED.replace("ERR", "i.error")} END AS error
+  FROM expected e LEFT JOIN in_time i ON i.document_id = e.document_id AND i.page_index = e.page_index),
+rolled AS (SELECT document_id, count(*) AS total_pages, count(*) FILTER (WHERE error IS NULL) AS ok, count(error) AS bad,
+    count(*) FILTER (WHERE missing) AS gaps FROM judged GROUP BY 1),
+records AS (SELECT document_id, total_pages, ok AS successful_pages, bad AS failed_pages, gaps AS missing_count, late AS timeout_reached,
+    round((decided_us - first_us) / 1000000, 3) AS processing_time,
+    CASE WHEN bad = 0 THEN 'success' WHEN ok = 0 THEN 'error' ELSE 'partial_success' END AS status,
+    concat({MESSAGE}, CASE WHEN late THEN '{texts.DEADLINE_NOTE.replace("%d", str(_DEADLINE_S))}' ELSE '' END) AS message
+  FROM rolled JOIN decided USING (document_id))"""
+TIMED_PARTS = (B.TIMED, DECIDED)
+RECORD = ["document_id", "total_pages", "successful_pages", "failed_pages", "missing_count", "timeout_reached", "processing_time", "status", "message"]
+
+
+def documents_by_deadline(s, d):
+    documents, results = _decided(s, d)
+    return D.document_results(D.page_outcomes(documents, results), documents).select(*RECORD)
+
+
+QUERIES["documents_by_deadline"] = documents_by_deadline
+ORACLE["documents_by_deadline"] = B.sql(f"SELECT {', '.join(RECORD)} FROM records", *TIMED_PARTS)
+_JUDGED = ["document_id", "page_number", "document_type", "confidence", "error", "missing"]
+QUERIES["pages_by_deadline"] = lambda s, d: D.page_outcomes(*_decided(s, d)).select(*_JUDGED)
+ORACLE["pages_by_deadline"] = B.sql(f"SELECT {', '.join(_JUDGED)} FROM judged", *TIMED_PARTS)

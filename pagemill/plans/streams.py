@@ -1,11 +1,12 @@
-"""Streaming jobs over the events table, drained and read back. Windowed jobs equal their batch SQL."""
+"""Streaming jobs over the events table, drained and read back. They equal their batch SQL for any split of the table into
+files and any order of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from pagemill.functions.numbers import rounded
-from pagemill.operators.documents import latest_results
+from pagemill.operators.documents import BLOCK, latest_results
 from pagemill.operators.monitoring import bucket_quantile
 from pagemill.plans import bindings as B
 from pagemill.plans import documents as D
@@ -17,9 +18,11 @@ from pagemill.streaming import documents as SD
 from pagemill.streaming import rates as SR
 from pagemill.streaming.retries import start_retries
 from pagemill.streaming.tasks import task_states
-from pagemill.streaming.runner import drain, newest, stream_session
+from pagemill.streaming.runner import drain, drain_to_end, newest, stream_session
 
 QUERIES, ORACLE = {}, {}
+# The table is a bounded source whose files come in any order, so the delay spans more than its history: no row is late.
+ANY_ORDER = "3650 days"
 
 
 def _events(s, d):
@@ -38,7 +41,7 @@ ORACLE["stream_directory"] = "SELECT event_id, user_id, epoch_us(ts) AS ts_us FR
 # T1
 def stream_upserts(s, d):
     results = _events(s, d).selectExpr(*[e.replace("VARCHAR(20)", "STRING") for e in B._PAGE_RESULT_EXPRS], "ts", "ts_us")
-    written = drain(s, "upserts", SD.distinct_results(results), "append", latest_results)
+    written = drain(s, "upserts", SD.distinct_results(results, ANY_ORDER), "append", latest_results)
     return latest_results(written).select(*D._STORED)
 
 
@@ -48,26 +51,22 @@ ORACLE["stream_upserts"] = D.ORACLE["latest_results"]
 
 # T2, T3
 def stream_fan_in(s, d):
-    results = _events(s, d).selectExpr(
-        "user_id AS document_id", "20 + user_id % 3 AS num_pages", "event_id % 20 AS page_index", "event_type <> 'error' AS ok",
-        "event_id AS result_id", "ts", "ts_us")
-    return drain(s, "fanin", SD.fan_in(results), "append").drop("batch_id")
+    timed = _events(s, d).selectExpr(*B.TIMED_EXPRS, "ts_us div 1000 AS ts_us").withColumn("ts", F.timestamp_micros("ts_us"))
+    results = timed.withColumn("ok", F.col("error").isNull()).select("document_id", "num_pages", "page_index", "ok", "result_id", "ts", "ts_us")
+    emitted = drain_to_end(s, "fanin", results, lambda r: SD.fan_in(r, delay=ANY_ORDER))
+    return emitted.select(*D.RECORD, "block", "missing_list")
 
 
 QUERIES["stream_fan_in"] = stream_fan_in
-# All rows are available at the start, so every result arrives before its document's deadline fires.
-ORACLE["stream_fan_in"] = B.sql("""
-SELECT document_id, num_pages, good AS successful_pages, num_pages - good AS failed_pages, num_pages - pages AS missing_count,
-  pages < num_pages AS timeout_reached, first_ms, last_ms,
-  CASE WHEN good = num_pages THEN 'success' WHEN good = 0 THEN 'error' ELSE 'partial_success' END AS status
-FROM (SELECT document_id, 20 + document_id % 3 AS num_pages, count(*) AS pages, count(*) FILTER (WHERE error IS NULL) AS good FROM latest GROUP BY 1)
-JOIN (SELECT document_id, min(ts_us // 1000) AS first_ms, max(ts_us // 1000) AS last_ms FROM page_results GROUP BY 1) USING (document_id)""",
-    B.PAGE_RESULTS, D.LATEST)
+ORACLE["stream_fan_in"] = B.sql(f"""
+SELECT {', '.join(D.RECORD)}, block, missing_list
+FROM records JOIN (SELECT document_id, page_index // {BLOCK} AS block, {D.LISTED} AS missing_list FROM judged GROUP BY ALL) USING (document_id)""",
+    *D.TIMED_PARTS)
 
 
 # T4
 def stream_sliding_rates(s, d):
-    written = drain(s, "sliding", SR.sliding_counts(_monitor(s, d), ["status", "doc_type"]))
+    written = drain(s, "sliding", SR.sliding_counts(_monitor(s, d), ["status", "doc_type"], delay=ANY_ORDER))
     keys = ["status", "doc_type", "window_start"]
     return newest(written, keys).select(*keys, "events", rounded(F.col("events") / 300, 9).alias("rate"))
 
@@ -78,7 +77,7 @@ ORACLE["stream_sliding_rates"] = Q.ORACLE["sliding_rates"]
 
 # T5
 def stream_quantiles(s, d):
-    written = drain(s, "quantiles", SR.windowed_histograms(_monitor(s, d), ["status"]))
+    written = drain(s, "quantiles", SR.windowed_histograms(_monitor(s, d), ["status"], delay=ANY_ORDER))
     latest = newest(written, ["status", "window_start"])
     return latest.select("status", "window_start", "observations", rounded(bucket_quantile(F.col("cumulative"), 0.5)).alias("p50"),
                          rounded(bucket_quantile(F.col("cumulative"), 0.95)).alias("p95"))
@@ -91,7 +90,7 @@ ORACLE["stream_quantiles"] = Q.ORACLE["duration_quantiles_5min"]
 # T6
 def _tumbling(key, condition="true"):
     def run(s, d):
-        written = drain(s, "tumbling", SR.tumbling_counts(_monitor(s, d).where(condition), [key]))
+        written = drain(s, "tumbling", SR.tumbling_counts(_monitor(s, d).where(condition), [key], delay=ANY_ORDER))
         return newest(written, [key, "window_start"]).select(key, "window_start", "events", rounded(F.col("events") / 300, 9).alias("rate"))
     return run
 
@@ -105,7 +104,7 @@ ORACLE["stream_status_rates"] = Q.ORACLE["status_rates"]
 # T7
 def stream_gauges(s, d):
     samples = _monitor(s, d).withColumnRenamed("counter", "size")
-    return newest(drain(s, "gauges", SR.gauges(samples, ["queue_name"])), ["queue_name", "window_start"])
+    return newest(drain(s, "gauges", SR.gauges(samples, ["queue_name"], delay=ANY_ORDER)), ["queue_name", "window_start"])
 
 
 QUERIES["stream_gauges"] = stream_gauges
@@ -129,8 +128,8 @@ ORACLE["stream_retries"] = M.ORACLE["retry_split"]
 # T10
 def stream_task_states(s, d):
     exprs, _ = B._dual(B._TASK)
-    events = _events(s, d).selectExpr(*[e.replace("VARCHAR(20)", "STRING") for e in exprs], "ts_us")
-    return newest(drain(s, "tasks", task_states(events)), ["task_id"])
+    events = _events(s, d).selectExpr(*[e.replace("VARCHAR(20)", "STRING") for e in exprs], "ts", "ts_us")
+    return newest(drain_to_end(s, "tasks", events, lambda e: task_states(e, delay=ANY_ORDER), "update"), ["task_id"])
 
 
 QUERIES["stream_task_states"] = stream_task_states

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pagemill.functions import texts
+from pagemill.functions.numbers import rounded
+from pagemill.operators.documents import BLOCK
 from pagemill.params import Params
+from pagemill.sources.streams import timed_rows
 
 
 def distinct_results(results: DataFrame, delay: str = "24 hours") -> DataFrame:
@@ -18,116 +22,127 @@ def distinct_results(results: DataFrame, delay: str = "24 hours") -> DataFrame:
     return results.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["result_id"])
 
 
+WAITING = "num_pages long, page_index long, ts_us long, result_id long, ok boolean"
 FAN_IN_SCHEMA = (
-    "document_id bigint, num_pages bigint, successful_pages bigint, failed_pages bigint, missing_count bigint,"
-    " timeout_reached boolean, first_ms bigint, last_ms bigint"
+    "document_id bigint, total_pages bigint, successful_pages bigint, failed_pages bigint, missing_count bigint,"
+    " timeout_reached boolean, first_us bigint, decided_us bigint, block bigint, missing_pages array<bigint>"
 )
 
 
+def _due(us: int) -> int:
+    """The watermark (ms) at which all rows up to an event time (us) have come."""
+    return -(-us // 1000)
+
+
 class DocumentFanIn(StatefulProcessor):
-    """Emits a document when all expected pages have a result, or at its deadline with what is there.
+    """Emits a document as of the moment it is complete, or as of its deadline; only the times in the rows count.
 
-    Pages live in map state (on disk, one entry per page), counters in value state; a document of any
-    size is never held in memory. Results after the emission change nothing. The key is cleared one
-    lifetime after its last result.
+    Results wait in list state on disk. A record goes out once the watermark has passed its decision, when no row can change
+    it any more, so the order of rows and files changes nothing. The number of pages is that of the first result. Results
+    after the decision do not count; after one lifetime from its first result the same id is a new document. At its decision
+    one document's pages (a time and a mark each) are in memory; it is emitted in blocks of pages.
     """
 
     def __init__(self, p: Params = Params()) -> None:
-        self.deadline_ms = p.document_deadline_s * 1000
-        self.ttl_ms = p.result_ttl_s * 1000
+        self.deadline_us = p.document_deadline_s * 1_000_000
+        self.ttl_us = p.result_ttl_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pages = handle.getMapState("pages", "page_index long", "ts_us long, result_id long, ok boolean")
-        self.document = handle.getValueState(
-            "document", "num_pages long, good long, bad long, first_ms long, last_ms long, done boolean")
-
-    def _row(self, key, state, late: bool) -> pd.DataFrame:
-        total, good, bad, first, last, _ = state
-        gaps = max(total - good - bad, 0)
-        return pd.DataFrame({
-            "document_id": [key[0]], "num_pages": [total], "successful_pages": [good], "failed_pages": [bad + gaps],
-            "missing_count": [gaps], "timeout_reached": [late], "first_ms": [first], "last_ms": [last]})
+        self.waiting = handle.getListState("waiting", WAITING)
+        # first_us, newest_us and rows of what waits; closed_us: rows before it belong to a document that is out
+        self.document = handle.getValueState("document", "first_us long, newest_us long, rows long, closed_us long, timer_ms long")
+
+    def _arm(self, old: int | None, due: int | None) -> int | None:
+        if old != due:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            if due is not None:
+                self.handle.registerTimer(due)
+        return due
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh = not self.document.exists()
-        total, good, bad, first, last, done = (0, 0, 0, None, None, False) if fresh else self.document.get()
-        watermark = timerValues.getCurrentWatermarkInMs()
-        if not fresh and watermark >= last + self.ttl_ms:
-            # The lifetime is over although its timer has not run yet: these rows start a new document.
-            if not done:
-                yield self._row(key, (total, good, bad, first, last, True), True)
-                self.handle.deleteTimer(first + self.deadline_ms)
-            self.handle.deleteTimer(last + self.ttl_ms)
-            self.pages.clear()
-            self.document.clear()
-            fresh, (total, good, bad, first, last, done) = True, (0, 0, 0, None, None, False)
-        elif not fresh and not done and watermark >= first + self.deadline_ms:
-            # These rows came after the deadline: the document goes out without them.
-            done = True
-            yield self._row(key, (total, good, bad, first, last, done), True)
-            self.handle.deleteTimer(first + self.deadline_ms)
-            self.pages.clear()
-        old_last = last
-        known_first = first
+        first, newest, count, closed, timer = self.document.get() if self.document.exists() else (None, None, 0, None, None)
         for chunk in rows:
-            stamps = chunk["ts_us"] // 1000
-            total = int(chunk["num_pages"].max())
-            first = int(stamps.min()) if first is None else min(first, int(stamps.min()))
-            last = int(stamps.max()) if last is None else max(last, int(stamps.max()))
-            if done:
+            chunk = chunk if closed is None else chunk[chunk["ts_us"] >= closed]
+            if chunk.empty:
                 continue
-            # Within a chunk only the newest write of a page reaches the state.
-            newest = chunk.sort_values(["ts_us", "result_id"]).drop_duplicates("page_index", keep="last")
-            for page, stamp, result, ok in zip(newest["page_index"], newest["ts_us"], newest["result_id"], newest["ok"]):
-                place, write = (int(page),), (int(stamp), int(result), bool(ok))
-                if place[0] >= total:
-                    continue
-                if self.pages.containsKey(place):
-                    known = self.pages.getValue(place)
-                    if tuple(known)[:2] >= write[:2]:
-                        continue
-                    good, bad = good - bool(known[2]), bad - (not known[2])
-                self.pages.updateValue(place, write)
-                good, bad = good + write[2], bad + (not write[2])
-        complete = not done and good + bad >= total
-        if fresh and not complete:
-            self.handle.registerTimer(first + self.deadline_ms)
-        if old_last != last:
-            if old_last is not None:
-                self.handle.deleteTimer(old_last + self.ttl_ms)
-            self.handle.registerTimer(last + self.ttl_ms)
-        state = (total, good, bad, first, last, done or complete)
-        if complete:
-            self.pages.clear()
-            if not fresh:
-                self.handle.deleteTimer(known_first + self.deadline_ms)
-        elif not fresh and not done and first != known_first:
-            self.handle.deleteTimer(known_first + self.deadline_ms)
-            self.handle.registerTimer(first + self.deadline_ms)
-        self.document.update(state)
-        if complete:
-            yield self._row(key, state, False)
+            low, high = int(chunk["ts_us"].min()), int(chunk["ts_us"].max())
+            first, newest = (low, high) if first is None else (min(first, low), max(newest, high))
+            count += len(chunk)
+            fields = chunk[["num_pages", "page_index", "ts_us", "result_id", "ok"]]
+            self.waiting.appendList([(int(n), int(page), int(t), int(i), bool(ok)) for n, page, t, i, ok in fields.itertuples(index=False, name=None)])
+        if first is not None:
+            timer = self._arm(timer, _due(min(first + self.deadline_us, newest)))
+        if first is not None or closed is not None:
+            self.document.update((first, newest, count, closed, timer))
+        yield from ()
+
+    def _decision(self, first: int) -> tuple[int, int, bool]:
+        """(pages, time of the decision, late) from what waits."""
+        starts: dict[int, int] = {}
+        opening, limit = (math.inf, 0, 0), first + self.deadline_us
+        for pages, page, at, result, _ in self.waiting.get():
+            if at <= limit:
+                opening = min(opening, (at, result, pages))
+                starts[page] = min(at, starts.get(page, at))
+        total = opening[2]
+        reached = [at for page, at in starts.items() if 0 <= page < total]
+        late = len(reached) < total
+        return total, limit if late else max(reached, default=first), late
+
+    def _records(self, key, first: int, total: int, decided: int, late: bool) -> Iterator[pd.DataFrame]:
+        newest: dict[int, tuple] = {}
+        for _, page, at, result, ok in self.waiting.get():
+            if at <= decided and 0 <= page < total:
+                newest[page] = max(newest.get(page, (at, result, ok)), (at, result, ok))
+        good, gaps = sum(w[2] for w in newest.values()), total - len(newest)
+        for block in range(max(-(-total // BLOCK), 1)):
+            numbers = [i + 1 for i in range(block * BLOCK, min((block + 1) * BLOCK, total)) if i not in newest]
+            yield pd.DataFrame({
+                "document_id": [key[0]], "total_pages": [total], "successful_pages": [good], "failed_pages": [total - good],
+                "missing_count": [gaps], "timeout_reached": [late], "first_us": [first], "decided_us": [decided],
+                "block": [block], "missing_pages": [numbers]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.document.exists():
             return
-        state = self.document.get()
-        if expiredTimerInfo.getExpiryTimeInMs() >= state[4] + self.ttl_ms:
-            self.pages.clear()
-            self.document.clear()
-        elif not state[5]:
-            self.pages.clear()
-            self.document.update((*state[:5], True))
-            yield self._row(key, state, True)
+        first, newest, count, closed, _ = self.document.get()
+        watermark, due = timerValues.getCurrentWatermarkInMs(), None
+        while first is not None:
+            total, decided, late = self._decision(first)
+            if watermark < _due(decided):
+                due = _due(decided)
+                break
+            yield from self._records(key, first, total, decided, late)
+            closed = first + self.ttl_us
+            rest = [row for row in self.waiting.get() if row[2] >= closed]
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            times = [row[2] for row in rest]
+            first, newest, count = min(times, default=None), max(times, default=None), len(rest)
+        if first is None:
+            if watermark >= _due(closed):
+                self.document.clear()
+                return
+            due = _due(closed)
+        self.handle.registerTimer(due)
+        self.document.update((first, newest, count, closed, due))
 
     def close(self) -> None:
         pass
 
 
 def fan_in(results: DataFrame, p: Params = Params(), delay: str = "10 minutes") -> DataFrame:
-    """Final record per document from a stream of (document_id, num_pages, page_index, ok, result_id, ts, ts_us)."""
-    needed = results.select("document_id", "num_pages", "page_index", "ok", "result_id", "ts", "ts_us").withWatermark("ts", delay)
-    emitted = needed.groupBy("document_id").transformWithStateInPandas(
+    """Final record per document, in blocks of pages, from a stream of (document_id, num_pages, page_index, ok, result_id, ts,
+    ts_us); ``ts_us`` is ``ts`` in microseconds. Rows without a document or page are left out."""
+    needed = results.select("document_id", "num_pages", "page_index", "ok", "result_id", "ts", "ts_us")
+    keyed = timed_rows(needed, ["document_id", "page_index", "num_pages"], delay)
+    emitted = keyed.groupBy("document_id").transformWithStateInPandas(
         statefulProcessor=DocumentFanIn(p), outputStructType=FAN_IN_SCHEMA, outputMode="append", timeMode="EventTime")
-    return emitted.withColumn("status", texts.document_status(F.col("successful_pages"), F.col("failed_pages")))
+    ok, failed = F.col("successful_pages"), F.col("failed_pages")
+    return emitted.withColumns({
+        "processing_time": rounded((F.col("decided_us") - F.col("first_us")) / 1_000_000, 3),
+        "status": texts.document_status(ok, failed),
+        "message": texts.document_message(ok, failed, F.col("total_pages"), F.col("timeout_reached"), p.document_deadline_s),
+        "missing_list": texts.missing_list(F.col("missing_pages")),
+    }).drop("first_us", "decided_us")

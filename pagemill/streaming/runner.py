@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.session import ROCKSDB, run_dir
+from pagemill.sources.streams import mark_end, read_stream
 
 
 def stream_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
@@ -46,6 +47,18 @@ def drain(spark: SparkSession, name: str, stream: DataFrame, mode: str = "update
     return spark.read.parquet(f"{base}/rows")
 
 
+def drain_to_end(spark: SparkSession, name: str, source: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """As ``drain``, for a bounded source: after its last file an end mark follows, which fires all timers still set."""
+    base, session = run_dir(spark, name), source.sparkSession
+    mark_end(session, f"{base}/marks", source.schema, False)
+    stream = build(source.unionByName(read_stream(session, f"{base}/marks", source.schema)))
+    for ended in (False, True):
+        if ended:
+            mark_end(session, f"{base}/marks", source.schema, True)
+        start(stream, f"{base}/rows", f"{base}/checkpoint", mode).awaitTermination()
+    return spark.read.parquet(f"{base}/rows")
+
+
 def newest(versions: DataFrame, keys: list[str]) -> DataFrame:
     """Last written version per key (update mode writes a key whenever it changes)."""
     rest = [c for c in versions.columns if c not in keys and c != "batch_id"]

@@ -9,44 +9,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pagemill.operators.tasks import TERMINAL
+from pagemill.params import Params
+from pagemill.sources.streams import timed_rows
 
 FIELDS = ["status", "created_us", "started_us", "completed_us", "result", "error"]
 SCHEMA = "status string, created_us bigint, started_us bigint, completed_us bigint, result string, error string"
+EVENT = ["ts_us", "event_id", "status", "result", "error"]
+
+
+def _after(state: dict | None, event: tuple) -> dict | None:
+    """The state of a task after one event; updates of unknown tasks are ignored."""
+    at, _, status, result, error = event
+    if state is None:
+        if status != "pending":
+            return None
+        state = {**dict.fromkeys(FIELDS), "created_us": at}
+    started, ended = status == "processing" and state["started_us"] is None, status in TERMINAL
+    return {
+        "status": status, "created_us": state["created_us"],
+        "started_us": at if started else state["started_us"], "completed_us": at if ended else state["completed_us"],
+        "result": state["result"] if result is None else result, "error": state["error"] if error is None else error,
+    }
 
 
 class TaskLife(StatefulProcessor):
-    """One state per created task; updates of unknown tasks are ignored. Emits the state after each change."""
+    """One state per created task. Events wait until the watermark has passed them and are then applied by (time, event), so
+    the order in which they arrive changes nothing. Emits the state after each change. A finished task of which nothing
+    waits is forgotten once the watermark is ``retention_s`` past its end.
+    """
+
+    def __init__(self, retention_s: int) -> None:
+        self.retention_us = retention_s * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("task", SCHEMA)
+        self.waiting = handle.getListState("waiting", "ts_us long, event_id long, status string, result string, error string")
+        self.timer = handle.getValueState("timer", "due_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = dict(zip(FIELDS, self.state.get())) if self.state.exists() else None
-        changed = False
+        set_to = self.timer.get()[0] if self.timer.exists() else None
+        due = set_to
         for chunk in rows:
-            for e in chunk.sort_values(["ts_us", "event_id"]).itertuples(index=False):
-                at = int(e.ts_us)
-                if state is None:
-                    if e.status != "pending":
-                        continue
-                    state = dict.fromkeys(FIELDS)
-                    state["created_us"] = at
-                changed, state["status"] = True, e.status
-                if e.status == "processing" and state["started_us"] is None:
-                    state["started_us"] = at
-                elif e.status in TERMINAL:
-                    state["completed_us"] = at
-                state["result"] = e.result if e.result is not None else state["result"]
-                state["error"] = e.error if e.error is not None else state["error"]
-        if changed:
-            self.state.update(tuple(state[f] for f in FIELDS))
-            # Object columns keep missing stamps as nulls instead of turning whole columns into floats.
-            yield pd.DataFrame({"task_id": [key[0]], **{f: pd.Series([state[f]], dtype=object) for f in FIELDS}})
+            plain = chunk[EVENT].astype(object).where(chunk[EVENT].notna(), None)
+            self.waiting.appendList([(int(e[0]), int(e[1]), *e[2:]) for e in plain.itertuples(index=False, name=None)])
+            first = -(-int(chunk["ts_us"].min()) // 1000)
+            due = first if due is None else min(due, first)
+        if due != set_to:
+            if set_to is not None:
+                self.handle.deleteTimer(set_to)
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        events = sorted(self.waiting.get(), key=lambda e: e[:2]) if self.waiting.exists() else []
+        ready = [e for e in events if e[0] <= watermark * 1000]
+        rest = events[len(ready):]
+        before = dict(zip(FIELDS, self.state.get())) if self.state.exists() else None
+        state = before
+        for event in ready:
+            state = _after(state, tuple(event))
+        if ready:
+            self.waiting.put(rest) if rest else self.waiting.clear()
+            if state is not None:
+                self.state.update(tuple(state[f] for f in FIELDS))
+                # Object columns keep missing stamps as nulls instead of turning whole columns into floats.
+                yield pd.DataFrame({"task_id": [key[0]], **{f: pd.Series([state[f]], dtype=object) for f in FIELDS}})
+        due = None
+        if rest:
+            due = -(-rest[0][0] // 1000)
+        elif state is not None and state["status"] in TERMINAL:
+            due = -(-(state["completed_us"] + self.retention_us) // 1000)
+            if watermark >= due:
+                self.state.clear()
+                due = None
+        if due is None:
+            self.timer.clear()
+        else:
+            self.handle.registerTimer(due)
+            self.timer.update((due,))
 
     def close(self) -> None:
         pass
 
 
-def task_states(events: DataFrame) -> DataFrame:
-    return events.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=TaskLife(), outputStructType=f"task_id bigint, {SCHEMA}", outputMode="Update", timeMode="None")
+def task_states(events: DataFrame, p: Params = Params(), delay: str = "10 minutes") -> DataFrame:
+    """States of tasks from a stream of (task_id, event_id, status, result, error, ts, ts_us)."""
+    known = timed_rows(events.select("task_id", *EVENT, "ts"), ["task_id"], delay)
+    return known.groupBy("task_id").transformWithStateInPandas(
+        statefulProcessor=TaskLife(p.task_retention_s), outputStructType=f"task_id bigint, {SCHEMA}", outputMode="Update", timeMode="EventTime")

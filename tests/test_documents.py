@@ -8,7 +8,6 @@ from pagemill.operators import documents as D
 from pagemill.operators import failures as M
 from pagemill.operators import recovery as R
 from pagemill.operators import tasks as T
-from pagemill.params import Params
 
 RESULT = "result_id bigint, document_id bigint, page_index bigint, document_type string, confidence double, error string, ts_us bigint"
 
@@ -35,32 +34,56 @@ def test_report(spark, documents, results):
     failed = D.failed_pages(M.parse_messages(raw))
     outcomes = D.page_outcomes(documents, D.latest_results(results), failed)
     full = {r["document_id"]: r for r in D.document_results(outcomes, documents).collect()}
+    lists = {r["document_id"]: r for r in D.document_blocks(outcomes).collect()}
     assert [full[i]["status"] for i in (1, 2, 3, 4)] == ["success", "partial_success", "success", "error"]
-    assert full[1]["page_summary"] == ["Page 1: OK - Facture (confiance: 95.00%)", "Page 2: OK - None (confiance: 50.00%)"]
+    assert lists[1]["page_summary"] == ["Page 1: OK - Facture (confiance: 95.00%)", "Page 2: OK - None (confiance: 50.00%)"]
     assert full[1]["message"] == "Toutes les pages ont été traitées avec succès (2/2)"
-    assert full[2]["missing_pages"] == [3] and full[2]["success_rate"] == 33.33
-    assert full[2]["message"] == "Traitement partiel: 1 page(s) réussie(s), 2 page(s) échouée(s) sur 3 total. Pages manquantes: 3"
-    assert "OCR Timeout ou Erreur: OCR failed: x" in full[2]["page_summary"][0]
-    assert "3/3 tentatives" in full[2]["results_by_page"][2]["error"] and "m1" in full[2]["results_by_page"][2]["error"]
+    assert lists[2]["missing_pages"] == [3] and full[2]["success_rate"] == 33.33
+    assert full[2]["message"] == "Traitement partiel: 1 page(s) réussie(s), 2 page(s) échouée(s) sur 3 total"
+    assert lists[2]["missing_list"] == ". Pages manquantes: 3" and lists[1]["missing_list"] == "" and 3 not in lists
+    assert "OCR Timeout ou Erreur: OCR failed: x" in lists[2]["page_summary"][0]
+    assert "3/3 tentatives" in lists[2]["results_by_page"][2]["error"] and "m1" in lists[2]["results_by_page"][2]["error"]
     assert full[2]["filename"] == "document_2"
     assert full[3]["total_pages"] == 0 and full[3]["success_rate"] == 0
     assert full[4]["message"] == "Toutes les pages ont échoué (1/1)"
-    assert full[4]["results_by_page"][0]["error"] == "Image non trouvée: Image not found: 3"
+    assert lists[4]["results_by_page"][0]["error"] == "Image non trouvée: Image not found: 3"
 
 
 def test_deadline_text(spark, documents, results):
-    late = F.lit(True)
-    outcomes = D.page_outcomes(documents, D.latest_results(results), late=late)
-    r = D.document_results(outcomes, documents, late=late).where("document_id = 2").first()
+    late = documents.withColumn("timeout_reached", F.lit(True))
+    outcomes = D.page_outcomes(late, D.latest_results(results))
+    r = D.document_results(outcomes, late).where("document_id = 2").first()
     assert r["message"].endswith(" [TIMEOUT: Le timeout global de 300s a été atteint]")
-    assert "Timeout global (300s)" in r["results_by_page"][2]["error"]
-
-
-def test_long_documents_stay_in_the_page_table(spark, documents, results):
-    outcomes = D.page_outcomes(documents, D.latest_results(results))
-    r = D.document_results(outcomes, documents, Params(nested_pages=2)).where("document_id = 2").first()
-    assert (r["nested"], r["results_by_page"], r["missing_count"], r["status"]) == (False, None, 1, "partial_success")
-    assert outcomes.where("document_id = 2").count() == 3
+    assert "Timeout global (300s)" in outcomes.where("document_id = 2 AND missing").first()["error"]
+
+
+def test_decision_by_time(spark):
+    """Complete in time, complete too late, a write after completion, no result, no page, a page out of range."""
+    s = 1_000_000
+    documents = spark.createDataFrame([(1, 2, "a"), (2, 2, "b"), (3, 1, "c"), (4, 0, "d"), (5, 1, "e")], "document_id bigint, num_pages bigint, filename string")
+    rows = [(1, 1, 0, 0), (2, 1, 1, 300 * s), (3, 2, 0, 0), (4, 2, 1, 300 * s + 1), (5, 1, 0, 299 * s), (6, 5, 0, 5 * s), (7, 5, 0, 6 * s), (8, 5, 7, 5 * s)]
+    results = spark.createDataFrame([(i, d, n, f"t{i}", .9, None, t) for i, d, n, t in rows], RESULT)
+    judged, counted = D.decided_results(documents, results)
+    got = {r["document_id"]: (r["timeout_reached"], r["processing_time"]) for r in judged.collect()}
+    assert got == {1: (False, 300.0), 2: (True, 300.0), 3: (True, None), 4: (False, None), 5: (False, 0.0)}
+    assert sorted(r["document_type"] for r in counted.collect()) == ["t2", "t3", "t5", "t6"]
+
+
+@pytest.mark.parametrize("pages", [3, 20_001])
+def test_records_look_alike_at_any_size(spark, pages):
+    """Every third page is missing; counts, message and blocks have one form for short and long documents."""
+    document = spark.createDataFrame([(1, pages, "a.pdf")], "document_id bigint, num_pages bigint, filename string")
+    results = spark.range(pages).where("id % 3 < 2").selectExpr(
+        "id AS result_id", "1L AS document_id", "id AS page_index", "'Facture' AS document_type", "0.9D AS confidence", "CAST(NULL AS STRING) AS error", "id AS ts_us")
+    outcomes = D.page_outcomes(document, results)
+    r = D.document_results(outcomes, document).first()
+    gaps = pages // 3
+    assert (r["missing_count"], r["status"], r["timeout_reached"], r["processing_time"]) == (gaps, "partial_success", False, None)
+    assert r["message"] == f"Traitement partiel: {pages - gaps} page(s) réussie(s), {gaps} page(s) échouée(s) sur {pages} total"
+    blocks = sorted(D.document_blocks(outcomes).collect(), key=lambda b: b["block"])
+    assert [b["block"] for b in blocks] == list(range(-(-pages // D.BLOCK)))
+    assert [n for b in blocks for n in b["missing_pages"]] == list(range(3, pages + 1, 3))
+    assert sum(len(b["results_by_page"]) for b in blocks) == sum(len(b["page_summary"]) for b in blocks) == pages
 
 
 def test_page_numbers_cross_block_borders(spark, monkeypatch):
