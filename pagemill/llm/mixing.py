@@ -29,7 +29,7 @@ def uniform(key: Column) -> Column:
 
 
 def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, temperature: float = TEMPERATURE) -> DataFrame:
-    """(source, chars, rate, cdf) per source. ``budget``: characters wanted, as a multiple of those there."""
+    """(source, chars, rate, below, cdf) per source: ``cdf`` holds P(X <= k) for k from ``below``. ``budget``: characters wanted, as a multiple of those there."""
     sizes = cut(docs.groupBy("source").agg(F.sum(F.length(body())).cast("double").alias("chars")))
     if weights is None:
         raw = F.pow("chars", F.lit(float(temperature)))
@@ -39,26 +39,29 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, b
     sizes = sizes.withColumn("raw", raw)
     chars, raws = sizes.agg(F.sum("chars"), F.sum("raw")).first()
     rated = sizes.withColumn("rate", F.coalesce(F.try_divide(F.col("raw") * F.lit(budget * (chars or 0.0)), F.lit(raws or 0.0) * F.col("chars")), F.lit(1.0)))
-    # P(X > last) is far below 2^-52, the step of the uniform numbers
+    # P(X < below) and P(X > last) are far below 2^-52, the step of the uniform numbers
+    below = F.greatest(F.lit(0), F.floor(F.col("rate") - 12 * F.sqrt("rate"))).cast("int")
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
+    # terms relative to the one at ``below``, divided by their sum: exp(-rate) would be 0 from a rate of 746 on
     steps = F.aggregate(
-        F.sequence(F.lit(1), last),
-        F.struct(F.exp(-F.col("rate")).alias("p"), F.array(F.exp(-F.col("rate"))).alias("cdf")),
+        F.sequence(below + 1, last),
+        F.struct(F.lit(1.0).alias("p"), F.array(F.lit(1.0)).alias("cdf")),
         lambda s, k: F.struct((s["p"] * F.col("rate") / k).alias("p"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + s["p"] * F.col("rate") / k)).alias("cdf")),
-        lambda s: s["cdf"])
-    return rated.select("source", "chars", "rate", steps.alias("cdf"))
+        lambda s: F.transform(s["cdf"], lambda c: c / F.element_at(s["cdf"], -1)))
+    return rated.select("source", "chars", "rate", below.alias("below"), steps.alias("cdf"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, temperature: float = TEMPERATURE, seed: int = SEED,
         copy: str = "copy", key: str = "shuffle_key") -> DataFrame:
     """The documents, each as often as it drew, in hashed order, with the number of the copy (from 1) and the order's key."""
     own = docs.columns
-    source, cdf, copy, key = free_name("source_of_rate", own), free_name("cdf", own), free_name(copy, own), free_name(key, own)
-    rates = repetition_rates(docs, weights, budget, temperature).select(F.col("source").alias(source), F.col("cdf").alias(cdf))
+    source, below, cdf = free_name("source_of_rate", own), free_name("below", own), free_name("cdf", own)
+    copy, key = free_name(copy, own), free_name(key, own)
+    rates = repetition_rates(docs, weights, budget, temperature).select(F.col("source").alias(source), F.col("below").alias(below), F.col("cdf").alias(cdf))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     drawn = uniform(F.concat(F.lit(f"{seed}:"), name))
     rated = docs.join(rates, F.col("source").eqNullSafe(F.col(source)))
-    times = F.size(F.filter(F.col(cdf), lambda c: c <= drawn))
+    times = F.col(below) + F.size(F.filter(F.col(cdf), lambda c: c <= drawn))
     copies = rated.withColumn(copy, times).where(F.col(copy) > 0).select(*own, F.explode(F.sequence(F.lit(1), F.col(copy))).alias(copy))
     copies = copies.withColumn(key, F.md5(F.concat_ws(":", F.lit(f"{seed}"), name, F.col(copy).cast("string"))))
     return copies.repartitionByRange(key).sortWithinPartitions(key)
