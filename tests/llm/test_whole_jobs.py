@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from pagemill.llm import mixing
+from pagemill.llm import licenses, mixing
 
 
 @pytest.mark.parametrize("rate", [0.5, 700, 800, 5000])
@@ -20,3 +20,77 @@ def test_large_rates_are_drawn(spark, rate):
             k += 1
             cdf += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
         assert found[i] == k
+
+
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+MIT = """Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+BSD2 = """Copyright (c) 2020, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+BSD3 = BSD2 + """
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either version 3", "Foundation; either version 2")
+LGPL = GPL2.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 2 of", "version 2.1 of")
+AGPL = GPL3.replace("GNU General", "GNU Affero General")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+STANDARD = [
+    (APACHE, ["Apache-2.0", "Apache-2.0-header"]), (MIT, ["MIT"]), ("MIT License\n\nCopyright 2020", ["MIT"]), (BSD2, ["BSD-2-Clause"]), (BSD3, ["BSD-2-Clause", "BSD-3-Clause"]),
+    (GPL3, ["GPL", "GPL-3.0"]), (GPL2, ["GPL", "GPL-2.0"]), (LGPL, ["LGPL-2.1"]), (AGPL, ["AGPL-3.0"]), (MPL, ["MPL-2.0"]), (ISC, ["ISC"]),
+]
+
+
+def test_standard_licence_texts(spark):
+    forms = [lambda t: t, lambda t: t.replace("\n", "\r\n"), lambda t: "/*\n" + "\n".join(f" * {x}" for x in t.split("\n")) + "\n */\nint x;",
+             lambda t: "\n".join(f"# {x}" for x in t.split("\n")), lambda t: t if t.startswith(("MIT", "Copyright")) else " ".join(t.split())]
+    rows = [(i * 10 + j, form(text), names) for i, (text, names) in enumerate(STANDARD) for j, form in enumerate(forms)]
+    rows.append((-1, " ".join(BSD3[BSD3.index("Redistribution"):].split()), ["BSD-2-Clause", "BSD-3-Clause"]))
+    rows.append((-2, GPL2 + "\n\n" + LGPL, ["GPL", "GPL-2.0", "LGPL-2.1"]))
+    rows.append((-3, "Nobody licensed under\nthe MIT License would\nsay so.", []))
+    found = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert found == {i: names for i, _, names in rows}
