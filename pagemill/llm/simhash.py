@@ -148,11 +148,9 @@ def components(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     return prints.join(rooted.select("fp", "root").join(lowest, "root"), "fp")
 
 
-def one_of_each(docs: DataFrame, limit: int = LIMIT, words: int = SHINGLE) -> DataFrame:
-    """The documents without near-copies: of each component the row of the smallest (doc_id, hash of the row) stays."""
-    prints = cut(fingerprints(docs, words))
-    # a null doc_id sorts last
-    first = components(prints, limit).groupBy("root").agg(
+def _keep_first(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """Of the rows of each ``rooted.root`` the one of the smallest (doc_id, hash of the row); a null doc_id sorts last."""
+    first = rooted.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_hash")).alias("first")).select("first.doc_id", "first.row_hash")
     own = docs.columns
     did, row = free_name("first_id", own), free_name("row_hash", own)
@@ -163,6 +161,11 @@ def one_of_each(docs: DataFrame, limit: int = LIMIT, words: int = SHINGLE) -> Da
     return kept.dropDuplicates([did, row]).select(*own)
 
 
+def one_of_each(docs: DataFrame, limit: int = LIMIT, words: int = SHINGLE) -> DataFrame:
+    """The documents without near-copies: of each component the row of the smallest (doc_id, hash of the row) stays."""
+    return _keep_first(docs, components(cut(fingerprints(docs, words)), limit))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = cut(fingerprints(documents(spark, sf_dir).select("doc_id", "text")))
     return components(prints).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -2,10 +2,12 @@
 
 import hashlib
 import math
+import random
 from collections import Counter
 
 import pytest
 
+import corpus_pipeline
 from pagemill.llm import licenses, mixing
 
 
@@ -94,3 +96,35 @@ def test_standard_licence_texts(spark):
     rows.append((-3, "Nobody licensed under\nthe MIT License would\nsay so.", []))
     found = {r["doc_id"]: r["licenses"] for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
     assert found == {i: names for i, _, names in rows}
+
+
+def test_near_copies_by_jaccard_share(spark):
+    rng = random.Random(3)
+    rows, number = [], 0
+    for size in (3, 8, 40, 120, 300):
+        for _ in range(4):
+            base = [f"w{rng.randrange(400)}" for _ in range(size)]
+            for edits in (0, 0, 1, 1, 2, 3, 5, 9):
+                own = list(base)
+                for _ in range(edits):
+                    own[rng.randrange(size)] = f"e{rng.randrange(10_000)}"
+                rows.append((number, " ".join(own)))
+                number += 1
+    rows += [(number, None), (number + 1, ""), (number + 2, "  ")]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect())
+    assert found == sorted({find(i) for i in range(len(rows))})
+    assert len(found) < len(rows)
