@@ -96,7 +96,7 @@ def _trained(kind, **settings):
 
 QUERIES["model_logistic"] = _trained("logistic_regression")
 QUERIES["model_forest"] = _trained("random_forest")
-QUERIES["model_boosted"] = _trained("boosted_trees", maxIter=5)
+QUERIES["model_boosted"] = _trained("boosted_trees")
 
 
 # A13
