@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pagemill.llm import fingerprints, language, licenses, line_dedup, media, mixing, packing, quality, simhash, substrings
+from pagemill.llm import credentials, fingerprints, language, licenses, line_dedup, media, mixing, packing, quality, simhash, spelling, substrings, tries
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,7 +16,11 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_quality": quality.op9_quality,
     "op10_media": media.op10_media,
+    "op11_prefix_trie": tries.op11_prefix_trie,
+    "op12_secrets": credentials.op12_secrets,
+    "op13_spelling": spelling.op13_spelling,
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op4_substring_dedup": substrings.ORACLE, "op6_mixing": mixing.ORACLE, "op8_license_scan": licenses.ORACLE}
+ORACLE = {"op1_line_dedup": line_dedup.ORACLE, "op4_substring_dedup": substrings.ORACLE, "op6_mixing": mixing.ORACLE, "op8_license_scan": licenses.ORACLE,
+          "op11_prefix_trie": tries.ORACLE, "op13_spelling": spelling.ORACLE}

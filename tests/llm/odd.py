@@ -36,6 +36,7 @@ def odd(spark, odd_rows, tmp_path_factory):
 def empty(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], SCHEMA).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
     return path
 
 
