@@ -128,18 +128,3 @@ def test_near_copies_by_jaccard_share(spark):
     found = sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect())
     assert found == sorted({find(i) for i in range(len(rows))})
     assert len(found) < len(rows)
-
-
-def test_boosted_query_takes_all_rounds(spark, monkeypatch):
-    from pagemill.operators import training
-    from pagemill.plans import registry
-    rounds = []
-
-    def train(rows, kind, **settings):
-        rounds.append(training.classifier(kind, **settings).getClassifier().getMaxIter())
-        raise StopIteration
-
-    monkeypatch.setattr(training, "train", train)
-    with pytest.raises(StopIteration):
-        registry.queries()["model_boosted"](spark, "/root/testdata/sf0.001")
-    assert rounds == [100]
