@@ -55,16 +55,14 @@ def accuracy(predictions: DataFrame) -> DataFrame:
     return predictions.agg(ratio(hits, total).alias("accuracy"), total.alias("rows"))
 
 
-def importance_split(model, spark, positional: int = 4) -> DataFrame:
+def importance_split(importances: DataFrame, width: int, positional: int = 4) -> DataFrame:
     """Share of importance of the text part and of the last positions, in percent; no row when all is zero.
 
-    The importances of a fitted model are a vector on the driver, as long as the feature list.
+    ``importances`` (dim, importance) may leave out features without any; ``width`` is their number.
     """
-    values = [float(v) for v in model.featureImportances.toArray()]
-    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "dim bigint, importance double")
-    text = F.col("dim") < len(values) - positional
+    text = F.col("dim") < width - positional
     total = F.sum("importance")
-    return rows.agg(
+    return importances.agg(
         (F.sum(F.when(text, F.col("importance")).otherwise(0.0)) / F.nullif(total, F.lit(0.0)) * 100).alias("text_percent"),
         (F.sum(F.when(~text, F.col("importance")).otherwise(0.0)) / F.nullif(total, F.lit(0.0)) * 100).alias("position_percent"),
     ).where("text_percent IS NOT NULL")

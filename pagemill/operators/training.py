@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -93,17 +93,13 @@ def features(rows: DataFrame, vector: str = "vector") -> DataFrame:
 
 
 def classifier(kind: str, p: Params = Params(), **overrides):
-    """Untrained model: multinomial logistic regression, random forest or boosted trees (one against the rest)."""
+    """Untrained model: multinomial logistic regression or random forest (boosted trees: ``boosting.fit``)."""
     columns = {"featuresCol": "features", "labelCol": "label_index"}
     # Training settings.
     if kind == "logistic_regression":
         return LogisticRegression(**columns, **{"family": "multinomial", "maxIter": 1000, **overrides})
     if kind == "random_forest":
         return RandomForestClassifier(**columns, **{"numTrees": 100, "maxDepth": 10, "seed": p.seed, **overrides})
-    if kind == "boosted_trees":
-        settings = {"maxIter": 100, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8,
-                    "featureSubsetStrategy": "0.9", "seed": p.seed, **overrides}
-        return OneVsRest(**columns, classifier=GBTClassifier(**columns, **settings), parallelism=4)
     raise ValueError(f"unknown model {kind!r}")
 
 

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagemill.functions.numbers import rounded
+from pagemill.operators import boosting as G
 from pagemill.operators import evaluation as E
+from pagemill.operators import models as M
 from pagemill.operators import scoring as S
 from pagemill.operators import training as T
 from pagemill.plans import bindings as B
@@ -82,15 +85,34 @@ def _sets(s, d):
     return split.where("NOT is_test"), split.where("is_test")
 
 
-# M6, M8, M4: trained, saved, loaded, scored
-def _trained(kind, **settings):
+# M6, M8, M4: trained, kept as a table, read back, scored from the table
+def _table(s, kind, train):
+    path = run_dir(s, "model")
+    if kind == "boosted_trees":
+        model = G.fit(train.withColumn("features", _values()))
+        table, names = M.boosted_table(s, model), model.classes
+    else:
+        fitted = T.train(train, kind)
+        model, names = fitted.stages[1], fitted.stages[0].labels
+        if kind == "random_forest":
+            model.write().save(f"{path}/model")
+            table = M.forest_table(s, f"{path}/model")
+        else:
+            table = M.linear_table(s, model)
+    table.write.parquet(f"{path}/table")
+    return s.read.parquet(f"{path}/table"), s.createDataFrame(list(enumerate(names)), "class_index bigint, class_name string")
+
+
+def _values():
+    return F.col("embedding").cast("array<double>").alias("features")
+
+
+def _trained(kind):
     def run(s, d):
         train, test = _sets(s, d)
-        path = run_dir(s, "model")
-        T.save_model(T.train(train, kind, **settings), path)
-        model = T.load_model(path)
-        scored = S.score_with_model(test, model, T.model_classes(model, s))
-        return scored.select("vec_id", "label", "class_index", "document_type", "confidence")
+        table, classes = _table(s, kind, train)
+        scored = M.probabilities(test.select("vec_id", "label", _values()), kind, table)
+        return S.score(scored, classes).select("vec_id", "label", "class_index", "document_type", rounded(F.col("confidence")).alias("confidence"))
     return run
 
 
@@ -99,11 +121,15 @@ QUERIES["model_forest"] = _trained("random_forest")
 QUERIES["model_boosted"] = _trained("boosted_trees")
 
 
-# A13
-def importance_split(s, d):
-    train, _ = _sets(s, d)
-    model = T.train(train, "random_forest")
-    return E.importance_split(model.stages[1], s)
+# A13: of a forest and of boosted trees
+def _importance(kind, importances):
+    def run(s, d):
+        train, _ = _sets(s, d)
+        table, _ = _table(s, kind, train)
+        width = train.agg(F.max(F.size("embedding"))).first()[0]
+        return E.importance_split(importances(table), width or 0)
+    return run
 
 
-QUERIES["importance_split"] = importance_split
+QUERIES["importance_split"] = _importance("random_forest", M.share_importances)
+QUERIES["importance_split_boosted"] = _importance("boosted_trees", M.gain_importances)

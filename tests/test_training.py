@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill.functions.numbers import softmax
+from pagemill.operators import boosting
 from pagemill.operators import evaluation as E
 from pagemill.operators import scoring as S
 from pagemill.operators import training as T
 from pagemill.params import Params
 from pagemill.plans import bindings as B
+from pagemill.plans import registry
 
 
 def test_label_order(spark):
@@ -73,7 +75,7 @@ def train_rows(spark):
     return T.features(shaped).cache()
 
 
-@pytest.mark.parametrize("kind,settings", [("logistic_regression", {"maxIter": 20}), ("random_forest", {"numTrees": 5}), ("boosted_trees", {"maxIter": 2})])
+@pytest.mark.parametrize("kind,settings", [("logistic_regression", {"maxIter": 20}), ("random_forest", {"numTrees": 5})])
 def test_models(spark, train_rows, tmp_path, kind, settings):
     model = T.train(train_rows, kind, **settings)
     T.save_model(model, str(tmp_path / "m"))
@@ -83,11 +85,19 @@ def test_models(spark, train_rows, tmp_path, kind, settings):
     scored = S.score_with_model(train_rows, loaded, classes, Params(class_min_confidence=0.0))
     hits = scored.where("document_type = class_name").count()
     assert hits / train_rows.count() > .95
-    if kind == "boosted_trees":
-        assert {r[0] for r in scored.select("confidence").distinct().collect()} == {1.0}
-    if kind == "random_forest":
-        split = E.importance_split(loaded.stages[1], spark, positional=4).first()
-        assert split["text_percent"] + split["position_percent"] == pytest.approx(100)
+
+
+def test_boosted_query_takes_all_rounds(spark, monkeypatch):
+    rounds = []
+
+    def fit(rows, *_, s=boosting.Settings(), **__):
+        rounds.append(s)
+        raise StopIteration
+
+    monkeypatch.setattr(boosting, "fit", fit)
+    with pytest.raises(StopIteration):
+        registry.queries()["model_boosted"](spark, "/root/testdata/sf0.001")
+    assert rounds == [boosting.Settings()] and rounds[0].rounds == 100
 
 
 def test_unknown_model():
