@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import body, cut, documents, slices
+from pagemill.llm.common import body, cut, documents, partitions, slices
 
 DAMAGE = 199
 MIN_CHARS, MIN_COUNT, RATIO = 6, 5, 5
@@ -221,7 +221,7 @@ def near_words(words: DataFrame, min_chars: int = MIN_CHARS, crowd: int = CROWD,
     crowds = cut(listed.groupBy(*own).count().where(F.col("count") > crowd).select(*own))
     some = not crowds.isEmpty()
     loose = listed.join(crowds, own, "left_anti") if some else listed
-    found = loose.repartition(*own).sortWithinPartitions(*own, "word").select("back", "m", "word", "n").mapInArrow(_scan(chunk), _FOUND)
+    found = loose.repartition(partitions(words.sparkSession), *own).sortWithinPartitions(*own, "word").select("back", "m", "word", "n").mapInArrow(_scan(chunk), _FOUND)
     if some:
         found = found.unionByName(_met(listed.join(crowds, own, "left_semi")))
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near")).alias("best")
