@@ -162,11 +162,15 @@ def _suspects(layout: Layout, own: Windows, answers: dict) -> np.ndarray:
     out = np.ones(len(own.one), bool)
     for row in range(layout.depth):
         cells = layout.cells_of(own, row)
-        hit = np.unique(cells)
+        order = np.argsort(cells)
+        cells = cells[order]
+        fresh = np.ones(len(cells), bool)
+        fresh[1:] = cells[1:] != cells[:-1]
+        hit = cells[fresh]
         full = np.zeros(len(hit), bool)
         for at, a, b in layout.cell_slices(hit):
             full[a:b] = _flags(answers[row, at], b - a)
-        out &= full[np.searchsorted(hit, cells)]
+        out[order] &= full[np.cumsum(fresh) - 1]
     return out
 
 
