@@ -1,134 +1,168 @@
-"""Near-dedup by the exact Jaccard share of word shingles.
+"""Near-dedup by the exact Jaccard share of word shingles, for stages of a pipeline.
 
 Two texts are linked if their sets of five-word shingles have a Jaccard share of 0.8 or more; components of links are
-groups. Links come from a prefix filter, which loses none: in any one order of all shingles, two sets A and B with
-share t have a common one among the first |A| - ceil(t |A|) + 1 of A and as many of B. The order has shingles that are
-frequent in a bounded sample last, so common passages are rarely looked up; it decides the cost, never the result.
-
-Equal sets are one node. Each shingle first links its members to one of them, checked exactly. Pairs that this leaves
-in different components meet if enough of their first shingles are common, and are checked exactly as well.
-
-Defined cases: texts without words are one group, a text of fewer than five words is one shingle.
+groups. Sets of that share differ in about 10 of 64 SimHash bits, up to 20 of them; a search within so many bits has
+segments of three or four bits as keys, which meet everything. So candidates come from ``TABLES`` keys of ``ROWS`` least
+hashes each (a pair of share 0.8 is missed with a chance of 0.02 %, of 0.9 with 1e-7), and the SimHash fingerprint, as in
+``simhash``, prunes them: first by a chain of segments within their share of the limit, then by the full Hamming check.
+What is left is checked exactly, on the sets of shingle hashes. Sets travel once to each block of pairs, not to each pair.
+
+Equal sets are one node. Members of a key of more than ``CROWD`` meet ``PIVOTS`` of them only, which joins the groups of
+near copies that make a key large. Where a crowded key holds several groups after that, its members are searched by the
+exact prefix filter: shingles in the order of their number among these members, the least frequent first, a smaller set
+by its first n - ceil(2t / (1 + t) n) + 1 and a larger one by its first n - ceil(t n) + 1. So pages of one template, which
+share much but not enough, meet by what is their own.
+
+Defined cases: texts without words (null and empty ones too) are one group, a text of fewer than five words is one
+shingle. Repeated rows are one group, of which one row stays; among rows of one doc_id that of the smallest hash of all
+columns. A null doc_id sorts last. An empty table gives an empty result. Other columns are passed through, whatever their
+names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import body, cut, slices
-from pagemill.llm.simhash import SEED, _keep_first, hashable, shingle_hashes, stars
+from pagemill.llm.common import body, cut, mixed, slices
+from pagemill.llm.simhash import BITS, SEED, _keep_first, hashable, shingle_hashes, stars
 
 WORDS, SHARE = 5, 0.8
-#: Documents that the order of the shingles is taken from, and the shingles it puts last at most.
-ORDER_ROWS, ORDER_MOST = 20_000, 50_000
+TABLES, ROWS = 12, 3
+#: Differing bits that a candidate may have, and the segments of the chain: 3.6 deviations above the mean at the share.
+LIMIT, SEGMENTS = 20, 8
+CROWD, PIVOTS = 32, 4
+#: Pairs of a block that is checked at once, about.
+BLOCK_PAIRS = 2000
 
 
-def _first(n: int, share: float) -> int:
-    return n - ceil(share * n - 1e-9) + 1
+def shingle_set(text: str, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
 
 
-def _all_shingles(words: int):
+def _prints(words: int):
+    """Of each text: its node, the size of its set, its fingerprint and its keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "body"):
-            own = [np.unique(shingle_hashes(t, words)) for t in part["body"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64))], names=["key"])
+            nodes, sizes, prints, keys = [], [], [], []
+            for text in part["body"].to_pylist():
+                own = shingle_set(text, words)
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                sizes.append(len(own))
+                bits = np.unpackbits(own.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) if len(own) else np.zeros(BITS, np.int64)
+                prints.append(int(np.packbits(bits * 2 > len(own), bitorder="little").view("<u8")[0]))
+                least = np.array([mixed(own, 100 + i).min(initial=np.uint64(2**64 - 1)) for i in range(TABLES * ROWS)], np.uint64)
+                keys.append([xxhash.xxh64_intdigest(least[i : i + ROWS].tobytes(), i) for i in range(0, len(least), ROWS)])
+            long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+            flat = np.array(keys, np.uint64).view(np.int64).reshape(-1)
+            lists = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, TABLES, dtype=np.int32), flat)
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["row_hash"], long(nodes), pa.array(sizes, pa.int64()), long(prints), lists],
+                                             names=["doc_id", "row_hash", "node", "n", "fp", "keys"])
     return run
 
 
-def _frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Shingles of several documents of the sample, from the most frequent on."""
-    share = int(1_000_000 * min(1.0, ORDER_ROWS / max(docs.count(), 1)))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", body()), F.lit(1_000_000)) < share).select(body().alias("body"))
-    counts = sample.mapInArrow(_all_shingles(words), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
-    return np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(ORDER_MOST).collect()], np.int64)
-
-
-def _prefixes(words: int, share: float, frequent: np.ndarray):
-    by_key = np.argsort(frequent)
-    keys = frequent[by_key]
-
+def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "body"):
-            nodes, sizes, firsts = [], [], []
-            for text in part["body"].to_pylist():
-                own = np.unique(shingle_hashes(text, words)).view(np.int64)
-                rank = np.full(len(own), len(keys))
-                if len(keys) and len(own):
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    rank = np.where(keys[at] == own, by_key[at], rank)
-                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                sizes.append(len(own))
-                firsts.append(own[np.lexsort((own, -rank))][: _first(len(own), share)] if len(own) else own)
-            yield pa.RecordBatch.from_arrays(
-                [part["doc_id"], part["row_hash"], pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["doc_id", "row_hash", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array([shingle_set(t, words).tobytes() for t in part["body"].to_pylist()], pa.binary())], names=["node", "shingles"])
     return run
 
 
-@lru_cache(maxsize=64)
-def _set(text: str, words: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, words))
+def _sizes_fit(a: Column, b: Column, share: float) -> Column:
+    return F.least(a, b) >= F.greatest(a, b) * share - 1e-9
 
 
-def _likely(words: int, share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist()):
-                x, y = _set(x, words), _set(y, words)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= share * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def _prints_fit(a: str, b: str) -> Column:
+    """Some chain of segments on the ring stays within its part of the limit from its start on (any within the limit do), and so does the whole."""
+    width = BITS // SEGMENTS
+    differs = F.col(a).bitwiseXOR(F.col(b))
+    own = [F.bit_count(F.shiftrightunsigned(differs, i * width).bitwiseAND(F.lit((1 << width) - 1))) for i in range(SEGMENTS)]
+    chains = [(own[i] * SEGMENTS <= LIMIT) & ((own[i] + own[(i + 1) % SEGMENTS]) * SEGMENTS <= 2 * LIMIT) for i in range(SEGMENTS)]
+    some = chains[0]
+    for c in chains[1:]:
+        some = some | c
+    return some & (F.bit_count(differs) <= LIMIT)
+
+
+def _judge(share: float):
+    def run(key: tuple, pairs: pa.Table, held: pa.Table) -> pa.Table:
+        sets = {node: np.frombuffer(raw, np.uint64) for node, raw in zip(held["node"].to_pylist(), held["shingles"].to_pylist())}
+        keep = []
+        for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
+            x, y = sets[a], sets[b]
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= share * (len(x) + len(y) - both) - 1e-9)
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, words: int, share: float) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose sets have the share."""
-    for name in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("node").alias(name), F.col("body").alias(f"text_{name}")), name)
-    return cut(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_likely(words, share), "a long, b long"))
+def _checked(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose sets have the share. Pairs that hang together are checked in one place, or in several if they are many."""
+    pairs = cut(pairs)
+    placed = pairs.join(stars(pairs).select(F.col("node").alias("b"), "root"), "b")
+    sizes = placed.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_PAIRS).alias("tiles"))
+    placed = cut(placed.join(sizes, "root").select("a", "b", "root", F.pmod(F.xxhash64("a", "b"), "tiles").alias("tile")))
+    needed = placed.select(F.col("root").alias("held_root"), F.col("tile").alias("held_tile"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = needed.join(sets, "node").groupBy("held_root", "held_tile")
+    return cut(placed.groupBy("root", "tile").cogroup(held).applyInArrow(_judge(share), "a long, b long"))
 
 
-def _sizes_fit(a: Column, b: Column, share: float) -> Column:
-    return F.least(a, b) >= F.greatest(a, b) * share - 1e-9
+def _ordered_pair(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _rest(crowded: DataFrame, sets: DataFrame, share: float) -> DataFrame:
+    """Pairs of the nodes ``crowded`` (node, n, root), of different roots, that the prefix filter leaves."""
+    shingles = F.transform(F.sequence(F.lit(1), F.octet_length("shingles"), F.lit(8)), lambda at: F.conv(F.hex(F.substring("shingles", at, F.lit(8))), 16, 10))
+    own = crowded.where("n > 0").join(sets, "node").select("node", "n", "root", F.explode(shingles).alias("shingle"))
+    counted = own.join(own.groupBy("shingle").agg(F.count("*").alias("times")), "shingle")
+    ordered = counted.groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("order"))  # a set, as long as its text
+    first = lambda part: (F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1).cast("int")
+
+    def keyed(part: float, name: str) -> DataFrame:
+        some = F.explode(F.slice("order", F.lit(1), F.least(F.size("order"), first(part)))).alias("k")
+        return ordered.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("root").alias(f"root_{name}"), some).where("k.times > 1").select("*", "k.shingle").drop("k")
+
+    small, large = keyed(2 * share / (1 + share), "x"), keyed(share, "y")
+    met = small.join(large, "shingle").where((F.col("n_x") <= F.col("n_y")) & (F.col("root_x") != F.col("root_y")) & _sizes_fit(F.col("n_x"), F.col("n_y"), share))
+    return met.select(*_ordered_pair(F.col("x"), F.col("y"))).distinct()
 
 
-def groups(docs: DataFrame, words: int = WORDS, share: float = SHARE) -> DataFrame:
+def groups(docs: DataFrame, words: int = WORDS, share: float = SHARE, crowd: int = CROWD) -> DataFrame:
     """(doc_id, row_hash, node, root): ``root`` is the least node of the component."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(*hashable(docs)).alias("row_hash"), body().alias("body"))
-    schema = "doc_id long, row_hash long, node long, n long, keys array<long>"
-    prints = cut(rows.mapInArrow(_prefixes(words, share, _frequent(docs, words)), schema))
-    postings = prints.select("node", "n", "keys").dropDuplicates(["node"]).select("node", "n", F.explode("keys").alias("key"))
-    # members of a key meet in one exchange; most keys have a single one and go at once
-    own = Window.partitionBy("key")
-    pivot = F.min(F.struct(F.xxhash64("key", "node").alias("turn"), F.col("node").alias("pivot"), F.col("n").alias("pivot_n"))).over(own)
-    keyed = postings.withColumn("members", F.count("*").over(own)).withColumn("first", pivot).where("members > 1")
-    shared = cut(keyed.select("key", "node", "n", "first.pivot", "first.pivot_n"))
-    # one row a node that shares a shingle, by the hash of a row of its text
-    needed = prints.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row_hash").alias("row_hash"))
-    texts = cut(rows.select("row_hash", "body").join(needed, "row_hash").dropDuplicates(["node"]).select("node", "body"))
-    near = shared.where((F.col("node") != F.col("pivot")) & _sizes_fit(F.col("n"), F.col("pivot_n"), share))
-    edges = _checked(near.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct(), texts, words, share)
-    labelled = shared.join(stars(edges), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = cut(labelled.join(open_keys, "key"))
-    x = left.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-    y = left.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    meet = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), share))
-    # what two sets share beyond their common first shingles lies behind the first ones of one of them
-    behind = F.greatest(*[F.ceil(F.col(n) * share - 1e-9) - 1 for n in ("n_a", "n_b")])
-    wanted = (F.col("n_a") + F.col("n_b")) * (share / (1 + share)) - 1e-6
-    met = meet.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("common")).where(F.col("common") + behind >= wanted).select("a", "b")
-    edges = edges.unionByName(_checked(met, texts, words, share))
-    roots = stars(edges).withColumnRenamed("node", "near")
+    prints = cut(rows.mapInArrow(_prints(words), "doc_id long, row_hash long, node long, n long, fp long, keys array<long>"))
+    nodes = prints.dropDuplicates(["node"]).select("node", "n", "fp", F.posexplode("keys").alias("part", "key"))
+    turns = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"pivot{i}") for i in range(PIVOTS)]
+    keys = nodes.groupBy("part", "key").agg(F.count("*").alias("members"), *turns).where("members > 1")
+    shared = cut(nodes.join(keys, ["part", "key"]))
+    x = shared.where(F.col("members") <= crowd).select("part", "key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("fp").alias("fp_a"))
+    y = x.toDF("part", "key", "b", "n_b", "fp_b")
+    met = x.join(y, ["part", "key"]).where((F.col("a") < F.col("b")) & _sizes_fit(F.col("n_a"), F.col("n_b"), share) & _prints_fit("fp_a", "fp_b")).select("a", "b")
+    many = shared.where(F.col("members") > crowd)
+    to_pivot = many.select("node", "n", "fp", F.explode(F.array(*[f"pivot{i}" for i in range(PIVOTS)])).alias("pivot")).where("node <> pivot").distinct()
+    pivots = many.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("fp").alias("pivot_fp"), F.array(*[f"pivot{i}" for i in range(PIVOTS)]).alias("all")).where("array_contains(all, pivot)").drop("all").distinct()
+    to_pivot = to_pivot.join(pivots, "pivot").where(_sizes_fit(F.col("n"), F.col("pivot_n"), share) & _prints_fit("fp", "pivot_fp"))
+    pairs = cut(met.unionByName(to_pivot.select(*_ordered_pair(F.col("node"), F.col("pivot")))).distinct())
+    # one text a node that any pair or crowd needs, by the hash of a row
+    open_nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")).distinct()
+    named = prints.join(open_nodes, "node", "left_semi").groupBy("node").agg(F.min("row_hash").alias("row_hash"))
+    texts = rows.select("row_hash", "body").join(named, "row_hash").dropDuplicates(["node"])
+    sets = cut(texts.select("node", "body").mapInArrow(_sets(words), "node long, shingles binary"))
+    edges = _checked(pairs, sets, share)
+    roots = stars(edges)
+    labelled = many.join(roots, "node", "left").select("part", "key", "node", "n", F.coalesce("root", "node").alias("root"))
+    several = labelled.groupBy("part", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("part", "key")
+    left = cut(labelled.join(several, ["part", "key"], "left_semi").select("node", "n", "root").distinct())
+    if not left.isEmpty():
+        edges = cut(edges.unionByName(_checked(_rest(left, sets, share), sets, share)))
+        roots = stars(edges)
+    roots = roots.withColumnRenamed("node", "near")
     return prints.join(roots, prints["node"] == roots["near"], "left").select("doc_id", "row_hash", "node", F.coalesce("root", "node").alias("root"))
 
 

@@ -88,6 +88,27 @@ def components(rows, limit=2):
     return [(doc_id, f"{p:016x}", lowest[root(p)]) for (doc_id, _), p in zip(rows, prints)]
 
 
+def jaccard_groups(texts, size=5, share=0.8):
+    """The number of the first text of each text's group: sets of word shingles of this share are linked."""
+    sets = []
+    for text in texts:
+        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= share * len(a | b) - 1e-9:
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return [find(i) for i in range(len(sets))]
+
+
 def paragraphs(text):
     return Counter(p for p in re.split(r"\n|(?<=[.!?])[ \t]+", text or "") if p)
 

@@ -296,18 +296,11 @@ def test_pipeline_stages(spark, odd, tmp_path, which):
         assert labels.join(good, "doc_id", "left_anti").count() == 0
     # lines
     assert Counter(pairs(lined)) == Counter((i, t) for i, _, _, t in brute.lines(pairs(good)))
-    # near-copies: one row of each component, the smallest id
+    # near-copies: one row of each group by Jaccard share, of the smallest id
     rows = pairs(lined)
-    found = brute.components(rows)
     groups = defaultdict(list)
-    prints = {brute.fingerprint(t) for _, t in rows}
-    root = {}
-    for p in sorted(prints):
-        root[p] = min((q for q in prints if (p ^ q).bit_count() <= 2), default=p)
-    for _ in prints:
-        root = {p: root[r] for p, r in root.items()}
-    for (doc_id, text), (_, p, _) in zip(rows, found):
-        groups[root[int(p, 16)]].append(brute.number(doc_id))
+    for (doc_id, _), root in zip(rows, brute.jaccard_groups([t for _, t in rows])):
+        groups[root].append(brute.number(doc_id))
     assert Counter(brute.number(i) for i, _ in pairs(single)) == Counter(min(ids) for ids in groups.values())
     # copies: the operator's SQL on the stage's input
     con = compare.duckdb.connect()

@@ -7,8 +7,11 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
+import brute
 import corpus_pipeline
-from pagemill.llm import licenses, mixing
+from pagemill.llm import licenses, mixing, near
 
 
 @pytest.mark.parametrize("rate", [0.5, 700, 800, 5000])
@@ -111,20 +114,55 @@ def test_near_copies_by_jaccard_share(spark):
                 rows.append((number, " ".join(own)))
                 number += 1
     rows += [(number, None), (number + 1, ""), (number + 2, "  ")]
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a == b or len(a & b) >= 0.8 * len(a | b) - 1e-9:
-                low, high = sorted((find(i), find(j)))
-                root[high] = low
+    firsts = brute.jaccard_groups([t for _, t in rows])
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     found = sorted(r["doc_id"] for r in corpus_pipeline.simhash_near_dedup(spark, docs, "").collect())
-    assert found == sorted({find(i) for i in range(len(rows))})
+    assert found == sorted(set(firsts))
     assert len(found) < len(rows)
+
+
+def template_rows(n, own, copies):
+    """Pages of one template with ``own`` words each, and near copies of some of them."""
+    rng = random.Random(n)
+    base = [f"t{i}" for i in range(92)]
+    rows = [(i, " ".join(base[:40] + [f"o{i}x{j}" for j in range(own)] + base[40:])) for i in range(n)]
+    for i in range(copies):
+        w = rows[rng.randrange(n)][1].split()
+        w[rng.choice([5, 60, 80])] = f"changed{i}"
+        rows.append((n + i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("own", [14, 30, 6])
+def test_near_copies_among_pages_of_a_template(spark, own):
+    rows = template_rows(90, own, 25)
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, root int").repartition(3)
+    found = near.one_of_each(docs)
+    assert found.columns == docs.columns
+    assert sorted(r["doc_id"] for r in found.collect()) == sorted(set(brute.jaccard_groups([t for _, t in rows])))
+
+
+def test_template_pages_meet_by_what_is_their_own(spark):
+    met = {}
+    for n in (100, 400):
+        rows = spark.createDataFrame(template_rows(n, 14, 0), "node long, text string").select("node", F.col("text").alias("body"))
+        sets = rows.mapInArrow(near._sets(5), "node long, shingles binary")
+        crowded = sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"), F.col("node").alias("root"))
+        met[n] = near._rest(crowded, sets, 0.8).count()
+    assert met == {100: 0, 400: 0}
+
+
+def test_small_recall_of_the_keys():
+    """Pairs of a share of just 0.8 are found by some key nearly always, and their fingerprints are let through."""
+    import numpy as np
+    from pagemill.llm.common import mixed
+    rng = np.random.default_rng(1)
+    met = let = 0
+    for _ in range(300):
+        both, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (400, 50, 50))
+        x, y = np.concatenate([both, a]), np.concatenate([both, b])  # 400 of 500
+        least = [[mixed(z, 100 + i).min() for i in range(near.TABLES * near.ROWS)] for z in (x, y)]
+        met += any(least[0][i : i + near.ROWS] == least[1][i : i + near.ROWS] for i in range(0, near.TABLES * near.ROWS, near.ROWS))
+        bits = [np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0) * 2 > len(z) for z in (x, y)]
+        let += int((bits[0] != bits[1]).sum()) <= near.LIMIT
+    assert met >= 298 and let >= 298
