@@ -14,52 +14,70 @@ def sorted_transforms(transforms: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["t"])
 
 
-def _apply(matrix: Column, x: Column, y: Column, i: int) -> Column:
-    row = F.get(matrix, F.lit(i))
-    return F.get(row, F.lit(0)) * x + F.get(row, F.lit(1)) * y + F.get(row, F.lit(2))
+_CELLS = [f"m{i}{j}" for i in range(3) for j in range(3)]
+_LAST = [0, 0, 1]
 
 
-def _state(x: Column, y: Column, w: Column, h: Column) -> Column:
-    return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), w.cast("double").alias("w"), h.cast("double").alias("h"))
+def _doubles(matrix: list[list], w: Column, h: Column) -> Column:
+    values = [x if isinstance(x, Column) else F.lit(float(x)) for row in matrix for x in row]
+    return F.struct(*[v.cast("double").alias(c) for c, v in zip([*_CELLS, "w", "h"], [*values, w, h])])
 
 
-def _step(s: Column, t: Column) -> Column:
-    """One transform on a point with the current page size; unknown or incomplete ones pass through."""
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: inside a fold an expression is computed wherever it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _matrix(t: Column, w: Column, h: Column) -> Column:
+    """One transform as a matrix over (x, y, 1) and the size after it, on a page of size (w, h); null if it is unknown or incomplete."""
     p = t["params"]
     m, size, kind, angle = p["transform_matrix"], p["output_size"], t["transform_type"], p["angle"]
     complete = m.isNotNull() & size.isNotNull()
-    x, y, w, h = s["x"], s["y"], s["w"], s["h"]
     new_w, new_h = F.get(size, F.lit(0)), F.get(size, F.lit(1))
-    depth = _apply(m, x, y, 2)
-    warped = _state(F.try_divide(_apply(m, x, y, 0), depth), F.try_divide(_apply(m, x, y, 1), depth), new_w, new_h)
-    moved = _state(_apply(m, x, y, 0), _apply(m, x, y, 1), new_w, new_h)
+
+    def given(rows: int) -> Column:
+        return _bound(F.flatten(F.slice(m, 1, rows)), lambda cells: _doubles([[F.get(cells, F.lit(3 * i + j)) for j in range(3)] if i < rows else _LAST for i in range(3)], new_w, new_h))
+
+    def free(turned: Column) -> Column:
+        a, b, cx, cy = turned["a"], turned["b"], turned["cx"], turned["cy"]
+        return _doubles([[a, b, (1 - a) * cx - b * cy], [-b, a, b * cx + (1 - a) * cy], _LAST], w, h)
+
+    radians = F.radians(angle)
+    turned = F.struct(F.cos(radians).alias("a"), F.sin(radians).alias("b"), F.floor(w / 2).alias("cx"), F.floor(h / 2).alias("cy"))
     standard = F.coalesce(p["rotation_type"], F.lit("standard")) == "standard"
-    cx, cy = F.floor(w / 2), F.floor(h / 2)
-    a, b = F.cos(F.radians(angle)), F.sin(F.radians(angle))
-    free = _state(a * x + b * y + (1 - a) * cx - b * cy, -b * x + a * y + b * cx + (1 - a) * cy, w, h)
-    turn = F.coalesce(angle, F.lit(0.0))
-    return (
-        F.when((kind == "crop") & complete, warped)
-        .when((kind == "deskew") & complete, moved)
-        .when((kind == "rotation") & standard & (turn == 90), _state(h - 1 - y, x, h, w))
-        .when((kind == "rotation") & standard & (turn == 180), _state(w - 1 - x, h - 1 - y, w, h))
-        .when((kind == "rotation") & standard & (turn == 270), _state(y, w - 1 - x, h, w))
-        .when((kind == "rotation") & ~standard & angle.isNotNull(), free)
-        .otherwise(s)
+    rotated = (
+        F.when(~standard, F.when(angle.isNotNull(), _bound(turned, free)))
+        .when(angle == 90, _doubles([[0, -1, h - 1], [1, 0, 0], _LAST], h, w))
+        .when(angle == 180, _doubles([[-1, 0, w - 1], [0, -1, h - 1], _LAST], w, h))
+        .when(angle == 270, _doubles([[0, 1, 0], [-1, 0, w - 1], _LAST], h, w))
     )
+    return F.when(kind == "rotation", rotated).when((kind == "crop") & complete, given(3)).when((kind == "deskew") & complete, given(2))
+
+
+def _composed(step: Column, before: Column) -> Column:
+    """``step`` after ``before``: matrices are multiplied, the size is the step's."""
+    rows = [[step[f"m{i}0"] * before[f"m0{j}"] + step[f"m{i}1"] * before[f"m1{j}"] + step[f"m{i}2"] * before[f"m2{j}"] for j in range(3)] for i in range(3)]
+    return _doubles(rows, step["w"], step["h"])
+
+
+def composed(pages: DataFrame, transforms: str = "transforms", width: str = "width", height: str = "height", name: str = "_m") -> DataFrame:
+    """Adds the ordered log of each page as one matrix and the final size. Composition is associative, so points come after it."""
+    start = _doubles([[1, 0, 0], [0, 1, 0], _LAST], F.col(width), F.col(height))
+
+    def step(before: Column, t: Column) -> Column:
+        return _bound(_matrix(t, before["w"], before["h"]), lambda own: F.when(own.isNull(), before).otherwise(_composed(own, before)))
+
+    return once(pages, {name: F.aggregate(sorted_transforms(F.col(transforms)), start, step)})
 
 
 def replay(pages: DataFrame, points: str = "corners", transforms: str = "transforms", width: str = "width", height: str = "height") -> DataFrame:
-    """Fold the ordered transforms of each page over its points; adds ``moved`` (points) and the final size."""
-    ordered = once(pages, {"_t": sorted_transforms(F.col(transforms))})
-
-    def fold(point: Column) -> Column:
-        start = _state(F.get(point, F.lit(0)), F.get(point, F.lit(1)), F.col(width), F.col(height))
-        return F.aggregate("_t", start, _step)
-
-    folded = once(ordered, {"_s": F.transform(points, fold)})
-    last = F.get("_s", F.lit(0))
-    return once(folded, {
-        "moved": F.transform("_s", lambda s: F.array(s["x"], s["y"])),
-        "final_width": last["w"], "final_height": last["h"],
-    }).drop("_t", "_s")
+    """Each page's ordered transforms over its points; adds ``moved`` (points) and the final size. A point that ends at infinity has no place."""
+    m = F.col("_m")
+
+    def move(point: Column) -> Column:
+        x, y = F.get(point, F.lit(0)), F.get(point, F.lit(1))
+        rows = [m[f"m{i}0"] * x + m[f"m{i}1"] * y + m[f"m{i}2"] for i in range(3)]
+        return F.array(F.try_divide(rows[0], rows[2]), F.try_divide(rows[1], rows[2]))
+
+    done = composed(pages, transforms, width, height)
+    return once(done, {"moved": F.transform(points, move), "final_width": m["w"], "final_height": m["h"]}).drop("_m")

@@ -321,8 +321,13 @@ _ORDERS = {"crop": "CASE WHEN l_linenumber % 3 = 0 THEN 3 ELSE 1 END", "deskew":
            "rotation": "CASE WHEN l_linenumber % 3 = 0 THEN 1 WHEN l_linenumber % 5 = 0 THEN NULL ELSE 3 END"}
 
 
+_FREE = "l_partkey % 5 = 0"
+_ANGLE = f"CASE WHEN {_FREE} THEN l_suppkey % 60 - 30 ELSE (l_suppkey % 4) * 90 END"
+_DEPTH = "CAST(l_suppkey % 3 AS DOUBLE) / 8192"
+
+
 def transform_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One JSON log per page: crop (scale by two), deskew (shift) and rotation, with permuted or missing orders."""
+    """One JSON log per page: crop (scale by two, some with perspective), deskew (shift) and rotation (some free), with permuted or missing orders."""
     log = f"""to_json(named_struct(
         'input_path', concat('in/', CAST(l_orderkey AS STRING), '.png'),
         'output_path', CASE WHEN l_suppkey % 2 = 0 THEN concat('out/', CAST(l_orderkey AS STRING), '.png') END,
@@ -334,12 +339,12 @@ def transform_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
              'output_size', array(CAST(2 * (1000 + l_partkey % 3000) AS BIGINT), CAST(2 * (1400 + l_orderkey % 3000) AS BIGINT))),
              'order', {_ORDERS['deskew']}),
           named_struct('transform_type', 'rotation', 'params', named_struct(
-             'angle', CAST((l_suppkey % 4) * 90 AS DOUBLE), 'rotation_type', 'standard',
+             'angle', CAST({_ANGLE} AS DOUBLE), 'rotation_type', CASE WHEN {_FREE} THEN 'arbitrary' ELSE 'standard' END,
              'transform_matrix', CAST(NULL AS ARRAY<ARRAY<DOUBLE>>), 'output_size', CAST(NULL AS ARRAY<BIGINT>)),
              'order', {_ORDERS['rotation']}),
           named_struct('transform_type', 'crop', 'params', named_struct(
              'angle', CAST(NULL AS DOUBLE), 'rotation_type', CAST(NULL AS STRING),
-             'transform_matrix', array(array(2D, 0D, 0D), array(0D, 2D, 0D), array(0D, 0D, 1D)),
+             'transform_matrix', array(array(2D, 0D, 0D), array(0D, 2D, 0D), array(0D, {_DEPTH}, 1D)),
              'output_size', array(CAST(2 * (1000 + l_partkey % 3000) AS BIGINT), CAST(2 * (1400 + l_orderkey % 3000) AS BIGINT))),
              'order', {_ORDERS['crop']}))))"""
     return table(spark, sf_dir, "lineitem").selectExpr(
@@ -352,7 +357,7 @@ TRANSFORM_ROWS = f"""
 transform_rows AS (SELECT l_orderkey AS page_key, l_linenumber AS line_key, l_partkey AS part_key, l_suppkey AS supp_key,
     CASE WHEN l_suppkey % 2 = 0 THEN concat('out/', l_orderkey, '.png') ELSE concat('old/', l_orderkey, '.png') END AS output_path,
     1000 + l_partkey % 3000 AS width, 1400 + l_orderkey % 3000 AS height,
-    (l_suppkey % 4) * 90 AS angle, {_ORDERS['crop']} AS crop_order, 2 AS deskew_order,
+    {_ANGLE} AS angle, {_FREE} AS free, {_DEPTH} AS depth, {_ORDERS['crop']} AS crop_order, 2 AS deskew_order,
     coalesce({_ORDERS['rotation']}, 0) AS rotation_order FROM lineitem)"""
 
 # --- scores and predictions -------------------------------------------------------------------------

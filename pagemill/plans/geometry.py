@@ -251,38 +251,37 @@ def replayed_points(s, d):
     logs = parse_transform_logs(B.transform_logs(s, d), ["page_key"]).withColumn("corners", F.expr(
         "array(array(CAST(part_key % 100 AS DOUBLE), CAST(supp_key % 90 AS DOUBLE)), array(CAST(500 AS DOUBLE), CAST(600 AS DOUBLE)))"))
     moved = X.replay(logs)
-    return moved.select(*LOG_KEYS, rounded(F.col("moved")[0][0]).alias("x0"), rounded(F.col("moved")[0][1]).alias("y0"),
-                        rounded(F.col("moved")[1][0]).alias("x1"), rounded(F.col("moved")[1][1]).alias("y1"),
+    return moved.select(*LOG_KEYS, rounded(F.col("moved")[0][0], 4).alias("x0"), rounded(F.col("moved")[0][1], 4).alias("y0"),
+                        rounded(F.col("moved")[1][0], 4).alias("x1"), rounded(F.col("moved")[1][1], 4).alias("y1"),
                         F.col("final_width").alias("w"), F.col("final_height").alias("h"))
 
 
+_KEEP = "page_key, line_key, part_key, supp_key, width, height, angle, free, depth, t"
+
+
 def _replay_step(source, k):
+    """The k-th step's matrix (by rows) and size after it, then its product with what came before."""
     n = f"t[{k}].n"
-    turn = "CASE WHEN {n} = 'rotation' AND angle = 90 THEN {a} WHEN {n} = 'rotation' AND angle = 180 THEN {b}" \
-           " WHEN {n} = 'rotation' AND angle = 270 THEN {c} WHEN {n} = 'crop' THEN {d} WHEN {n} = 'deskew' THEN {e} ELSE {f} END"
-
-    def axis(x, y, other, shift):
-        # x: this axis, in the first (x) or second (y) role
-        if other:
-            return turn.format(n=n, a=f"{x}", b=f"h - 1 - {y}", c=f"w - 1 - {x}", d=f"2 * {y}", e=f"{y} + {shift}", f=y)
-        return turn.format(n=n, a=f"h - 1 - {y}", b=f"w - 1 - {x}", c=f"{y}", d=f"2 * {x}", e=f"{x} + {shift}", f=x)
-
-    cols = []
-    for i in (0, 1):
-        cols.append(f"{axis(f'x{i}', f'y{i}', False, '(part_key % 7)')} AS x{i}")
-        cols.append(f"{axis(f'x{i}', f'y{i}', True, '(supp_key % 5)')} AS y{i}")
-    size = "CASE WHEN {n} = 'rotation' AND angle IN (90, 270) THEN {o} WHEN {n} IN ('crop', 'deskew') THEN 2 * {f} ELSE {s} END"
-    cols.append(size.format(n=n, o="h", f="width", s="w") + " AS w")
-    cols.append(size.format(n=n, o="w", f="height", s="h") + " AS h")
-    keep = "page_key, line_key, part_key, supp_key, width, height, angle, t"
-    return f"SELECT {keep}, {', '.join(cols)} FROM ({source})"
-
-
-_START = """SELECT *, CAST(part_key % 100 AS DOUBLE) AS x0, CAST(supp_key % 90 AS DOUBLE) AS y0, CAST(500 AS DOUBLE) AS x1,
-    CAST(600 AS DOUBLE) AS y1, CAST(width AS DOUBLE) AS w, CAST(height AS DOUBLE) AS h FROM steps"""
+    a, b = "cos(radians(angle))", "sin(radians(angle))"
+    cx, cy = "floor(w / 2)", "floor(h / 2)"
+    matrix = f"""CASE WHEN {n} = 'rotation' AND free THEN [{a}, {b}, (1 - {a}) * {cx} - {b} * {cy}, -{b}, {a}, {b} * {cx} + (1 - {a}) * {cy}, 0, 0, 1]
+      WHEN {n} = 'rotation' AND angle = 90 THEN [0, -1, h - 1, 1, 0, 0, 0, 0, 1] WHEN {n} = 'rotation' AND angle = 180 THEN [-1, 0, w - 1, 0, -1, h - 1, 0, 0, 1]
+      WHEN {n} = 'rotation' AND angle = 270 THEN [0, 1, 0, -1, 0, w - 1, 0, 0, 1] WHEN {n} = 'crop' THEN [2, 0, 0, 0, 2, 0, 0, depth, 1]
+      WHEN {n} = 'deskew' THEN [1, 0, part_key % 7, 0, 1, supp_key % 5, 0, 0, 1] ELSE [1, 0, 0, 0, 1, 0, 0, 0, 1] END::DOUBLE[]"""
+    size = "CASE WHEN {n} = 'rotation' AND NOT free AND angle IN (90, 270) THEN {o} WHEN {n} IN ('crop', 'deskew') THEN 2 * {f} ELSE {s} END"
+    cells = ", ".join(" + ".join(f"s[{3 * i + c + 1}] * m[{3 * c + j + 1}]" for c in range(3)) for i in range(3) for j in range(3))
+    return f"""SELECT {_KEEP}, [{cells}] AS m, w2 AS w, h2 AS h
+      FROM (SELECT *, {matrix} AS s, {size.format(n=n, o='h', f='width', s='w')} AS w2, {size.format(n=n, o='w', f='height', s='h')} AS h2 FROM ({source}))"""
+
+
+_START = f"SELECT {_KEEP}, [1, 0, 0, 0, 1, 0, 0, 0, 1]::DOUBLE[] AS m, CAST(width AS DOUBLE) AS w, CAST(height AS DOUBLE) AS h FROM steps"
+_POINTS = {"0": ("part_key % 100", "supp_key % 90"), "1": ("500", "600")}
+_PLACED = ", ".join(
+    f"round((m[{i}] * ({x}) + m[{i + 1}] * ({y}) + m[{i + 2}]) / (m[7] * ({x}) + m[8] * ({y}) + m[9]), 4) AS {axis}{k}"
+    for k, (x, y) in _POINTS.items() for axis, i in (("x", 1), ("y", 4)))
 QUERIES["replayed_points"] = replayed_points
 ORACLE["replayed_points"] = B.sql(
-    f"SELECT page_key, line_key, part_key, supp_key, x0, y0, x1, y1, w, h FROM ({_replay_step(_replay_step(_replay_step(_START, 1), 2), 3)})",
+    f"SELECT page_key, line_key, part_key, supp_key, {_PLACED}, w, h FROM ({_replay_step(_replay_step(_replay_step(_START, 1), 2), 3)})",
     B.TRANSFORM_ROWS, _STEP_ORDER)
 
 # F5
