@@ -33,8 +33,8 @@ from pagemill.session import shared_dir, ship
 SCALE = float(1 << 24)
 #: Bytes of sums that a task holds for one pass, features that one row of sums carries, and rounds between two written states.
 PASS_BYTES, BLOCK, WRITTEN = 64 << 20, 16, 10
-#: Rows of a leaf that one task may hold.
-LOCAL = 20_000
+#: Rows of a leaf that one task may hold, and rows below which tasks over all rows are put together.
+LOCAL, TASK_ROWS = 20_000, 20_000
 
 
 @dataclass(frozen=True)
@@ -406,7 +406,9 @@ def _pass(state: DataFrame, width: int, classes: int, bins: int, later: list, gr
     masks = {i: chosen(turn, k, width, s) for i, (k, _) in enumerate(slots)}
     local = {i for i, (k, node) in enumerate(slots) if growths[k].nodes[node].rows <= LOCAL}
     sums = state.mapInArrow(_sums(width, classes, bins, later, growing, slots, local, turn, s), _SUMS)
-    dealt = sums.repartition("slot", "block").sortWithinPartitions("slot", "block")
+    keys = len(local) + (len(slots) - len(local)) * -(-width // BLOCK) + 1
+    # a partition holds all rows of its keys, one key after the other; no more tasks than keys
+    dealt = sums.repartition("slot", "block").sortWithinPartitions("slot", "block").coalesce(keys)
     best, below, loss = {}, {}, 0.0
     for r in dealt.mapInArrow(_best(width, bins, masks, s), _BEST).collect():  # a row for each wanted leaf and block of features, or node of a subtree
         if r["slot"] < 0:
@@ -439,7 +441,7 @@ def fit(rows: DataFrame, label: str = "class_name", features: str = "features",
     width, classes, bins = len(model.edges), len(names), s.bins
     index = F.array_position(F.array(*map(F.lit, names)), F.col(label)) - 1
     start = rows.where(F.col(label).isNotNull()).select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("key"), index.cast("int").alias("y"), F.col(features).alias("features"))
-    state, later = start.mapInArrow(_first_state(model.edges, model.start), _STATE).checkpoint(), []
+    state, later = start.coalesce(max(1, total // TASK_ROWS)).mapInArrow(_first_state(model.edges, model.start), _STATE).checkpoint(), []
     at_once = max(1, PASS_BYTES // max(1, width * bins * 24))
     for turn in range(s.rounds + 1):
         growths, loss = [Growth(s, total) for _ in range(classes)], None
