@@ -45,6 +45,11 @@ def shingle_set(text: str, words: int) -> np.ndarray:
     return np.unique(shingle_hashes(text, words))
 
 
+def packed_set(text: str, words: int) -> np.ndarray:
+    """The set by 32 bits of each hash, as it travels: two shingles of a text are taken for one with a chance of 1 in 4e9."""
+    return np.unique((shingle_hashes(text, words) >> np.uint64(32)).astype(np.uint32))
+
+
 def _prints(words: int):
     """Of each text: its node, the size of its set, its fingerprint and its keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,7 +74,7 @@ def _prints(words: int):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "body"):
-            yield pa.RecordBatch.from_arrays([part["node"], pa.array([shingle_set(t, words).tobytes() for t in part["body"].to_pylist()], pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array([packed_set(t, words).tobytes() for t in part["body"].to_pylist()], pa.binary())], names=["node", "shingles"])
     return run
 
 
@@ -91,7 +96,7 @@ def _prints_fit(a: str, b: str) -> Column:
 
 def _judge(share: float):
     def run(key: tuple, pairs: pa.Table, held: pa.Table) -> pa.Table:
-        sets = {node: np.frombuffer(raw, np.uint64) for node, raw in zip(held["node"].to_pylist(), held["shingles"].to_pylist())}
+        sets = {node: np.frombuffer(raw, np.uint32) for node, raw in zip(held["node"].to_pylist(), held["shingles"].to_pylist())}
         keep = []
         for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist()):
             x, y = sets[a], sets[b]
@@ -118,7 +123,7 @@ def _ordered_pair(a: Column, b: Column) -> list[Column]:
 
 def _rest(crowded: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     """Pairs of the nodes ``crowded`` (node, n, root), of different roots, that the prefix filter leaves."""
-    shingles = F.transform(F.sequence(F.lit(1), F.octet_length("shingles"), F.lit(8)), lambda at: F.conv(F.hex(F.substring("shingles", at, F.lit(8))), 16, 10))
+    shingles = F.transform(F.sequence(F.lit(1), F.octet_length("shingles"), F.lit(4)), lambda at: F.hex(F.substring("shingles", at, F.lit(4))))
     own = crowded.where("n > 0").join(sets, "node").select("node", "n", "root", F.explode(shingles).alias("shingle"))
     counted = own.join(own.groupBy("shingle").agg(F.count("*").alias("times")), "shingle")
     ordered = counted.groupBy("node", "n", "root").agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("order"))  # a set, as long as its text

@@ -147,7 +147,7 @@ def test_template_pages_meet_by_what_is_their_own(spark):
     for n in (100, 400):
         rows = spark.createDataFrame(template_rows(n, 14, 0), "node long, text string").select("node", F.col("text").alias("body"))
         sets = rows.mapInArrow(near._sets(5), "node long, shingles binary")
-        crowded = sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n"), F.col("node").alias("root"))
+        crowded = sets.select("node", (F.octet_length("shingles") / 4).cast("long").alias("n"), F.col("node").alias("root"))
         met[n] = near._rest(crowded, sets, 0.8).count()
     assert met == {100: 0, 400: 0}
 
