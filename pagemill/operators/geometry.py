@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import quads
 from pagemill.functions.frames import once
 from pagemill.functions.numbers import clamp, first_max_index, ratio, softmax, whole
+from pagemill.operators.quantiles import exact_median
 from pagemill.params import Params
 
 RIGHT_ANGLES = (0, 90, 180, 270)
@@ -160,25 +161,20 @@ def read_sizes(pages: DataFrame, dpi: str, p: Params = Params()) -> DataFrame:
 def skew_estimates(line_angles: DataFrame, pages: DataFrame | None = None, p: Params = Params()) -> DataFrame:
     """Median line angle per page and the share of lines within the tolerance of it.
 
-    The line detector measures angles on a one-degree grid, so a page has at most 181 distinct folded
-    angles however many lines it has. Lines are first counted per (page, angle); only those few counts
-    meet in one group. Pages without any line (taken from ``pages``) get (0, 0).
+    Lines are counted per (page, angle), the median is selected from these counts and the lines near it are summed, so a
+    page may have any number of lines and of different angles. Pages without any line (taken from ``pages``) get (0, 0).
     """
     angle = F.col("theta") - 90
     folded = F.when(angle < -45, angle + 90).when(angle > 45, angle - 90).otherwise(angle)
-    counts = line_angles.where("theta IS NOT NULL").groupBy("page_key", folded.alias("angle")).agg(F.count(F.lit(1)).alias("n"))
-    grouped = counts.groupBy("page_key").agg(
-        F.percentile("angle", F.lit(0.5), F.col("n")).alias("median"),
-        F.sum("n").alias("lines"),
-        F.collect_list(F.struct("angle", "n")).alias("angles"),
-    )
-    near = F.filter("angles", lambda a: F.abs(a["angle"] - F.col("median")) <= p.deskew_tolerance)
-    inliers = F.aggregate(near, F.lit(0).cast("bigint"), lambda t, a: t + a["n"])
+    angles = line_angles.where("theta IS NOT NULL").select("page_key", folded.alias("angle"))
+    counts = angles.groupBy("page_key", "angle").agg(F.count(F.lit(1)).alias("n"))
+    near = F.sum(F.when(F.abs(F.col("angle") - F.col("median")) <= p.deskew_tolerance, F.col("n")).otherwise(0)).alias("inliers")
+    grouped = counts.join(exact_median(angles, ["page_key"], "angle"), "page_key").groupBy("page_key", "median").agg(near, F.sum("n").alias("lines"))
     usable = F.abs("median") <= p.deskew_max_angle
     estimates = grouped.select(
         "page_key",
         F.when(usable, F.col("median")).otherwise(0.0).alias("skew_angle"),
-        F.when(usable, ratio(inliers, F.col("lines"))).otherwise(0.0).alias("skew_confidence"),
+        F.when(usable, ratio(F.col("inliers"), F.col("lines"))).otherwise(0.0).alias("skew_confidence"),
         "lines",
     )
     if pages is None:

@@ -7,62 +7,63 @@ from pyspark.sql import functions as F
 
 from pagemill.session import shared_dir
 
-# The sketch is off by at most n / ACCURACY ranks; the bracket around the middle is ten times wider.
-ACCURACY = 10000
-BRACKET = 0.001
+#: Distinct values of a key that a window may rank, and the parts that a wider range is cut into.
+RANKED, PARTS = 4096, 64
 
 
 def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact median per key (mean of the middle two for an even count), also for keys of any size.
 
-    1. Rows are counted per (key, value), pre-aggregated before the shuffle.
-    2. A mergeable quantile sketch gives two values that enclose the middle ranks.
-    3. Only the values between them (about 0.2 % of a large group) are ranked; the ranks are checked.
+    Rows are counted per (key, value), pre-aggregated before the shuffle. While the values that may be a key's middle are
+    more than ``RANKED``, they are cut into ``PARTS`` at approximate quantiles and counted per part, and only the parts
+    that hold the middle ranks stay; each pass leaves about a thirtieth, whatever the distribution, and sorts nothing.
+    The last few values are ranked. A key without values has no row.
     """
+    shared_dir(rows.sparkSession)
     present = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    if not keys:
-        return _single_median(present)
-    counts = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    bounds = present.groupBy(*keys).agg(
-        F.percentile_approx("_v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("_b"), F.count(F.lit(1)).alias("_total")
-    )
-    joined = counts.join(bounds, keys)
-    below = joined.groupBy(*keys).agg(F.sum(F.when(F.col("_v") < F.col("_b")[0], F.col("_n")).otherwise(0)).alias("_below"))
-    middle = joined.where((F.col("_v") >= F.col("_b")[0]) & (F.col("_v") <= F.col("_b")[1]))
-    ranked = middle.withColumn("_upto", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_v")))
-    placed = ranked.join(below, keys).withColumn("_upto", F.col("_upto") + F.col("_below"))
-    low, high = F.expr("(_total + 1) div 2"), F.expr("(_total + 2) div 2")
-
-    return _middle(placed, keys, low, high)
-
-
-def _middle(placed: DataFrame, keys: list[str], low: Column, high: Column) -> DataFrame:
-    """Mean of the values at two ranks, from values with their running count."""
-
-    def at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
-
-    middle_two = placed.groupBy(*keys).agg(
-        at(low).alias("_a"), at(high).alias("_z"), F.max(F.col("_below") < low).alias("_enclosed")
-    )
-    enclosed = F.col("_enclosed") & F.col("_a").isNotNull() & F.col("_z").isNotNull()
-    median = F.when(enclosed, (F.col("_a") + F.col("_z")) / 2).otherwise(
-        F.raise_error(F.lit("median bracket missed the middle rank")).cast("double"))
-    found = middle_two.select(*keys, "_enclosed", median.alias("median"))
-    return found.where("_enclosed IS NOT NULL").drop("_enclosed")
-
-
-def _single_median(present: DataFrame) -> DataFrame:
-    """The same for one group: the bounds are scalar subqueries, so nothing is joined."""
-    bounds = present.agg(
-        F.percentile_approx("_v", [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("b"), F.count(F.lit(1)).alias("total"))
-    box = bounds.select(F.struct("b", "total")).scalar()
-    counts = present.groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
-    below = counts.where(F.col("_v") < box["b"][0]).agg(F.coalesce(F.sum("_n"), F.lit(0))).scalar()
-    middle = counts.where((F.col("_v") >= box["b"][0]) & (F.col("_v") <= box["b"][1]))
-    running = Window.partitionBy(F.lit(0)).orderBy("_v")
-    placed = middle.withColumns({"_below": below, "_total": box["total"]}).withColumn("_upto", F.sum("_n").over(running) + F.col("_below"))
-    return _middle(placed, [], F.expr("(_total + 1) div 2"), F.expr("(_total + 2) div 2"))
+    counts = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    whole = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_distinct"))
+    bounds = whole.where("_total IS NOT NULL").withColumn("_below", F.lit(0).cast("bigint")).checkpoint()
+    while not (wide := bounds.where(F.col("_distinct") > RANKED)).isEmpty():
+        narrowed = _narrowed(_inside(counts, wide, keys), keys)
+        bounds = bounds.where(F.col("_distinct") <= RANKED).unionByName(narrowed.select(*bounds.columns)).checkpoint()
+    own = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_v")  # RANKED values at most
+    placed = _inside(counts, bounds, keys).withColumn("_upto", F.col("_below") + F.sum("_n").over(own))
+
+    def at(rank: str) -> Column:
+        return F.min(F.when(F.col("_upto") >= F.expr(rank), F.col("_v")))
+
+    middle = placed.groupBy(*keys).agg(at("(_total + 1) div 2").alias("_a"), at("(_total + 2) div 2").alias("_z"))
+    return middle.where("_a IS NOT NULL").select(*keys, ((F.col("_a") + F.col("_z")) / 2).alias("median"))
+
+
+def _inside(counts: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """The counted values within their key's bounds; a single group's bounds are one value, so nothing is joined."""
+    own = [c for c in bounds.columns if c not in keys]
+    if keys:
+        joined = counts.join(bounds, keys)
+    else:
+        box = bounds.select(F.struct(*own)).scalar()
+        joined = counts.withColumns({c: box[c] for c in own})
+    return joined.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+
+
+def _narrowed(inside: DataFrame, keys: list[str]) -> DataFrame:
+    """New bounds: the parts that hold the middle ranks."""
+    cuts = inside.groupBy(*keys).agg(F.percentile_approx("_v", [i / PARTS for i in range(1, PARTS)], 100 * PARTS).alias("_cuts"))
+    if keys:
+        cut = inside.join(cuts, keys)
+    else:
+        cut = inside.withColumn("_cuts", cuts.select("_cuts").scalar())
+    part = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    parts = cut.withColumn("_part", part).groupBy(*keys, "_part").agg(
+        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_distinct"),
+        F.max("_total").alias("_total"), F.max("_below").alias("_below"))
+    own = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part")  # PARTS rows
+    placed = parts.withColumn("_upto", F.col("_below") + F.sum("_rows").over(own)).withColumn("_below", F.col("_upto") - F.col("_rows"))
+    held = placed.where("_upto >= (_total + 1) div 2 AND _below < (_total + 2) div 2")
+    return held.groupBy(*keys).agg(
+        F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.max("_total").alias("_total"), F.sum("_distinct").alias("_distinct"), F.min("_below").alias("_below"))
 
 
 def positions(rows: DataFrame, order: list[Column], keys: list[str] | None = None, name: str = "position") -> DataFrame:

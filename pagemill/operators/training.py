@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions.names import stem
+from pagemill.operators.quantiles import positions
 from pagemill.params import Params
 
 
 def class_indices(files: DataFrame, label: str = "class_name") -> DataFrame:
-    """0-based index of each class by name; only the distinct names are ranked."""
-    names = files.select(label).distinct()
-    return names.withColumn("class_index", F.dense_rank().over(Window.orderBy(label)).cast("bigint") - 1)
+    """0-based index of each class by name; the distinct names are range-sorted, not ranked in one task."""
+    return positions(files.select(label).distinct(), [F.col(label)], name="class_index")
 
 
 def labelled(files: DataFrame, label: str = "class_name") -> DataFrame:
