@@ -376,15 +376,16 @@ page_luma AS (SELECT vec_id AS page_key, list_transform(embedding,
 
 
 def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four scores from all dimensions: dimension i counts for class i mod 4."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("page_key"),
-        F.expr("transform(slice(embedding, 1, 4), v -> CAST(v AS DOUBLE) * 8)").alias("scores"),
+        F.expr("transform(sequence(0, 3), k -> aggregate(filter(embedding, (v, i) -> i % 4 = k), CAST(0 AS DOUBLE), (a, v) -> a + CAST(v AS DOUBLE)) * 2)").alias("scores"),
     )
 
 
 CLASS_SCORES = """
-class_scores AS (SELECT vec_id AS page_key, list_transform(embedding[1:4], lambda v: CAST(v AS DOUBLE) * 8) AS scores
-                 FROM embeddings)"""
+class_scores AS (SELECT vec_id AS page_key, list_transform(range(4), lambda k: list_reduce(list_prepend(0::DOUBLE,
+    list_transform(list_filter(embedding, lambda v, i: (i - 1) % 4 = k), lambda v: CAST(v AS DOUBLE))), lambda a, b: a + b) * 2) AS scores FROM embeddings)"""
 
 CLASS_NAMES = ("Attestation", "Contrat", "Facture")
 

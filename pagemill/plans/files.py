@@ -68,8 +68,11 @@ _DECISIONS = ["doc_id", "page_index", "stages", "capture_type", "crop_status", "
 def stage_chain(s, d):
     exprs = [f"{e} AS {n}" for n, e in _MEASURES.items()]
     pages = L.page_list(s, d).selectExpr("doc_id", "page_index", *exprs, f"{_SPARK_CORNERS} AS corners")
-    inputs = G.Inputs(B.line_vectors(s, d), B.class_table(s), B.VECTOR_DIM,
-                      lambda v: softmax(F.transform(F.slice(v, 1, 4), lambda x: x.cast("double") * 40)))
+    # four scores from all dimensions of the meaning: dimension i counts for class i mod 4
+    def part(v, k):
+        return F.aggregate(F.filter(F.slice(v, 1, B.VECTOR_DIM), lambda _, i: i % 4 == k), F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+    inputs = G.Inputs(B.line_vectors(s, d), B.class_table(s), B.VECTOR_DIM, lambda v: softmax(F.array(*[part(v, k) * 10 for k in range(4)])))
     return G.run(pages, inputs).select(*_DECISIONS, rounded(F.col("confidence"), 5).alias("confidence"))
 
 
@@ -80,7 +83,7 @@ chain_pages AS (SELECT p.*, {', '.join(f'{e} AS {n}' for n, e in _MEASURES.items
 page_detections AS (SELECT *, CASE WHEN white_fraction > 0.7::DOUBLE THEN 'SCAN' ELSE 'PHOTO' END AS capture_type FROM chain_pages)"""
 _CHAIN = f"""
 turned_pages AS (SELECT *, {X._RIGHT} AS angle, greatest(0.0::DOUBLE, least(1.0::DOUBLE, raw_confidence)) AS o_confidence FROM decided),
-page_means AS (SELECT doc_id, page_index, {', '.join(f"CAST(CAST({L._MEANS[i]} AS FLOAT) AS DOUBLE) * 40 AS m{i}" for i in range(4))}
+page_means AS (SELECT doc_id, page_index, {', '.join("(0::DOUBLE + " + " + ".join(f"CAST(CAST({L._MEANS[i]} AS FLOAT) AS DOUBLE)" for i in range(k, B.VECTOR_DIM, 4)) + f") * 10 AS m{k}" for k in range(4))}
     FROM confident JOIN extents USING (doc_id, page_index) GROUP BY 1, 2),
 class_scores AS (SELECT t.doc_id, t.page_index, [coalesce(m0, 0), coalesce(m1, 0), coalesce(m2, 0), coalesce(m3, 0)] AS scores
     FROM chain_pages t LEFT JOIN page_means m ON m.doc_id = t.doc_id AND m.page_index = t.page_index),
