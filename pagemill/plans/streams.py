@@ -13,12 +13,13 @@ from pagemill.plans import documents as D
 from pagemill.plans import failures as M
 from pagemill.plans import monitoring as Q
 from pagemill.session import run_dir
+from pagemill.sinks.current import CurrentTable
 from pagemill.sources.streams import event_stream
 from pagemill.streaming import documents as SD
 from pagemill.streaming import rates as SR
 from pagemill.streaming.retries import start_retries
 from pagemill.streaming.tasks import task_states
-from pagemill.streaming.runner import drain, drain_to_end, newest, stream_session
+from pagemill.streaming.runner import drain, drain_into, drain_to_end, newest, stream_session
 
 QUERIES, ORACLE = {}, {}
 # The table is a bounded source whose files come in any order, so the delay spans more than its history: no row is late.
@@ -41,8 +42,9 @@ ORACLE["stream_directory"] = "SELECT event_id, user_id, epoch_us(ts) AS ts_us FR
 # T1
 def stream_upserts(s, d):
     results = _events(s, d).selectExpr(*[e.replace("VARCHAR(20)", "STRING") for e in B._PAGE_RESULT_EXPRS], "ts", "ts_us")
-    written = drain(s, "upserts", SD.distinct_results(results, ANY_ORDER), "append", latest_results)
-    return latest_results(written).select(*D._STORED)
+    base = run_dir(s, "upserts")
+    current = drain_into(s, CurrentTable(f"{base}/table", latest_results), SD.distinct_results(results, ANY_ORDER), f"{base}/checkpoint")
+    return current.select(*D._STORED)
 
 
 QUERIES["stream_upserts"] = stream_upserts

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.session import ROCKSDB, run_dir
+from pagemill.sinks.current import CurrentTable
 from pagemill.sources.streams import mark_end, read_stream
 
 
@@ -47,6 +48,13 @@ def drain(spark: SparkSession, name: str, stream: DataFrame, mode: str = "update
     return spark.read.parquet(f"{base}/rows")
 
 
+def drain_into(spark: SparkSession, table: CurrentTable, stream: DataFrame, checkpoint: str) -> DataFrame:
+    """Merge everything that is available into a keyed table, then read its newest version."""
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(table.apply)
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return table.read(spark)
+
+
 def drain_to_end(spark: SparkSession, name: str, source: DataFrame, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """As ``drain``, for a bounded source: after its last file an end mark follows, which fires all timers still set."""
     base, session = run_dir(spark, name), source.sparkSession
