@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
-import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer, Tokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.ml.functions import predict_batch_udf
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
+from pagemill.functions.frames import once
 from pagemill.operators.lines import BOX, PAGE, confident_lines, extent_columns
 from pagemill.params import Params
 
@@ -83,25 +84,45 @@ def document_vectors(lines: DataFrame, documents: DataFrame, semantic_dim: int,
     return documents.join(vectors, keys, "left").withColumn("vector", F.coalesce("vector", zeros))
 
 
-def hashed_encoder(lines: DataFrame, dim: int = 64, text: str = "text", output: str = "semantic") -> DataFrame:
-    """Default text encoding: hashed term counts of unit length, computed in the JVM without a model file."""
-    tokens = Tokenizer(inputCol=text, outputCol="_tokens").transform(lines.withColumn(text, F.coalesce(text, F.lit(""))))
-    counts = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dim).transform(tokens)
-    unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0).transform(counts)
-    return unit.withColumn(output, vector_to_array("_unit")).drop("_tokens", "_counts", "_unit")
+def token_dims(text: Column, dim: int) -> Column:
+    """The dimension of each token (lower case, between blanks): the first digits of its MD5."""
+    tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda t: t != "")
+    return F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dim)
+
 
+def unit(vector: Column) -> Column:
+    """The vector at length 1; one of zeros stays."""
+    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, v: a + v * v))
+    return F.when(norm > 0, F.transform(vector, lambda v: v / norm)).otherwise(vector)
 
-def encode_with(lines: DataFrame, load_model, text: str = "text", output: str = "semantic") -> DataFrame:
-    """Encode text with an external model: ``load_model()`` runs once per task and returns a function from a
-    list of texts to a list of vectors. Vectors are scaled to unit length afterwards."""
 
-    @F.pandas_udf("array<double>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def hashed_encoder(lines: DataFrame, dim: int = 64, text: str = "text", output: str = "semantic") -> DataFrame:
+    """Default text encoding: hashed token counts of unit length, computed in the JVM without a model file."""
+    held = once(lines, {"_dims": token_dims(F.col(text), dim)})
+    counted = once(held, {"_raw": F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter("_dims", lambda x: x == d)).cast("double"))})
+    return counted.withColumn(output, unit(F.col("_raw"))).drop("_dims", "_raw")
+
+
+def hashed_model(dim: int = 64):
+    """The hashed encoder as a model for ``encode_with``."""
+    def load():
+        def encode(texts: list[str]) -> list[list[float]]:
+            out = np.zeros((len(texts), dim))
+            for row, text in zip(out, texts):
+                for token in text.lower().split():
+                    row[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim] += 1
+            return out.tolist()
+        return encode
+    return load
+
+
+def encode_with(lines: DataFrame, load_model, text: str = "text", output: str = "semantic", batch: int = 256) -> DataFrame:
+    """Encode text with an external model: ``load_model()`` runs once in a Python worker and returns a function from a
+    list of texts to a list of vectors, which gets ``batch`` texts at a time. Vectors are scaled to unit length afterwards."""
+    def load():
         model = load_model()
-        for batch in batches:
-            yield pd.Series([list(map(float, v)) for v in model(batch.fillna("").tolist())])
+        return lambda texts: np.array([list(map(float, v)) for v in model([t or "" for t in texts.tolist()])])
 
-    encoded = lines.withColumn("_raw", encode(F.col(text)))
-    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda a, v: a + v * v))
-    unit = F.when(norm > 0, F.transform("_raw", lambda v: v / norm)).otherwise(F.col("_raw"))
-    return encoded.withColumn(output, unit).drop("_raw")
+    encode = predict_batch_udf(load, return_type=ArrayType(DoubleType()), batch_size=batch)
+    encoded = lines.withColumn("_raw", encode(F.coalesce(F.col(text), F.lit(""))))
+    return encoded.withColumn(output, unit(F.col("_raw"))).drop("_raw")

@@ -146,13 +146,21 @@ FROM (SELECT DISTINCT doc_id, page_index FROM text_lines) p LEFT JOIN
     B.LINE_VECTORS, _EXTENTS.replace("FROM text_lines", "FROM line_vectors"))
 
 
-# M1
-def encoded_lines(s, d):
-    encoded = V.hashed_encoder(B.text_lines(s, d).select("doc_id", "line_no", "text"), dim=16)
-    norm = F.aggregate("semantic", F.lit(0.0), lambda a, v: a + v * v)
-    return encoded.select("doc_id", "line_no", rounded(norm).alias("squared_norm"))
-
-
-QUERIES["encoded_lines"] = encoded_lines
-# Encodings depend on the encoder; their unit length does not.
-ORACLE["encoded_lines"] = B.sql("SELECT doc_id, line_no, CAST(1 AS DOUBLE) AS squared_norm FROM text_lines", B.TEXT_LINES)
+# M1: the encoder in the JVM, and as a model behind the hook; every element, in millionths
+def _encoded(encode):
+    def run(s, d):
+        encoded = encode(B.text_lines(s, d).select("doc_id", "line_no", "text"))
+        millionths = F.transform("semantic", lambda v: F.round(v * 1_000_000).cast("bigint").cast("string"))
+        return encoded.select("doc_id", "line_no", F.array_join(millionths, ",").alias("elements"))
+    return run
+
+
+QUERIES["encoded_lines"] = _encoded(lambda lines: V.hashed_encoder(lines, dim=16))
+QUERIES["model_encoded_lines"] = _encoded(lambda lines: V.encode_with(lines, V.hashed_model(16)))
+ORACLE["encoded_lines"] = B.sql("""
+SELECT doc_id, line_no, array_to_string(list_transform(counts, lambda c: CAST(CAST(round(c / greatest(norm, 1e-300) * 1000000) AS BIGINT) AS VARCHAR)), ',') AS elements
+FROM (SELECT *, sqrt(list_sum(list_transform(counts, lambda c: c * c))) AS norm FROM (
+  SELECT doc_id, line_no, list_transform(range(16), lambda d: len(list_filter(dims, lambda x: x = d))::DOUBLE) AS counts FROM (
+    SELECT doc_id, line_no, list_transform(list_filter(string_split_regex(lower(coalesce(text, '')), '\\s+'), lambda t: t <> ''),
+                                           lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % 16) AS dims FROM text_lines)))""", B.TEXT_LINES)
+ORACLE["model_encoded_lines"] = ORACLE["encoded_lines"]

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.names import extension, has_extension, parent_name
 from pagemill.params import LISTED_EXTENSIONS, UPLOAD_EXTENSIONS
+from pagemill.sources.listing import listing
 
 
 def list_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = LISTED_EXTENSIONS) -> DataFrame:
-    """Files below a folder with one of the extensions (any case), sorted by path. Contents are not read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    facts = listing.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("modified_us"))
-    return wanted_files(facts, extensions)
+    """Files below a folder with one of the extensions (any case), sorted by path, empty ones too. Contents are not read."""
+    return wanted_files(listing(spark, root), extensions)
 
 
 def wanted_files(files: DataFrame, extensions: tuple[str, ...] = LISTED_EXTENSIONS) -> DataFrame:

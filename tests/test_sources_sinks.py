@@ -1,6 +1,7 @@
 """Files, records, sidecars, uploads, names, sinks."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -23,6 +24,39 @@ def test_listing(spark, tmp_path):
     assert S.list_files(spark, str(tmp_path), (".txt",)).count() == 1
 
 
+def test_listing_of_nested_folders_with_empty_files(spark, tmp_path):
+    expected = {}
+    for i in range(6):
+        for j in range(3):
+            folder = tmp_path / f"a b{i}" / f"ü{j}" / "deep"
+            folder.mkdir(parents=True)
+            for k in range(3):
+                (folder / f"{k}.png").write_bytes(b"x" * k)
+                expected[f"a b{i}/ü{j}/deep/{k}.png"] = k
+    (tmp_path / "top.pdf").write_bytes(b"")
+    (tmp_path / "nothing").mkdir()
+    expected["top.pdf"] = 0
+    from pagemill.sources import listing as L
+    found = L.listing(spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() > 10
+    assert {r["path"].split(f"{tmp_path.name}/")[1]: r["size"] for r in found.collect()} == expected
+    assert L.listing(spark, f"file://{tmp_path}").count() == len(expected)
+    checked = S.check_uploads(S.list_files(spark, str(tmp_path)))
+    assert checked.where("reject_reason = 'empty_file'").count() == 19 and checked.where("reject_reason IS NULL").count() == 36
+    # the same files as a stream, then only what is new
+    query = L.listing_stream(spark, str(tmp_path)).writeStream.format("memory").queryName("listed").start()
+    try:
+        deadline = time.time() + 60
+        while spark.table("listed").count() < len(expected) and time.time() < deadline:
+            time.sleep(0.5)
+        (tmp_path / "later.pdf").write_bytes(b"zz")
+        while spark.table("listed").count() < len(expected) + 1 and time.time() < deadline:
+            time.sleep(0.5)
+        assert sorted(r["path"].split(f"{tmp_path.name}/")[1] for r in spark.table("listed").collect()) == sorted([*expected, "later.pdf"])
+    finally:
+        query.stop()
+
+
 @pytest.mark.parametrize("path,size,ext,reason", [
     ("x/a.PDF", 1, ".pdf", None), ("", 1, None, "name_missing"), (None, 1, None, "name_missing"), ("x/a", 1, None, "no_extension"),
     ("x/.png", 1, None, "no_extension"), ("a.exe", 1, None, "unsupported_extension"), ("a.exe", 0, None, "unsupported_extension"), ("a.png", 0, None, "empty_file")])
