@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from pagemill.functions.numbers import ratio
 
 
-def confusion(predictions: DataFrame) -> DataFrame:
-    """(label, prediction, n) over the labels that occur; pairs that never occur count 0.
+def confusion(predictions: DataFrame, fill: bool = False) -> DataFrame:
+    """(label, prediction, n) of the pairs that occur; with ``fill`` also those of two occurring classes that never do, as 0.
 
-    The grid has classes x classes rows, built from the collected set of distinct classes (the class list).
+    The filled grid has classes x classes rows, as the matrix that is shown has; everything else works on the pairs.
     """
     pairs = predictions.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+    if not fill:
+        return pairs
     seen = pairs.select(F.explode(F.array("label", "prediction")).alias("c")).distinct()
     every = seen.agg(F.sort_array(F.collect_set("c")).alias("classes"))
     grid = every.select(F.explode("classes").alias("label"), "classes").select("label", F.explode("classes").alias("prediction"))
@@ -85,3 +87,26 @@ def evaluation_report(predictions: DataFrame, classes: DataFrame) -> DataFrame:
         F.lit("overall").alias("section"), F.lit("all").alias("name"), F.lit("accuracy").alias("metric"), F.col("accuracy").alias("value"))
     return per_class.unionByName(overall).unionByName(cells).unionByName(share)
 
+
+
+def report_document(predictions: DataFrame, classes: DataFrame, generated_at: str, model_path: str, data_path: str, importance: DataFrame | None = None) -> DataFrame:
+    """The evaluation as one nested row: when and of what, the class list with its measures, averages, accuracy, the pairs of the matrix, and importances.
+
+    Its arrays are as long as the class list, and as there are pairs of classes that occur; no empty cell is made.
+    """
+    report = class_report(predictions, classes)
+    measures = ["precision", "recall", "f1"]
+    listed = report.agg(F.sort_array(F.collect_list(F.struct("class_index", "class_name", "support", *measures))).alias("classes"))
+    cells = confusion(predictions).agg(F.sort_array(F.collect_list(F.struct("label", "prediction", "n"))).alias("matrix"))
+    average = averages(report).agg(F.sort_array(F.collect_list(F.struct("average", *measures, "support"))).alias("averages"))
+    overall = accuracy(predictions)
+    one = lambda rows, *names: rows.select(F.struct(*names)).scalar()
+    facts = overall.select(F.lit(generated_at).alias("generated_at"), F.lit(model_path).alias("model_path"), F.lit(data_path).alias("data_path"), "accuracy", F.col("rows").alias("test_rows"))
+    facts = facts.withColumn("classes", one(listed, "classes")["classes"]).withColumn("matrix", one(cells, "matrix")["matrix"]).withColumn("averages", one(average, "averages")["averages"])
+    if importance is None:
+        return facts.withColumn("feature_importance", F.lit(None).cast("struct<text_percent: double, position_percent: double>"))
+    return facts.withColumn("feature_importance", one(importance, "text_percent", "position_percent"))
+
+
+def write_report(document: DataFrame, path: str) -> None:
+    document.write.mode("overwrite").json(path)

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pagemill.functions.numbers import rounded
 from pagemill.operators import quality as Q
 from pagemill.plans import bindings as B
+from pagemill.plans.geometry import _STEP_ORDER as STEP_ORDER
+from pagemill.session import run_dir
 from pagemill.sinks import tables as K
-from pagemill.sources.records import FLAG_SCHEMA
+from pagemill.sources.records import FLAG_SCHEMA, parse_transform_logs
 
 QUERIES, ORACLE = {}, {}
 KEYS = ["batch", "page_key", "part_key", "line_key"]
@@ -129,6 +131,38 @@ SELECT {KEY_SQL}, {', '.join(Q.WARNINGS)}, rotated, orientation_confidence, desk
   final_width, white_fraction AS capture_white_percentage FROM flags""", B.PAGE_MEASURES, FLAGS)
 
 
+# K1: all four kinds, written side by side and read back as VARIANT
+def stored_records(s, d):
+    base = run_dir(s, "records")
+    line = F.struct("line_no", "text", "confidence", F.array("x1", "y1", "x2", "y2").alias("bounding_box"))
+    pages = B.text_lines(s, d).groupBy("doc_id", "page_index").agg(F.sort_array(F.collect_list(line)).alias("ocr_lines"))  # 40 lines a page at most
+    checks = "CAST(CASE WHEN doc_id % 2 = 0 THEN array(named_struct('position', CAST(NULL AS ARRAY<DOUBLE>), 'checked', true, 'confidence', 0.5D)) END AS ARRAY<STRUCT<position: ARRAY<DOUBLE>, checked: BOOLEAN, confidence: DOUBLE>>)"
+    measured = flags(s, d).withColumns({"input_path": F.concat(F.lit("in/"), F.col("page_key").cast("string")), "processed_path": F.concat(F.lit("out/"), F.col("page_key").cast("string"))})
+    logs = parse_transform_logs(B.transform_logs(s, d), ["page_key"]).withColumn("output_original_path", F.when(F.col("page_key") % 2 == 0, F.concat(F.lit("orig/"), F.col("page_key").cast("string"))))
+    K.write_page_records(pages.withColumn("checkboxes", F.expr(checks)), base, ["doc_id", "page_index"], "features")
+    K.write_page_records(measured, base, KEYS, "flags")
+    K.write_page_records(measured, base, KEYS, "preprocessing")
+    K.write_page_records(logs, base, KEYS[1:], "transforms")
+    part = lambda path, kind: F.try_variant_get("record", path, kind)
+    size = lambda path: F.size(part(path, "array<variant>"))
+    of = lambda **kinds: F.coalesce(*[F.when(F.col("kind") == k, v.cast("string")) for k, v in kinds.items()])
+    return K.read_page_records(s, base).select(
+        "kind", F.coalesce("doc_id", "page_key").alias("page"), F.coalesce("page_index", "line_key").alias("part"),
+        of(features=size("$.ocr_lines"), flags=size("$.final_resolution"), preprocessing=part("$.capture_info.type", "string"), transforms=size("$.transforms")).alias("first"),
+        of(features=part("$.ocr_lines[0].text", "string"), flags=part("$.crop_margins.top", "bigint"), preprocessing=part("$.processed_path", "string"),
+           transforms=part("$.transforms[0].transform_type", "string")).alias("second"),
+        of(features=part("$.checkboxes[0].position[3]", "bigint"), flags=part("$.rotated", "string"), preprocessing=part("$.status", "string"), transforms=part("$.output_original_path", "string")).alias("third"))
+
+
+QUERIES["stored_records"] = stored_records
+ORACLE["stored_records"] = B.sql("""
+SELECT 'features' AS kind, doc_id AS page, page_index AS part, CAST(count(*) AS VARCHAR) AS first, arg_min(text, line_no) AS second, CASE WHEN doc_id % 2 = 0 THEN '0' END AS third
+FROM text_lines GROUP BY doc_id, page_index
+UNION ALL SELECT 'flags', page_key, line_key, CASE WHEN final_width IS NULL THEN '0' ELSE '2' END, CASE WHEN crop_status = 'cropped' THEN CAST(CAST(margin_top AS BIGINT) AS VARCHAR) END, CAST(rotated AS VARCHAR) FROM flags
+UNION ALL SELECT 'preprocessing', page_key, line_key, capture_type, concat('out/', page_key), 'success' FROM flags
+UNION ALL SELECT 'transforms', page_key, line_key, '3', t[1].n, CASE WHEN page_key % 2 = 0 THEN concat('orig/', page_key) END FROM steps""",
+    B.TEXT_LINES, B.PAGE_MEASURES, FLAGS, B.TRANSFORM_ROWS, STEP_ORDER)
+
 
 # K3, S3, J7: every third sidecar has no image, every fourth image has no log; jpg for odd parts
 def sidecars(s, d):

@@ -8,6 +8,7 @@ from pagemill.functions.numbers import rounded, softmax
 from pagemill.operators import evaluation as E
 from pagemill.operators import scoring as S
 from pagemill.plans import bindings as B
+from pagemill.session import run_dir
 
 QUERIES, ORACLE = {}, {}
 
@@ -67,7 +68,7 @@ matrix AS (SELECT a.c AS label, b.c AS prediction, (SELECT count(*) FROM predict
   FROM (SELECT label AS c FROM predictions UNION SELECT prediction FROM predictions) a,
        (SELECT label AS c FROM predictions UNION SELECT prediction FROM predictions) b)"""
 _MEASURES = ["precision", "recall", "f1"]
-QUERIES["confusion_matrix"] = lambda s, d: E.confusion(B.predictions(s, d))
+QUERIES["confusion_matrix"] = lambda s, d: E.confusion(B.predictions(s, d), fill=True)
 ORACLE["confusion_matrix"] = B.sql("SELECT label, prediction, n FROM matrix", B.PREDICTIONS, REPORT)
 QUERIES["class_report"] = lambda s, d: E.class_report(B.predictions(s, d), classes(s, d)).select(
     "class_index", "class_name", "support", *[rounded(F.col(m)).alias(m) for m in _MEASURES])
@@ -83,6 +84,40 @@ QUERIES["evaluation_report"] = lambda s, d: E.evaluation_report(B.predictions(s,
 _LONG = " UNION ALL ".join(
     [f"SELECT 'class' AS section, class_name AS name, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM report" for m in _MEASURES + ["support"]]
     + [f"SELECT 'average', average, '{m}', CAST({m} AS DOUBLE) FROM averaged" for m in _MEASURES + ["support"]]
-    + ["SELECT 'matrix', CAST(label AS VARCHAR), CAST(prediction AS VARCHAR), CAST(n AS DOUBLE) FROM matrix",
+    + ["SELECT 'matrix', CAST(label AS VARCHAR), CAST(prediction AS VARCHAR), CAST(n AS DOUBLE) FROM matrix WHERE n > 0",
        "SELECT 'overall', 'all', 'accuracy', CAST(count(*) FILTER (WHERE label = prediction) AS DOUBLE) / count(*) FROM predictions"])
 ORACLE["evaluation_report"] = B.sql(f"SELECT section, name, metric, round(value, 6) AS value FROM ({_LONG})", B.PREDICTIONS, REPORT)
+
+
+# M7: the whole report as one document, written and read back, one row for each entry of its lists
+def report_entries(s, d):
+    path = run_dir(s, "report")
+    gains = B.predictions(s, d).groupBy((F.col("vec_id") % 64).alias("dim")).agg(F.count(F.lit(1)).cast("double").alias("importance"))
+    document = E.report_document(B.predictions(s, d), classes(s, d), "2024-01-01T00:00:00", "models/m", "data/d", E.importance_split(gains, 64))
+    E.write_report(document, path)
+    back = s.read.json(path)
+    entry = lambda kind, *parts: F.concat_ws("|", F.lit(kind), *[p.cast("string") for p in parts])
+    share = lambda x: F.round(x * 1_000_000).cast("bigint")
+    listed = F.concat(
+        F.transform("classes", lambda c: entry("class", c["class_index"], c["class_name"], c["support"], *[share(c[m]) for m in _MEASURES])),
+        F.transform("matrix", lambda c: entry("cell", c["label"], c["prediction"], c["n"])),
+        F.transform("averages", lambda a: entry("average", a["average"], a["support"], *[share(a[m]) for m in _MEASURES])),
+        F.array(entry("facts", F.col("model_path"), F.col("data_path"), F.col("test_rows"), share(F.col("accuracy"))),
+                entry("importance", share(F.col("feature_importance.text_percent")), share(F.col("feature_importance.position_percent")))))
+    return back.select("generated_at", F.explode(listed).alias("entry"))
+
+
+def _entry(kind, *parts):
+    return f"concat_ws('|', '{kind}', {', '.join(parts)})"
+
+
+_SHARES = [f"CAST(round({m} * 1000000) AS BIGINT)" for m in _MEASURES]
+QUERIES["report_entries"] = report_entries
+ORACLE["report_entries"] = B.sql(f"""
+SELECT '2024-01-01T00:00:00' AS generated_at, entry FROM (
+  SELECT {_entry('class', 'class_index', 'class_name', 'support', *_SHARES)} AS entry FROM report
+  UNION ALL SELECT {_entry('cell', 'label', 'prediction', 'n')} FROM matrix WHERE n > 0
+  UNION ALL SELECT {_entry('average', 'average', 'support', *_SHARES)} FROM averaged
+  UNION ALL SELECT {_entry('facts', "'models/m'", "'data/d'", 'count(*)', 'CAST(round(CAST(count(*) FILTER (WHERE label = prediction) AS DOUBLE) / count(*) * 1000000) AS BIGINT)')} FROM predictions
+  UNION ALL SELECT {_entry('importance', 'CAST(round(CAST(count(*) FILTER (WHERE vec_id % 64 < 60) AS DOUBLE) / count(*) * 100 * 1000000) AS BIGINT)',
+                           'CAST(round(CAST(count(*) FILTER (WHERE vec_id % 64 >= 60) AS DOUBLE) / count(*) * 100 * 1000000) AS BIGINT)')} FROM predictions)""", B.PREDICTIONS, REPORT)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.operators.quality import flag_statistics
+from pagemill.operators.transforms import sorted_transforms
 
 FLAG_FIELDS = [
     "low_confidence_orientation", "overcrop_risk", "no_quad_detected", "dewarp_applied", "low_contrast_after_enhance",
@@ -23,13 +24,43 @@ def flag_record() -> Column:
         F.col("white_fraction").alias("capture_white_percentage")), {"ignoreNullFields": "false"})
 
 
-def page_records(flags: DataFrame, keys: list[str]) -> DataFrame:
-    return flags.select(*keys, flag_record().alias("record"))
+def features_record() -> Column:
+    """JSON of one page's lines and check boxes (arrays of structs); a page without any has empty lists, a box or text that is missing its default."""
+    box = lambda b: F.coalesce(b, F.array(*[F.lit(0.0)] * 4))
+    lines = F.transform("ocr_lines", lambda x: F.struct(
+        F.coalesce(x["text"], F.lit("")).alias("text"), F.coalesce(x["confidence"], F.lit(0.0)).alias("confidence"), box(x["bounding_box"]).alias("bounding_box")))
+    boxes = F.transform("checkboxes", lambda x: F.struct(
+        box(x["position"]).alias("position"), F.coalesce(x["checked"], F.lit(False)).alias("checked"), F.coalesce(x["confidence"], F.lit(0.0)).alias("confidence")))
+    return F.to_json(F.struct(F.coalesce(lines, F.array()).alias("ocr_lines"), F.coalesce(boxes, F.array()).alias("checkboxes")))
 
 
-def write_page_records(flags: DataFrame, path: str, keys: list[str]) -> None:
-    """One JSON line per page, split over as many files as there are partitions."""
-    page_records(flags, keys).write.mode("overwrite").json(path)
+def preprocessing_record() -> Column:
+    """JSON of one page's preprocessing: paths, capture type and what it was decided by, and the time."""
+    info = F.struct(F.col("capture_type").alias("type"), F.col("white_fraction").alias("white_percentage")).alias("capture_info")
+    return F.to_json(F.struct(F.lit("success").alias("status"), "input_path", "processed_path", "capture_type", info, "processing_time"), {"ignoreNullFields": "false"})
+
+
+def transform_record() -> Column:
+    """JSON of one page's transform log, in order; the original's path only where there is one."""
+    return F.to_json(F.struct("input_path", "output_path", "output_original_path", sorted_transforms(F.col("transforms")).alias("transforms")))
+
+
+#: What is kept of a page, by kind.
+RECORDS = {"flags": flag_record, "features": features_record, "preprocessing": preprocessing_record, "transforms": transform_record}
+
+
+def page_records(rows: DataFrame, keys: list[str], kind: str = "flags") -> DataFrame:
+    return rows.select(*keys, RECORDS[kind]().alias("record"))
+
+
+def write_page_records(rows: DataFrame, path: str, keys: list[str], kind: str = "flags") -> None:
+    """One line per page and kind, split over as many files as there are partitions; kinds lie side by side below the path."""
+    page_records(rows, keys, kind).write.mode("overwrite").json(f"{path}/kind={kind}")
+
+
+def read_page_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all kinds below a path: the keys, ``kind`` and ``record`` as a VARIANT, whose fields need no schema."""
+    return spark.read.json(path).withColumn("record", F.parse_json("record"))
 
 
 def write_labelled(files: DataFrame, path: str, label: str = "document_type") -> None:

@@ -126,6 +126,30 @@ def test_records_have_the_documented_empties(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "m/statistics")).first()["generated_at"] == "2024-01-01T00:00:00"
 
 
+def test_every_kind_of_record(spark, tmp_path):
+    kinds = "array<struct<text: string, confidence: double, bounding_box: array<double>>>", "array<struct<position: array<double>, checked: boolean, confidence: double>>"
+    pages = spark.createDataFrame([(1, [("a", .5, [1., 2., 3., 4.]), (None, None, None)], [(None, None, .25)]), (2, None, None), (3, [], [])], f"k int, ocr_lines {kinds[0]}, checkboxes {kinds[1]}")
+    found = {r["k"]: json.loads(r["record"]) for r in K.page_records(pages, ["k"], "features").collect()}
+    assert found[1] == {"ocr_lines": [{"text": "a", "confidence": .5, "bounding_box": [1, 2, 3, 4]}, {"text": "", "confidence": 0, "bounding_box": [0] * 4}],
+                        "checkboxes": [{"position": [0] * 4, "checked": False, "confidence": .25}]}
+    assert found[2] == found[3] == {"ocr_lines": [], "checkboxes": []}
+    cards = spark.createDataFrame([(1, "i", "o", "SCAN", .9, 1.5), (2, "i", None, None, None, None)], "k int, input_path string, processed_path string, capture_type string, white_fraction double, processing_time double")
+    found = {r["k"]: json.loads(r["record"]) for r in K.page_records(cards, ["k"], "preprocessing").collect()}
+    assert found[1] == {"status": "success", "input_path": "i", "processed_path": "o", "capture_type": "SCAN", "capture_info": {"type": "SCAN", "white_percentage": .9}, "processing_time": 1.5}
+    assert found[2]["capture_info"] == {"type": None, "white_percentage": None} and found[2]["processing_time"] is None
+    step = "struct<transform_type: string, params: struct<angle: double>, `order`: int>"
+    logs = spark.createDataFrame([(1, "i", "o", None, [("b", (None,), 2), ("a", (90.,), 1)]), (2, "i", "o", "p", [])], f"k int, input_path string, output_path string, output_original_path string, transforms array<{step}>")
+    found = {r["k"]: json.loads(r["record"]) for r in K.page_records(logs, ["k"], "transforms").collect()}
+    assert [t["transform_type"] for t in found[1]["transforms"]] == ["a", "b"] and "output_original_path" not in found[1]
+    assert list(found[2]) == ["input_path", "output_path", "output_original_path", "transforms"] and found[2]["transforms"] == []
+    for kind, rows in (("features", pages), ("preprocessing", cards), ("transforms", logs)):
+        K.write_page_records(rows, str(tmp_path / "r"), ["k"], kind)
+        K.write_page_records(rows, str(tmp_path / "r"), ["k"], kind)  # a repeated write replaces its kind only
+    back = K.read_page_records(spark, str(tmp_path / "r"))
+    assert {r["kind"]: r["count"] for r in back.groupBy("kind").count().collect()} == {"features": 3, "preprocessing": 2, "transforms": 2}
+    assert back.where("kind = 'preprocessing' AND variant_get(record, '$.capture_type', 'string') = 'SCAN'").count() == 1
+
+
 def test_expiry(spark):
     df = spark.createDataFrame([(1, 0), (2, 10)], "id int, ts_us bigint")
     assert [r["id"] for r in K.readable(K.expiring(df, 1), 1_000_000).collect()] == [2]

@@ -61,6 +61,11 @@ def test_report(spark):
     assert E.accuracy(df).first()["accuracy"] == .7
     cells = {(r["label"], r["prediction"]): r["n"] for r in E.confusion(df).collect()}
     assert cells == {(0, 0): 4, (0, 1): 1, (1, 0): 2, (1, 1): 3} and sum(cells.values()) == len(pairs)
+    few = df.where("label = prediction")
+    assert E.confusion(few).count() == 2 and {(r["label"], r["prediction"]): r["n"] for r in E.confusion(few, fill=True).collect()} == {(0, 0): 4, (0, 1): 0, (1, 0): 0, (1, 1): 3}
+    document = E.report_document(df, classes, "now", "m", "d").first()
+    assert [c["class_name"] for c in document["classes"]] == ["a", "b", "never"] and len(document["matrix"]) == 4 and document["accuracy"] == .7
+    assert document["feature_importance"] is None and document["test_rows"] == 10
     avg = {r["average"]: r for r in E.averages(E.class_report(df, classes)).collect()}
     assert avg["weighted avg"]["recall"] == pytest.approx(.7)
     assert avg["macro avg"]["recall"] == pytest.approx((.8 + .6) / 3)
