@@ -40,8 +40,9 @@ LABELLERS = [
     ("echoes", 0.30, 0.05),
     ("triples", 0.25, 0.04),
 ]
-#: Labellers are made so that they blame at most this share of good documents; the estimate is held to it.
-MOST_FALSE = 0.002
+#: What is expected of a labeller before any vote is seen: the share of bad and of good documents it blames, and how much
+#: that counts, as a share of the votes of the class. Both are estimated; a labeller that blames good documents is found out.
+EXPECTED, PRIOR = (0.4, 0.002), 0.02
 BAD, GOOD, NOTHING = 0, 1, 2
 
 _LOWER, _UPPER, _DIGIT = ord("a"), ord("A"), ord("0")
@@ -131,18 +132,17 @@ class Labels:
     def __init__(self, patterns: np.ndarray, counts: np.ndarray, rounds: int = 200):
         votes = votes_in(patterns)
         self.good = 0.9
-        # a labeller may miss most kinds of bad documents, but seldom blames a good one; no vote says nothing
-        self.shares = np.empty((2, len(LABELLERS), 2))
-        self.shares[BAD], self.shares[GOOD] = (0.4, 0.6), (MOST_FALSE, 1 - MOST_FALSE)
+        expected = np.empty((2, len(LABELLERS), 2))
+        expected[BAD], expected[GOOD] = ((x, 1 - x) for x in EXPECTED)
+        self.shares = expected.copy()  # no vote says nothing
         for _ in range(rounds):
             good = self._posterior(votes)
             weight = np.stack([counts * (1 - good), counts * good])
             self.good = float((weight[GOOD].sum() + 1) / (counts.sum() + 2))
             for vote in (BAD, GOOD):
-                self.shares[:, :, vote] = weight @ (votes == vote) + 0.1
+                self.shares[:, :, vote] = weight @ (votes == vote)
+            self.shares += expected * (PRIOR * weight.sum(axis=1)[:, None, None] + 0.1)
             self.shares /= self.shares.sum(axis=2, keepdims=True)
-            self.shares[GOOD, :, BAD] = np.minimum(self.shares[GOOD, :, BAD], MOST_FALSE)
-            self.shares[GOOD, :, GOOD] = 1 - self.shares[GOOD, :, BAD]
 
     def _posterior(self, votes: np.ndarray) -> np.ndarray:
         j = np.arange(len(LABELLERS))
