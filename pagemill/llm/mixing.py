@@ -22,6 +22,9 @@ SEED = 17
 #: Weights where none are given: characters to this power, normalised (1: as they come, 0: all sources equal).
 TEMPERATURE = 0.5
 
+#: Numbers of all rates that a task may hold (8 MB), and keys that a source's rows are dealt over where there are more.
+HELD, SALTS = 1 << 20, 16
+
 
 def uniform(key: Column) -> Column:
     """A number in [0, 1) from the first 52 bits of the key's MD5."""
@@ -51,6 +54,12 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, b
     return rated.select("source", "chars", "rate", below.alias("below"), steps.alias("cdf"))
 
 
+def _measured(rates: DataFrame, cdf: str) -> tuple[DataFrame, int]:
+    """The rates, written, and how many numbers they are."""
+    rates = cut(rates)
+    return rates, rates.agg(F.sum(F.size(cdf) + 3)).first()[0] or 0
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, temperature: float = TEMPERATURE, seed: int = SEED,
         copy: str = "copy", key: str = "shuffle_key") -> DataFrame:
     """The documents, each as often as it drew, in hashed order, with the number of the copy (from 1) and the order's key."""
@@ -58,9 +67,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     source, below, cdf = free_name("source_of_rate", own), free_name("below", own), free_name("cdf", own)
     copy, key = free_name(copy, own), free_name(key, own)
     rates = repetition_rates(docs, weights, budget, temperature).select(F.col("source").alias(source), F.col("below").alias(below), F.col("cdf").alias(cdf))
+    rates, size = _measured(rates, cdf)
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     drawn = uniform(F.concat(F.lit(f"{seed}:"), name))
-    rated = docs.join(rates, F.col("source").eqNullSafe(F.col(source)))
+    if size <= HELD:  # texts stay where they are
+        rated = docs.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col(source)))
+    else:  # more sources than a task should hold: each source's rows are dealt over several keys
+        salt = free_name("salt", own)
+        spread = rates.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = docs.withColumn(salt, F.pmod(F.xxhash64("doc_id", body()), F.lit(SALTS)).cast("int"))
+        rated = salted.join(spread, F.col("source").eqNullSafe(F.col(source)) & (salted[salt] == spread[salt])).drop(salted[salt], spread[salt])
     times = F.col(below) + F.size(F.filter(F.col(cdf), lambda c: c <= drawn))
     copies = rated.withColumn(copy, times).where(F.col(copy) > 0).select(*own, F.explode(F.sequence(F.lit(1), F.col(copy))).alias(copy))
     copies = copies.withColumn(key, F.md5(F.concat_ws(":", F.lit(f"{seed}"), name, F.col(copy).cast("string"))))
