@@ -93,6 +93,10 @@ class Component:
         self.rows = self.columns = 0  # without the padding of interleaved scans
 
 
+#: Pixels of the largest image that is read: what a header asks for is checked before anything is laid out.
+MOST_PIXELS = 1 << 26
+
+
 class Image:
     """A parsed file: coefficients and quantisation."""
 
@@ -102,6 +106,7 @@ class Image:
         self.components: list[Component] = []
         self.tables: dict[tuple[int, int], Huffman] = {}
         self.interval = 0
+        self.transform: int | None = None  # how colours are coded, where the file says so
         self._read(raw)
 
     def _read(self, raw: bytes) -> None:
@@ -128,6 +133,8 @@ class Image:
                 self.interval = struct.unpack(">H", part)[0]
             elif marker == 0xFE:
                 self.notes.append(part)
+            elif marker == 0xEE and part[:5] == b"Adobe" and len(part) >= 12:
+                self.transform = part[11]
             elif marker in (0xC0, 0xC1, 0xC2):
                 self._frame(part)
             elif 0xC3 <= marker <= 0xCF:
@@ -152,8 +159,14 @@ class Image:
         precision, self.height, self.width, n = struct.unpack_from(">BHHB", part)
         if precision != 8 or not self.height or not self.width:
             raise ValueError("8-bit samples and a size are expected")
+        if self.components or not 1 <= n <= 4:
+            raise ValueError("one frame of one to four components is expected")
+        if self.height * self.width > MOST_PIXELS:
+            raise ValueError(f"more than {MOST_PIXELS} pixels")
         for i in range(n):
             number, factors, table = part[6 + 3 * i : 9 + 3 * i]
+            if not (1 <= factors >> 4 <= 4 and 1 <= factors & 15 <= 4):
+                raise ValueError("sampling factors are 1 to 4")
             self.components.append(Component(number, factors >> 4, factors & 15, table))
         self.h, self.v = max(c.h for c in self.components), max(c.v for c in self.components)
         self.across, self.down = -(-self.width // (8 * self.h)), -(-self.height // (8 * self.v))
@@ -270,10 +283,19 @@ class Image:
             full.append(wide[: self.height, : self.width])
         if len(full) < 3:
             return np.repeat(full[0][:, :, None], 3, axis=2)
-        y, cb, cr = (p.astype(np.float32) for p in full[:3])
-        cb, cr = cb - 128, cr - 128
-        out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
-        return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+        coded = self.transform != 0 if len(full) == 3 else self.transform == 2  # luma and chroma, or colours as they are
+        colours = _from_luma(*full[:3]) if coded else np.stack(full[:3], axis=2)
+        if len(full) == 4:  # cyan, magenta, yellow and black, as ink left out where Adobe wrote the file
+            ink = [colours.astype(np.int64), full[3].astype(np.int64)[:, :, None]]
+            light = ink if self.transform is not None else [255 - x for x in ink]
+            colours = ((light[0] * light[1] + 127) // 255).astype(np.uint8)
+        return colours
+
+
+def _from_luma(y: np.ndarray, cb: np.ndarray, cr: np.ndarray) -> np.ndarray:
+    y, cb, cr = y.astype(np.float32), cb.astype(np.float32) - 128, cr.astype(np.float32) - 128
+    out = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], axis=2)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
 def _ac_first(bits: Bits, own: np.ndarray, blocks: np.ndarray, table: Huffman, first: int, last: int, low: int) -> None:

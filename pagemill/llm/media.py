@@ -5,13 +5,12 @@ is a row of its own, so work spreads over rows and nothing is shuffled.
 
 Defined cases: a null text is empty; an empty one is stored as one unit of padding. A null file, or one that cannot be
 read, gives null columns and the reason in ``problem``. Repeated rows get equal results. A null doc_id stays null. An
-empty table gives an empty result. Other columns are ignored.
+empty table gives an empty result. Other columns are ignored by the query and passed through by ``read_media``.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import jpeg
-from pagemill.llm.common import body, documents, slices
+from pagemill.llm.common import body, documents, free_name, slices
 
 UNIT = 576
 
@@ -53,7 +52,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
-_READ = "height int, width int, rgb binary, feature string, payload binary, problem string"
+_MADE = {"height": "int", "width": "int", "rgb": "binary", "feature": "string", "payload": "binary", "problem": "string"}
 
 
 def _read_one(raw: bytes | None, with_rgb: bool, with_payload: bool) -> tuple:
@@ -63,7 +62,7 @@ def _read_one(raw: bytes | None, with_rgb: bool, with_payload: bool) -> tuple:
         image = jpeg.Image(raw)
         rgb = image.rgb()
         return rgb.shape[0], rgb.shape[1], rgb.tobytes() if with_rgb else None, features(rgb), jpeg.stored(image) if with_payload else None, None
-    except (ValueError, IndexError, KeyError, StopIteration, struct.error) as problem:
+    except Exception as problem:  # whatever is wrong with a file is said in its own row
         return None, None, None, None, None, f"{type(problem).__name__}: {problem}"
 
 
@@ -73,15 +72,20 @@ def _read(names: list[str], at: int, with_rgb: bool, with_payload: bool):
         for part in slices(batches, names[at]):
             rows = [_read_one(raw, with_rgb, with_payload) for raw in part.column(at).to_pylist()]
             made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*names, "height", "width", "rgb", "feature", "payload", "problem"])
+            yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*names, *_MADE])
     return run
 
 
 def read_media(files: DataFrame, media: str = "media", with_rgb: bool = True, with_payload: bool = False) -> DataFrame:
-    """The rows with height, width, the RGB tensor (rows, columns, channels; bytes), features and, if asked for, the stored payload."""
-    names = files.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
-    return files.mapInArrow(_read(names, names.index(media), with_rgb, with_payload), f"{kinds}, {_READ}")
+    """The rows with height, width, the RGB tensor (rows, columns, channels; bytes), features, ``problem`` and, if asked for, the stored payload.
+
+    All columns stay; where one is called like a new one, the new one gets an underscore in front.
+    """
+    own, added = files.columns, [free_name(c, files.columns) for c in _MADE]
+    # inner names are positional, so that odd or clashing names never matter
+    inner = [f"c{i}" for i in range(len(own))]
+    kinds = [f"{c} {f.dataType.simpleString()}" for c, f in zip(inner, files.schema.fields)] + [f"{c} {k}" for c, k in _MADE.items()]
+    return files.toDF(*inner).mapInArrow(_read(inner, own.index(media), with_rgb, with_payload), ", ".join(kinds)).toDF(*own, *added)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -285,3 +285,115 @@ def test_other_settings(spark, every, least):
 
 def test_words_of_odd_rows(spark, odd, odd_rows):
     assert Counter(map(tuple, queries.QUERIES["op13_spelling"](spark, odd).collect())) == plain_variants([(r[0], r[1]) for r in odd_rows])
+
+
+# --- earlier operators ------------------------------------------------------------------------------
+
+
+def test_a_labeller_that_blames_good_documents_is_found_out():
+    import numpy as np
+    from pagemill.llm import quality
+    rng = np.random.default_rng(5)
+    n, k = 60_000, len(quality.LABELLERS)
+    good = rng.random(n) < 0.9
+    hit, false = np.array([0.3, 0.4, 0.5, 0.6, 0.7, 0.35]), np.array([0.002] * (k - 1) + [0.05])
+    votes = np.where(rng.random((n, k)) < np.where(good[:, None], false, hit), quality.BAD, quality.GOOD)
+    patterns, counts = np.unique(quality.patterns_of(votes), return_counts=True)
+    labels = quality.Labels(patterns, counts.astype(float))
+    assert labels.shares[quality.GOOD, -1, quality.BAD] == pytest.approx(0.05, abs=0.005) and labels.good == pytest.approx(0.9, abs=0.01)
+    only = good & (votes[:, -1] == quality.BAD) & (votes[:, :-1] == quality.GOOD).all(axis=1)
+    assert only.sum() > 2000 and (labels.posterior(quality.patterns_of(votes))[only] > 0.5).all()
+
+
+def test_weak_labels_and_scorer_by_plain_loops():
+    import numpy as np
+    from pagemill.llm import quality
+    rng = np.random.default_rng(2)
+    votes = rng.choice([0, 1, 2], (300, len(quality.LABELLERS)), p=[0.2, 0.7, 0.1])
+    patterns, counts = np.unique(quality.patterns_of(votes), return_counts=True)
+    rounds = 12
+    labels = quality.Labels(patterns, counts.astype(float), rounds)
+    share, vote = 0.9, {(c, j, v): [(0.4, 0.6), (0.002, 0.998)][c][v] for c in (0, 1) for j in range(6) for v in (0, 1)}
+
+    def chance(row):
+        odds = [1 - share, share]
+        for c in (0, 1):
+            for j, v in enumerate(row):
+                odds[c] *= vote[c, j, int(v)] if v < 2 else 1
+        return odds[1] / sum(odds)
+
+    for _ in range(rounds):
+        found = [chance(row) for row in votes]
+        weight = [sum(1 - p for p in found), sum(found)]
+        share = (weight[1] + 1) / (len(votes) + 2)
+        for c in (0, 1):
+            for j in range(6):
+                own = [sum((p if c else 1 - p) for p, row in zip(found, votes) if row[j] == v) + [(0.4, 0.6), (0.002, 0.998)][c][v] * (quality.PRIOR * weight[c] + 0.1) for v in (0, 1)]
+                for v in (0, 1):
+                    vote[c, j, v] = own[v] / sum(own)
+    assert labels.good == pytest.approx(share) and labels.posterior(quality.patterns_of(votes[:50])).tolist() == pytest.approx([chance(r) if (r < 2).any() else share for r in votes[:50]])
+    x, y = rng.random((40, 5)).astype(np.float32), rng.random(40)
+    scorer = quality.Scorer(x, y, 0.7, rounds=30)
+    w, bias, speed = [0.0] * 5, math.log(0.7 / 0.3), [0.0] * 5
+    many = [sum(v > 0.5 for v in y), sum(v <= 0.5 for v in y)]
+    for _ in range(30):
+        error = [(1 / (1 + math.exp(-(sum(a * b for a, b in zip(row, w)) + bias))) - t) * 0.5 / many[0 if t > 0.5 else 1] for row, t in zip(x.tolist(), y)]
+        for i in range(5):
+            speed[i] = 0.9 * speed[i] - 4.0 * (sum(e * row[i] for e, row in zip(error, x.tolist())) + 1e-6 * w[i])
+        w = [a + b for a, b in zip(w, speed)]
+    assert scorer.weights.tolist() == pytest.approx(w, rel=1e-3, abs=1e-4)
+
+
+def test_mixing_does_not_move_texts_to_their_sources(spark, monkeypatch):
+    from pagemill.llm import mixing
+    docs = spark.createDataFrame([(i, f"s{i % 3}" if i % 5 else None, "x" * (i % 7)) for i in range(300)], "doc_id long, source string, text string")
+    held = mixing.mix(docs)
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(mixing, "HELD", 0)
+    assert Counter(map(tuple, mixing.mix(docs).collect())) == Counter(map(tuple, held.collect()))
+    monkeypatch.undo()
+    assert mixing.mix(docs).select("doc_id").count() == held.count() == mixing.mix(docs.select("doc_id", "source", "text")).select("doc_id").count()
+
+
+def test_broken_files_are_rows(spark):
+    from pagemill.llm import jpeg, media
+    rng, good = random.Random(7), jpeg.store(b"some bytes" * 60)
+    files = []
+    for i in range(300):
+        raw = bytearray(good)
+        for _ in range(3):
+            raw[rng.randrange(min(700, len(raw)))] = rng.randrange(256)
+        files.append((i, bytes(raw)))
+    at = good.index(b"\xff\xc2")
+    huge, flat = bytearray(good), bytearray(good)
+    huge[at + 5 : at + 9] = b"\xff\xff\xff\xff"
+    flat[at + 11] = 0
+    table = good.index(b"\xff\xc4")
+    size = int.from_bytes(good[table + 2 : table + 4], "big")
+    files += [(300, bytes(huge)), (301, bytes(flat)), (302, good[:table] + good[table + 2 + size :]), (303, good)]
+    frame = spark.createDataFrame([(i, bytearray(f), 5, "x") for i, f in files], "id long, media binary, height int, problem string")
+    read = media.read_media(frame, with_payload=True)
+    assert read.columns == ["id", "media", "height", "problem", "_height", "width", "rgb", "feature", "payload", "_problem"]
+    rows = {r["id"]: r for r in read.collect()}
+    assert len(rows) == 304 and all((r["_problem"] is None) == (r["rgb"] is not None) for r in rows.values())
+    assert "pixels" in rows[300]["_problem"] and "factors" in rows[301]["_problem"] and rows[302]["_problem"] and rows[303]["payload"].startswith(b"some bytes")
+
+
+def test_colours_of_three_and_four_components():
+    import numpy as np
+    from pagemill.llm import jpeg
+    image = jpeg.Image.__new__(jpeg.Image)
+    image.height = image.width = image.h = image.v = 1
+    image.components = [jpeg.Component(i, 1, 1, 0) for i in range(4)]
+    planes = [np.full((1, 1), x, np.uint8) for x in (200, 100, 50, 128)]
+    image.planes = lambda: planes[: len(image.components)]
+    image.transform = 0
+    assert image.rgb().ravel().tolist() == [100, 50, 25]  # ink left out
+    image.transform = None
+    assert image.rgb().ravel().tolist() == [(55 * 127 + 127) // 255, (155 * 127 + 127) // 255, (205 * 127 + 127) // 255]
+    image.components = image.components[:3]
+    image.transform = 0
+    assert image.rgb().ravel().tolist() == [200, 100, 50]
+    image.transform = None
+    assert image.rgb().ravel().tolist() == [91, 255, 150]
