@@ -5,8 +5,9 @@ scored: a known word by its log frequency in each language; an unseen one by the
 both ends) of which any is known, from ``LONGEST`` characters down to one, by the mean of their log frequencies. The
 language with the largest sum wins; the score is its share of the likelihood.
 
-The fit is bounded, as documented parameters: at most about ``FIT_ROWS`` labelled documents, chosen by a hash of the
-id over the whole table, and the ``WORDS`` and ``GRAMS`` most frequent entries. Every whole text is predicted.
+The fit is bounded by a documented parameter: about ``FIT_ROWS`` labelled documents, chosen by a hash of the id over the
+whole table. All their words and n-grams are kept, so the model is as large as so many documents make it. Words are what
+lies between blanks (0x20, 0x09 to 0x0D), in the fit and in predictions. Every whole text is predicted.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0. Without any labelled document every
 prediction is ``und``. Ties go to the language that sorts first. A text none of whose words says anything gets equal
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 from pagemill.llm.common import cut, documents, slices
 
 FIT_ROWS = 20_000
-WORDS = 100_000
-GRAMS = 100_000
 LONGEST = 4
 #: Unseen words a worker remembers before it starts anew.
 REMEMBERED = 300_000
@@ -38,8 +37,8 @@ def bucket(n: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) % n
 
 
-def fold(text: str) -> list[str]:
-    return text.lower().split()
+def fold(text: str) -> list[bytes]:
+    return text.lower().encode("utf-8", "replace").split()  # bytes split at 0x20 and 0x09-0x0D only
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -57,16 +56,15 @@ class Model:
         self.grams, self.gram_logs = grams
 
 
-def _logs(rows: DataFrame, key: str, languages: list[str], most: int) -> tuple[list[str], np.ndarray]:
-    """The most frequent entries, ties in order of the entry, and their log frequencies in each language."""
+def _logs(rows: DataFrame, key: str, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """All entries in their order, and their log frequencies in each language."""
     counts = [F.sum(F.when(F.col("lang") == name, F.col("n")).otherwise(0)).alias(f"n{i}") for i, name in enumerate(languages)]
-    top = rows.groupBy(key).agg(F.sum("n").alias("total"), *counts).orderBy(F.desc("total"), key).limit(most)
-    found = top.drop("total").toArrow()  # at most ``most`` entries
+    found = rows.groupBy(key).agg(*counts).orderBy(key).toArrow()  # what the bounded fit holds
     table = np.stack([found[f"n{i}"].to_numpy() for i in range(len(languages))], axis=1).astype(np.float64) + 0.5
     return found[key].to_pylist(), np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
-def fit(labelled: DataFrame, rows: int = FIT_ROWS, words: int = WORDS, grams: int = GRAMS, longest: int = LONGEST) -> Model | None:
+def fit(labelled: DataFrame, rows: int = FIT_ROWS, longest: int = LONGEST) -> Model | None:
     """A model from (doc_id, text, lang); None if no row has a text and a language."""
     known = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     n = known.count()
@@ -74,7 +72,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, words: int = WORDS, grams: in
         return None
     if n > rows:  # a share of the hash range, not of the order
         known = known.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("fit")), F.lit(1_000_000)) < int(1_000_000 * rows / n))
-    counts = cut(known.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")))
+    counts = cut(known.select("lang", F.explode(F.split(F.lower("text"), r"[\x20\x09-\x0D]+")).alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")))
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # at most ``rows``
     if not languages:
         return None
@@ -84,7 +82,7 @@ def fit(labelled: DataFrame, rows: int = FIT_ROWS, words: int = WORDS, grams: in
         return F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (k - 1), F.lit(1))), lambda i: F.substring(marked, i, F.lit(k)))
 
     pieces = counts.select("lang", "n", F.explode(F.concat(*map(runs, range(1, longest + 1)))).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return Model(languages, _logs(counts, "word", languages, words), _logs(pieces, "gram", languages, grams), longest)
+    return Model(languages, _logs(counts, "word", languages), _logs(pieces, "gram", languages), longest)
 
 
 class Scorer(dict):
@@ -99,13 +97,13 @@ class Scorer(dict):
 
     def _begin(self) -> None:
         self.clear()
-        self.update(zip(self.model.words, range(len(self.model.words))))
+        self.update(zip((w.encode() for w in self.model.words), range(len(self.model.words))))
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         number = self[word] = len(self)
         if number >= len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[number] = self.backed_off(word)
+        self.table[number] = self.backed_off(word.decode())
         return number
 
     def backed_off(self, word: str) -> np.ndarray:

@@ -397,3 +397,46 @@ def test_colours_of_three_and_four_components():
     assert image.rgb().ravel().tolist() == [200, 100, 50]
     image.transform = None
     assert image.rgb().ravel().tolist() == [91, 255, 150]
+
+
+def plain_languages(train, texts, longest=4):
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+    runs = lambda w, n: [f" {w} "[i : i + n] for i in range(max(1, len(w) + 3 - n))]
+    for text, lang in train:
+        for w in split(text):
+            words[w][lang] += 1
+    for w, by in words.items():
+        for lang, n in by.items():
+            for size in range(1, longest + 1):
+                for g in runs(w, size):
+                    grams[g][lang] += n
+    langs = sorted({lang for by in words.values() for lang in by})
+    share = lambda table: {k: [math.log((by[x] + 0.5) / sum(o[x] + 0.5 for o in table.values())) for x in langs] for k, by in table.items()}
+    words, grams = share(words), share(grams)
+    out = []
+    for text in texts:
+        if text is None or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        total = [0.0] * len(langs)
+        for w in split(text):
+            logs = words.get(w)
+            for size in range(min(longest, len(w) + 2), 0, -1):
+                if logs is None and (known := [grams[g] for g in runs(w, size) if g in grams]):
+                    logs = [sum(x) / len(known) for x in zip(*known)]
+            total = [a + b for a, b in zip(total, logs or [0.0] * len(langs))]
+        best = max(range(len(langs)), key=lambda i: (total[i], -i))
+        out.append((langs[best], 1 / sum(math.exp(t - total[best]) for t in total)))
+    return out
+
+
+def test_languages_by_plain_loops(spark):
+    from pagemill.llm import language
+    train = [("the cat sat on the mat", "en"), ("die Katze sa\u00df auf der Matte\u00a0: ja", "de"), ("le chat \u2014 oui\u3000non", "fr"), ("the dog\x1cran", "en"), ("der Hund", "de")]
+    texts = ["the Matte", "Katzen hunde", "chats oui\u3000non", "a\u00a0b the", "qqq zzz", "12 !!", None, "", "dog\x1cran der", "x" * 3000 + " der die", "\u00df"]
+    model = language.fit(spark.createDataFrame([(i, *r) for i, r in enumerate(train)], "doc_id long, text string, lang string"))
+    assert len(model.words) == len({w for t, _ in train for w in re.findall(r"[^\x20\x09-\x0D]+", t.lower())})  # none is left out
+    scorer = language.Scorer(model)
+    for got, want in zip(map(scorer.predict, texts), plain_languages(train, texts)):
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1], rel=1e-4)
