@@ -7,9 +7,9 @@ hashes each (a pair of share 0.8 is missed with a chance of 0.02 %, of 0.9 with
 ``simhash``, prunes them: first by a chain of segments within their share of the limit, then by the full Hamming check.
 What is left is checked exactly, on the sets of shingle hashes. Sets travel once to each block of pairs, not to each pair.
 
-Equal sets are one node. Members of a key of more than ``CROWD`` meet ``PIVOTS`` of them only, which joins the groups of
-near copies that make a key large. Where a crowded key holds several groups after that, its members are searched by the
-exact prefix filter: shingles in the order of their number among these members, the least frequent first, a smaller set
+Equal sets are one node. Members of a key of more than ``CROWD`` meet ``PIVOTS`` of them, which joins the groups of near
+copies that make a key large. Where such a key holds several groups after the exact check, its members, if they are at most
+``MEET``, are compared with those of other groups in one place, by sizes and prints; more are searched by the prefix filter: shingles in the order of their number among these members, the least frequent first, a smaller set
 by its first n - ceil(2t / (1 + t) n) + 1 and a larger one by its first n - ceil(t n) + 1. So pages of one template, which
 share much but not enough, meet by what is their own.
 
@@ -37,6 +37,8 @@ TABLES, ROWS = 12, 3
 #: Differing bits that a candidate may have, and the segments of the chain: 3.6 deviations above the mean at the share.
 LIMIT, SEGMENTS = 20, 8
 CROWD, PIVOTS = 32, 4
+#: Members of a key that are compared by their sizes and fingerprints in one place.
+MEET = 1024
 #: Pairs of a block that is checked at once, about.
 BLOCK_PAIRS = 2000
 
@@ -94,6 +96,24 @@ def _prints_fit(a: str, b: str) -> Column:
     return some & (F.bit_count(differs) <= LIMIT)
 
 
+def _meet(share: float):
+    """Of the members of one key, the pairs of different groups whose sizes and fingerprints fit."""
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table["n"].to_numpy(), kind="stable")
+        nodes, n, prints, roots = (table[c].to_numpy()[order] for c in ("node", "n", "fp", "root"))
+        prints = prints.view(np.uint64)
+        one, two = [], []
+        for i in range(1, len(nodes)):
+            low = int(np.searchsorted(n, n[i] * share - 1e-9))
+            fits = (np.bitwise_count(prints[low:i] ^ prints[i]) <= LIMIT) & (roots[low:i] != roots[i])
+            near = low + np.flatnonzero(fits)
+            one.append(nodes[near])
+            two.append(np.full(len(near), nodes[i]))
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(join(one), pa.int64()), "b": pa.array(join(two), pa.int64())})
+    return run
+
+
 def _judge(share: float):
     def run(key: tuple, pairs: pa.Table, held: pa.Table) -> pa.Table:
         sets = {node: np.frombuffer(raw, np.uint32) for node, raw in zip(held["node"].to_pylist(), held["shingles"].to_pylist())}
@@ -107,14 +127,20 @@ def _judge(share: float):
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose sets have the share. Pairs that hang together are checked in one place, or in several if they are many."""
+    """The ``pairs`` (a, b) of nodes whose sets have the share, as (a, b) with a < b.
+
+    Pairs that hang together are checked in one place, or, if they are many, in several by their first node: its set goes to
+    one place, and what many nodes are compared with, to all.
+    """
     pairs = cut(pairs)
-    placed = pairs.join(stars(pairs).select(F.col("node").alias("b"), "root"), "b")
+    reached = stars(pairs.select(*_ordered_pair(F.col("a"), F.col("b"))).distinct())
+    placed = pairs.join(reached.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
     sizes = placed.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_PAIRS).alias("tiles"))
-    placed = cut(placed.join(sizes, "root").select("a", "b", "root", F.pmod(F.xxhash64("a", "b"), "tiles").alias("tile")))
+    placed = cut(placed.join(sizes, "root").select("a", "b", "root", F.pmod(F.xxhash64("a"), "tiles").alias("tile")))
     needed = placed.select(F.col("root").alias("held_root"), F.col("tile").alias("held_tile"), F.explode(F.array("a", "b")).alias("node")).distinct()
     held = needed.join(sets, "node").groupBy("held_root", "held_tile")
-    return cut(placed.groupBy("root", "tile").cogroup(held).applyInArrow(_judge(share), "a long, b long"))
+    found = placed.groupBy("root", "tile").cogroup(held).applyInArrow(_judge(share), "a long, b long")
+    return cut(found.select(*_ordered_pair(F.col("a"), F.col("b"))).distinct())
 
 
 def _ordered_pair(a: Column, b: Column) -> list[Column]:
@@ -153,7 +179,7 @@ def groups(docs: DataFrame, words: int = WORDS, share: float = SHARE, crowd: int
     to_pivot = many.select("node", "n", "fp", F.explode(F.array(*[f"pivot{i}" for i in range(PIVOTS)])).alias("pivot")).where("node <> pivot").distinct()
     pivots = many.select(F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("fp").alias("pivot_fp"), F.array(*[f"pivot{i}" for i in range(PIVOTS)]).alias("all")).where("array_contains(all, pivot)").drop("all").distinct()
     to_pivot = to_pivot.join(pivots, "pivot").where(_sizes_fit(F.col("n"), F.col("pivot_n"), share) & _prints_fit("fp", "pivot_fp"))
-    pairs = cut(met.unionByName(to_pivot.select(*_ordered_pair(F.col("node"), F.col("pivot")))).distinct())
+    pairs = cut(met.unionByName(to_pivot.select(F.col("node").alias("a"), F.col("pivot").alias("b"))).distinct())
     # one text a node that any pair or crowd needs, by the hash of a row
     open_nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(many.select("node")).distinct()
     named = prints.join(open_nodes, "node", "left_semi").groupBy("node").agg(F.min("row_hash").alias("row_hash"))
@@ -161,11 +187,16 @@ def groups(docs: DataFrame, words: int = WORDS, share: float = SHARE, crowd: int
     sets = cut(texts.select("node", "body").mapInArrow(_sets(words), "node long, shingles binary"))
     edges = _checked(pairs, sets, share)
     roots = stars(edges)
-    labelled = many.join(roots, "node", "left").select("part", "key", "node", "n", F.coalesce("root", "node").alias("root"))
+    labelled = many.join(roots, "node", "left").select("part", "key", "members", "node", "n", "fp", F.coalesce("root", "node").alias("root"))
     several = labelled.groupBy("part", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("part", "key")
-    left = cut(labelled.join(several, ["part", "key"], "left_semi").select("node", "n", "root").distinct())
-    if not left.isEmpty():
-        edges = cut(edges.unionByName(_checked(_rest(left, sets, share), sets, share)))
+    left = cut(labelled.join(several, ["part", "key"], "left_semi"))
+    met = left.where(F.col("members") <= MEET).select("part", "key", "node", "n", "fp", "root").groupBy("part", "key").applyInArrow(_meet(share), "a long, b long")
+    large = left.where(F.col("members") > MEET)
+    if not large.isEmpty():
+        met = met.unionByName(_rest(cut(large.select("node", "n", "root").distinct()), sets, share))
+    met = cut(met.distinct())
+    if not met.isEmpty():
+        edges = cut(edges.unionByName(_checked(met, sets, share)))
         roots = stars(edges)
     roots = roots.withColumnRenamed("node", "near")
     return prints.join(roots, prints["node"] == roots["near"], "left").select("doc_id", "row_hash", "node", F.coalesce("root", "node").alias("root"))

@@ -133,8 +133,9 @@ def template_rows(n, own, copies):
     return rows
 
 
-@pytest.mark.parametrize("own", [14, 30, 6])
-def test_near_copies_among_pages_of_a_template(spark, own):
+@pytest.mark.parametrize("own,meet", [(14, 1024), (30, 1024), (6, 40), (14, 40)])
+def test_near_copies_among_pages_of_a_template(spark, monkeypatch, own, meet):
+    monkeypatch.setattr(near, "MEET", meet)
     rows = template_rows(90, own, 25)
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, root int").repartition(3)
     found = near.one_of_each(docs)
