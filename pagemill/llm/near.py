@@ -9,7 +9,7 @@ What is left is checked exactly, on the sets of shingle hashes. Sets travel once
 
 Equal sets are one node. Members of a key of more than ``CROWD`` meet ``PIVOTS`` of them, which joins the groups of near
 copies that make a key large. Where such a key holds several groups after the exact check, its members, if they are at most
-``MEET``, are compared with those of other groups in one place, by sizes and prints; more are searched by the prefix filter: shingles in the order of their number among these members, the least frequent first, a smaller set
+``MEET``, are checked in one place until what links is joined; more are searched by the prefix filter: shingles in the order of their number among these members, the least frequent first, a smaller set
 by its first n - ceil(2t / (1 + t) n) + 1 and a larger one by its first n - ceil(t n) + 1. So pages of one template, which
 share much but not enough, meet by what is their own.
 
@@ -97,20 +97,24 @@ def _prints_fit(a: str, b: str) -> Column:
 
 
 def _meet(share: float):
-    """Of the members of one key, the pairs of different groups whose sizes and fingerprints fit."""
+    """Of the members of one key, links that join groups: each pair of different groups whose sizes and fingerprints fit is checked until it is joined."""
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table["n"].to_numpy(), kind="stable")
         nodes, n, prints, roots = (table[c].to_numpy()[order] for c in ("node", "n", "fp", "root"))
-        prints = prints.view(np.uint64)
-        one, two = [], []
+        prints, held = prints.view(np.uint64), table["shingles"].to_pylist()
+        sets = [np.frombuffer(held[i], np.uint32) for i in order.tolist()]
+        roots, one, two = roots.copy(), [], []
         for i in range(1, len(nodes)):
-            low = int(np.searchsorted(n, n[i] * share - 1e-9))
-            fits = (np.bitwise_count(prints[low:i] ^ prints[i]) <= LIMIT) & (roots[low:i] != roots[i])
-            near = low + np.flatnonzero(fits)
-            one.append(nodes[near])
-            two.append(np.full(len(near), nodes[i]))
-        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(join(one), pa.int64()), "b": pa.array(join(two), pa.int64())})
+            low = int(np.searchsorted(n[:i], n[i] * share - 1e-9))
+            fits = np.bitwise_count(prints[low:i] ^ prints[i]) <= LIMIT
+            for j in (low + np.flatnonzero(fits)).tolist():
+                if roots[j] != roots[i]:
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both >= share * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                        one.append(min(nodes[i], nodes[j]))
+                        two.append(max(nodes[i], nodes[j]))
+                        roots[roots == roots[j]] = roots[i]
+        return pa.table({"a": pa.array(np.array(one, np.int64)), "b": pa.array(np.array(two, np.int64))})
     return run
 
 
@@ -190,14 +194,14 @@ def groups(docs: DataFrame, words: int = WORDS, share: float = SHARE, crowd: int
     labelled = many.join(roots, "node", "left").select("part", "key", "members", "node", "n", "fp", F.coalesce("root", "node").alias("root"))
     several = labelled.groupBy("part", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("part", "key")
     left = cut(labelled.join(several, ["part", "key"], "left_semi"))
-    met = left.where(F.col("members") <= MEET).select("part", "key", "node", "n", "fp", "root").groupBy("part", "key").applyInArrow(_meet(share), "a long, b long")
+    few = left.where(F.col("members") <= MEET).select("part", "key", "node", "n", "fp", "root").join(sets, "node")
+    joined = few.groupBy("part", "key").applyInArrow(_meet(share), "a long, b long").distinct()
     large = left.where(F.col("members") > MEET)
     if not large.isEmpty():
-        met = met.unionByName(_rest(cut(large.select("node", "n", "root").distinct()), sets, share))
-    met = cut(met.distinct())
-    if not met.isEmpty():
-        edges = cut(edges.unionByName(_checked(met, sets, share)))
-        roots = stars(edges)
+        joined = joined.unionByName(_checked(_rest(cut(large.select("node", "n", "root").distinct()), sets, share), sets, share))
+    joined = cut(joined)
+    if not joined.isEmpty():
+        roots = stars(edges.unionByName(joined))
     roots = roots.withColumnRenamed("node", "near")
     return prints.join(roots, prints["node"] == roots["near"], "left").select("doc_id", "row_hash", "node", F.coalesce("root", "node").alias("root"))
 
