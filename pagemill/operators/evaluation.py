@@ -11,7 +11,7 @@ from pagemill.functions.numbers import ratio
 def confusion(predictions: DataFrame, fill: bool = False) -> DataFrame:
     """(label, prediction, n) of the pairs that occur; with ``fill`` also those of two occurring classes that never do, as 0.
 
-    The filled grid has classes x classes rows, as the matrix that is shown has; everything else works on the pairs.
+    The filled grid has classes x classes rows, as the matrix that is shown and that of the long report have.
     """
     pairs = predictions.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
     if not fill:
@@ -71,7 +71,7 @@ def importance_split(importances: DataFrame, width: int, positional: int = 4) ->
 
 
 def evaluation_report(predictions: DataFrame, classes: DataFrame) -> DataFrame:
-    """Everything in one long table: (section, name, metric, value)."""
+    """Everything in one long table: (section, name, metric, value); the matrix with its empty cells, as 0."""
     report = class_report(predictions, classes)
     measures = ["precision", "recall", "f1", "support"]
     typed = report.select("class_name", *[F.col(m).cast("double").alias(m) for m in measures])
@@ -80,7 +80,7 @@ def evaluation_report(predictions: DataFrame, classes: DataFrame) -> DataFrame:
     avg = averages(report).select("average", *[F.col(m).cast("double").alias(m) for m in measures])
     overall = avg.unpivot(["average"], measures, "metric", "value").select(
         F.lit("average").alias("section"), F.col("average").alias("name"), "metric", "value")
-    cells = confusion(predictions).select(
+    cells = confusion(predictions, fill=True).select(
         F.lit("matrix").alias("section"), F.col("label").cast("string").alias("name"),
         F.col("prediction").cast("string").alias("metric"), F.col("n").cast("double").alias("value"))
     share = accuracy(predictions).select(
