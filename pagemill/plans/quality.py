@@ -146,7 +146,7 @@ def stored_records(s, d):
     part = lambda path, kind: F.try_variant_get("record", path, kind)
     size = lambda path: F.size(part(path, "array<variant>"))
     of = lambda **kinds: F.coalesce(*[F.when(F.col("kind") == k, v.cast("string")) for k, v in kinds.items()])
-    return K.read_page_records(s, base).select(
+    return K.read_page_records(s, base, "doc_id bigint, page_index bigint, page_key bigint, line_key bigint").select(
         "kind", F.coalesce("doc_id", "page_key").alias("page"), F.coalesce("page_index", "line_key").alias("part"),
         of(features=size("$.ocr_lines"), flags=size("$.final_resolution"), preprocessing=part("$.capture_info.type", "string"), transforms=size("$.transforms")).alias("first"),
         of(features=part("$.ocr_lines[0].text", "string"), flags=part("$.crop_margins.top", "bigint"), preprocessing=part("$.processed_path", "string"),

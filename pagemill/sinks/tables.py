@@ -45,6 +45,8 @@ def transform_record() -> Column:
     return F.to_json(F.struct("input_path", "output_path", "output_original_path", sorted_transforms(F.col("transforms")).alias("transforms")))
 
 
+#: Records of one file: files are compressed, which repeats of names make worth it, and a compressed file is read by one task.
+FILE_RECORDS = 200_000
 #: What is kept of a page, by kind.
 RECORDS = {"flags": flag_record, "features": features_record, "preprocessing": preprocessing_record, "transforms": transform_record}
 
@@ -54,13 +56,18 @@ def page_records(rows: DataFrame, keys: list[str], kind: str = "flags") -> DataF
 
 
 def write_page_records(rows: DataFrame, path: str, keys: list[str], kind: str = "flags") -> None:
-    """One line per page and kind, split over as many files as there are partitions; kinds lie side by side below the path."""
-    page_records(rows, keys, kind).write.mode("overwrite").json(f"{path}/kind={kind}")
+    """One line per page and kind in gzip files, one or more for each partition; kinds lie side by side below the path."""
+    writer = page_records(rows, keys, kind).write.mode("overwrite").options(maxRecordsPerFile=FILE_RECORDS, **{"zlib.compress.level": "BEST_SPEED"})
+    writer.json(f"{path}/kind={kind}", compression="gzip")
 
 
-def read_page_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all kinds below a path: the keys, ``kind`` and ``record`` as a VARIANT, whose fields need no schema."""
-    return spark.read.json(path).withColumn("record", F.parse_json("record"))
+def read_page_records(spark: SparkSession, path: str, keys: str | None = None) -> DataFrame:
+    """The records of all kinds below a path: the keys, ``kind`` and ``record`` as a VARIANT, whose fields need no schema.
+
+    ``keys`` names the key columns and their types; without it, all files are read once more to find them.
+    """
+    reader = spark.read if keys is None else spark.read.schema(f"{keys}, record string, kind string")
+    return reader.json(path).withColumn("record", F.parse_json("record"))
 
 
 def write_labelled(files: DataFrame, path: str, label: str = "document_type") -> None:
