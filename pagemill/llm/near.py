@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import body, cut, mixed, slices
-from pagemill.llm.simhash import BITS, SEED, _keep_first, hashable, shingle_hashes, stars
+from pagemill.llm.simhash import BITS, SEED, _keep_first, dealt, hashable, shingle_hashes, stars
 
 WORDS, SHARE = 5, 0.8
 TABLES, ROWS = 12, 3
@@ -137,8 +137,10 @@ def _checked(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     one place, and what many nodes are compared with, to all.
     """
     pairs = cut(pairs)
-    reached = stars(pairs.select(*_ordered_pair(F.col("a"), F.col("b"))).distinct())
-    placed = pairs.join(reached.select(F.col("node").alias("a"), "root"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    some = pairs.count()
+    reached = stars(dealt(pairs.select(*_ordered_pair(F.col("a"), F.col("b"))), some, "a", "b").distinct())
+    roots = dealt(reached.select(F.col("node").alias("a"), "root"), some, "a")
+    placed = dealt(dealt(pairs, some, "a").join(roots, "a", "left").withColumn("root", F.coalesce("root", "a")), some, "root")
     sizes = placed.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_PAIRS).alias("tiles"))
     placed = cut(placed.join(sizes, "root").select("a", "b", "root", F.pmod(F.xxhash64("a"), "tiles").alias("tile")))
     needed = placed.select(F.col("root").alias("held_root"), F.col("tile").alias("held_tile"), F.explode(F.array("a", "b")).alias("node")).distinct()

@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import body, cut, documents, free_name, slices
+from pagemill.llm.common import body, cut, documents, free_name, partitions, slices
 
 BITS, SEED = 64, 42
 SHINGLE, LIMIT = 3, 2
 #: Buckets of more members than this are searched by neighbourhood, not by meeting.
 CROWD = 256
+#: Edges of a task in the search for components.
+TASK_EDGES = 50_000
 
 
 def shingle_hashes(text: str, words: int = SHINGLE) -> np.ndarray:
@@ -118,8 +120,17 @@ def links(nodes: DataFrame, limit: int = LIMIT, crowd: int = CROWD) -> DataFrame
     return pairs.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
 
 
+def dealt(rows: DataFrame, edges: int, *keys: str) -> DataFrame:
+    """The rows by their keys, in no more tasks than ``edges`` ask for; tables that fill the session's tasks are left to it."""
+    few = -(-edges // TASK_EDGES)
+    return rows.repartition(few or 1, *keys) if few < partitions(rows.sparkSession) else rows
+
+
 def stars(edges: DataFrame) -> DataFrame:
-    """(node, root): of every node with an edge, the least node it is connected to (alternating large and small stars)."""
+    """(node, root): of every node with an edge, the least node it is connected to (alternating large and small stars).
+
+    Every round writes each shuffle once for each task and partition, so few edges stay in few tasks.
+    """
     def digest(rows: DataFrame) -> tuple:
         return tuple(rows.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
@@ -128,12 +139,14 @@ def stars(edges: DataFrame) -> DataFrame:
     state = digest(now)
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        both = dealt(both, state[0], "u")
         least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("low").alias("a"), F.col("v").alias("b")).distinct()
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("low").alias("a"), F.col("v").alias("b"))
+        large = dealt(large, state[0], "b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("low"))
         joined = large.join(low, "b")
-        small = joined.select(F.col("low").alias("a"), F.col("a").alias("b")).where("a < b").unionByName(joined.select(F.col("low").alias("a"), "b")).distinct()
-        now = cut(small)
+        small = joined.select(F.col("low").alias("a"), F.col("a").alias("b")).where("a < b").unionByName(joined.select(F.col("low").alias("a"), "b"))
+        now = cut(dealt(small, state[0], "a", "b").distinct())
         before, state = state, digest(now)
         if state == before:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
