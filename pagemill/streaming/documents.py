@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import batched
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,6 +29,10 @@ FAN_IN_SCHEMA = (
 )
 
 
+#: Results that are handed to the state at once.
+CHUNK = 1000
+
+
 def _due(us: int) -> int:
     """The watermark (ms) at which all rows up to an event time (us) have come."""
     return -(-us // 1000)
@@ -61,17 +65,14 @@ class DocumentFanIn(StatefulProcessor):
                 self.handle.registerTimer(due)
         return due
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, newest, count, closed, timer = self.document.get() if self.document.exists() else (None, None, 0, None, None)
-        for chunk in rows:
-            chunk = chunk if closed is None else chunk[chunk["ts_us"] >= closed]
-            if chunk.empty:
-                continue
-            low, high = int(chunk["ts_us"].min()), int(chunk["ts_us"].max())
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first, newest, count, closed, timer = self.document.get() or (None, None, 0, None, None)
+        taken = ((row["num_pages"], row["page_index"], row["ts_us"], row["result_id"], bool(row["ok"])) for row in rows if closed is None or row["ts_us"] >= closed)
+        for chunk in batched(taken, CHUNK):
+            low, high = min(r[2] for r in chunk), max(r[2] for r in chunk)
             first, newest = (low, high) if first is None else (min(first, low), max(newest, high))
             count += len(chunk)
-            fields = chunk[["num_pages", "page_index", "ts_us", "result_id", "ok"]]
-            self.waiting.appendList([(int(n), int(page), int(t), int(i), bool(ok)) for n, page, t, i, ok in fields.itertuples(index=False, name=None)])
+            self.waiting.appendList(list(chunk))
         if first is not None:
             timer = self._arm(timer, _due(min(first + self.deadline_us, newest)))
         if first is not None or closed is not None:
@@ -91,7 +92,7 @@ class DocumentFanIn(StatefulProcessor):
         late = len(reached) < total
         return total, limit if late else max(reached, default=first), late
 
-    def _records(self, key, first: int, total: int, decided: int, late: bool) -> Iterator[pd.DataFrame]:
+    def _records(self, key, first: int, total: int, decided: int, late: bool) -> Iterator[Row]:
         newest: dict[int, tuple] = {}
         for _, page, at, result, ok in self.waiting.get():
             if at <= decided and 0 <= page < total:
@@ -99,15 +100,14 @@ class DocumentFanIn(StatefulProcessor):
         good, gaps = sum(w[2] for w in newest.values()), total - len(newest)
         for block in range(max(-(-total // BLOCK), 1)):
             numbers = [i + 1 for i in range(block * BLOCK, min((block + 1) * BLOCK, total)) if i not in newest]
-            yield pd.DataFrame({
-                "document_id": [key[0]], "total_pages": [total], "successful_pages": [good], "failed_pages": [total - good],
-                "missing_count": [gaps], "timeout_reached": [late], "first_us": [first], "decided_us": [decided],
-                "block": [block], "missing_pages": [numbers]})
+            yield Row(document_id=key[0], total_pages=total, successful_pages=good, failed_pages=total - good, missing_count=gaps,
+                      timeout_reached=late, first_us=first, decided_us=decided, block=block, missing_pages=numbers)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.document.exists():
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.document.get()
+        if held is None:
             return
-        first, newest, count, closed, _ = self.document.get()
+        first, newest, count, closed, _ = held
         watermark, due = timerValues.getCurrentWatermarkInMs(), None
         while first is not None:
             total, decided, late = self._decision(first)
@@ -137,7 +137,7 @@ def fan_in(results: DataFrame, p: Params = Params(), delay: str = "10 minutes")
     ts_us); ``ts_us`` is ``ts`` in microseconds. Rows without a document or page are left out."""
     needed = results.select("document_id", "num_pages", "page_index", "ok", "result_id", "ts", "ts_us")
     keyed = timed_rows(needed, ["document_id", "page_index", "num_pages"], delay)
-    emitted = keyed.groupBy("document_id").transformWithStateInPandas(
+    emitted = keyed.groupBy("document_id").transformWithState(
         statefulProcessor=DocumentFanIn(p), outputStructType=FAN_IN_SCHEMA, outputMode="append", timeMode="EventTime")
     ok, failed = F.col("successful_pages"), F.col("failed_pages")
     return emitted.withColumns({

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from pagemill.operators.tasks import TERMINAL
@@ -14,6 +14,9 @@ from pagemill.sources.streams import timed_rows
 
 FIELDS = ["status", "created_us", "started_us", "completed_us", "result", "error"]
 SCHEMA = "status string, created_us bigint, started_us bigint, completed_us bigint, result string, error string"
+_NONE = (None,) * (1 + len(FIELDS))
+#: Events that are handed to the state at once.
+CHUNK = 1000
 EVENT = ["ts_us", "event_id", "status", "result", "error"]
 
 
@@ -43,53 +46,50 @@ class TaskLife(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("task", SCHEMA)
+        # the timer that is set, then the state; each access goes to the JVM and back, so one value holds both
+        self.task = handle.getValueState("task", f"due_ms long, {SCHEMA}")
         self.waiting = handle.getListState("waiting", "ts_us long, event_id long, status string, result string, error string")
-        self.timer = handle.getValueState("timer", "due_ms long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        set_to = self.timer.get()[0] if self.timer.exists() else None
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        set_to, *state = self.task.get() or _NONE
         due = set_to
-        for chunk in rows:
-            plain = chunk[EVENT].astype(object).where(chunk[EVENT].notna(), None)
-            self.waiting.appendList([(int(e[0]), int(e[1]), *e[2:]) for e in plain.itertuples(index=False, name=None)])
-            first = -(-int(chunk["ts_us"].min()) // 1000)
+        for chunk in batched((tuple(row[c] for c in EVENT) for row in rows), CHUNK):
+            self.waiting.appendList(list(chunk))
+            first = -(-min(e[0] for e in chunk) // 1000)
             due = first if due is None else min(due, first)
         if due != set_to:
             if set_to is not None:
                 self.handle.deleteTimer(set_to)
             self.handle.registerTimer(due)
-            self.timer.update((due,))
+            self.task.update((due, *state))
         yield from ()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        events = sorted(self.waiting.get(), key=lambda e: e[:2]) if self.waiting.exists() else []
+        events = sorted(self.waiting.get(), key=lambda e: e[:2])
         ready = [e for e in events if e[0] <= watermark * 1000]
         rest = events[len(ready):]
-        before = dict(zip(FIELDS, self.state.get())) if self.state.exists() else None
-        state = before
+        _, *held = self.task.get() or _NONE
+        state = dict(zip(FIELDS, held)) if held[0] is not None else None
         for event in ready:
             state = _after(state, tuple(event))
         if ready:
             self.waiting.put(rest) if rest else self.waiting.clear()
             if state is not None:
-                self.state.update(tuple(state[f] for f in FIELDS))
-                # Object columns keep missing stamps as nulls instead of turning whole columns into floats.
-                yield pd.DataFrame({"task_id": [key[0]], **{f: pd.Series([state[f]], dtype=object) for f in FIELDS}})
+                yield Row(task_id=key[0], **state)
         due = None
         if rest:
             due = -(-rest[0][0] // 1000)
         elif state is not None and state["status"] in TERMINAL:
             due = -(-(state["completed_us"] + self.retention_us) // 1000)
             if watermark >= due:
-                self.state.clear()
-                due = None
-        if due is None:
-            self.timer.clear()
-        else:
+                state, due = None, None
+        if due is not None:
             self.handle.registerTimer(due)
-            self.timer.update((due,))
+        if due is None and state is None:
+            self.task.clear()
+        else:
+            self.task.update((due, *(state[f] for f in FIELDS)) if state else (due, *_NONE[1:]))
 
     def close(self) -> None:
         pass
@@ -98,5 +98,5 @@ class TaskLife(StatefulProcessor):
 def task_states(events: DataFrame, p: Params = Params(), delay: str = "10 minutes") -> DataFrame:
     """States of tasks from a stream of (task_id, event_id, status, result, error, ts, ts_us)."""
     known = timed_rows(events.select("task_id", *EVENT, "ts"), ["task_id"], delay)
-    return known.groupBy("task_id").transformWithStateInPandas(
+    return known.groupBy("task_id").transformWithState(
         statefulProcessor=TaskLife(p.task_retention_s), outputStructType=f"task_id bigint, {SCHEMA}", outputMode="Update", timeMode="EventTime")
