@@ -106,6 +106,31 @@ def test_small_passes_give_the_same_trees(spark, rows, monkeypatch):
     assert G.fit(rows, s=s).nodes() == whole.nodes()
 
 
+def test_a_subtree_counts_only_the_smaller_half_of_each_split(monkeypatch):
+    rng = np.random.default_rng(5)
+    own, g = rng.integers(0, 20, (6000, 4)).astype(np.uint8), np.rint(rng.normal(size=6000) * SCALE)
+    h, s, seen, plain = np.rint(rng.random(6000) * SCALE / 2), G.Settings(bins=20), [], G.counted
+    monkeypatch.setattr(G, "counted", lambda own, *rest: seen.append(len(own)) or plain(own, *rest))
+    nodes = G.grown(own, g, h, 20, np.ones(4, bool), s)
+    inner = [n for n in nodes if n[3] >= 0]
+    assert len(inner) == 30
+    assert sum(seen) == 6000 + sum(min(nodes[n[3]][7], nodes[n[4]][7]) for n in inner)
+    sums = plain(own, g, h, np.arange(4) * 20, 80).reshape(3, 4, 20)
+    for f in range(4):
+        for at, weights in enumerate((g, h, None)):
+            assert sums[at, f].tolist() == np.bincount(own[:, f], weights, 20).tolist()
+
+
+def test_keys_of_a_pass_are_dealt_evenly():
+    s, rng = G.Settings(bins=20), np.random.default_rng(6)
+    batch = G._state_batch(np.arange(500), rng.integers(0, 6, 500), rng.integers(0, 20, (500, 40)).astype(np.uint8), np.zeros((500, 6)))
+    growing, slots = [G.Growth(s, 500).arrays() for _ in range(6)], [(k, 0) for k in range(6)]
+    for local, parts in (({0, 1, 2, 3, 4, 5}, 6), ({1, 4}, 14), (set(), 6)):  # two keys of rows and four slots of three blocks; eighteen blocks
+        keys = {(r["slot"], r["block"]): r["part"] for out in G._sums(40, 6, 20, growing, slots, local, 0, s, parts)(iter([batch])) for r in out.to_pylist() if r["slot"] >= 0}
+        count = np.bincount(list(keys.values()), None, parts)
+        assert len(keys) == len(local) + 3 * (6 - len(local)) and count.min() == count.max() == len(keys) // parts
+
+
 def test_training_stops(spark):
     noise = spark.createDataFrame([(i, f"c{i % 2}", [float(i % 3)]) for i in range(40)], "vec_id long, class_name string, features array<double>")
     assert G.fit(noise, s=G.Settings(least_rows=30)).trees == []  # nothing can split
