@@ -92,6 +92,10 @@ def features(rows: DataFrame, vector: str = "vector") -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
 
 
+#: Rows of one task of a forest.
+TASK_ROWS = 20_000
+
+
 def classifier(kind: str, p: Params = Params(), **overrides):
     """Untrained model: multinomial logistic regression or random forest (boosted trees: ``boosting.fit``)."""
     columns = {"featuresCol": "features", "labelCol": "label_index"}
@@ -107,15 +111,21 @@ def train(rows: DataFrame, kind: str, label: str = "class_name", p: Params = Par
     """Fit on (features, label); class names are indexed by name and stored with the model.
 
     The rows are read once per iteration, so they are kept in memory or on disk while the model is fitted;
-    a lost executor's share is computed again.
+    a lost executor's share is computed again. For a forest they are dealt to tasks by their number: each task has
+    sums for all new nodes of all trees, however few its rows, so sums grow with the rows and not with files or splits.
     """
     needed = rows.select("features", label).persist(StorageLevel.MEMORY_AND_DISK)
+    held = [needed]
     try:
+        if kind == "random_forest":
+            needed = needed.repartition(max(1, -(-needed.count() // TASK_ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(needed)
         indexer = StringIndexer(inputCol=label, outputCol="label_index", stringOrderType="alphabetAsc").fit(needed)
         back = IndexToString(inputCol="prediction", outputCol="predicted_name", labels=indexer.labels)
         return Pipeline(stages=[indexer, classifier(kind, p, **overrides), back]).fit(needed)
     finally:
-        needed.unpersist()
+        for kept in held:
+            kept.unpersist()
 
 
 def model_classes(model: PipelineModel, spark) -> DataFrame:

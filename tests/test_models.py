@@ -191,6 +191,24 @@ def test_tables_score_as_in_sql(spark, rows, tmp_path, kind):
             assert got[r["vec_id"]] == pytest.approx(r["probability"].toArray().tolist(), abs=1e-9)
 
 
+def test_forest_rows_are_dealt_by_their_number(spark, rows, monkeypatch):
+    sizes = []
+
+    class Caught:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, given):
+            sizes.append(sorted(given.groupBy(F.spark_partition_id()).count().toPandas()["count"]))
+
+    full = T.features(rows.select("class_name", F.transform("features", lambda x: F.coalesce(x, F.lit(0.0))).alias("v")), "v").repartition(40)
+    monkeypatch.setattr(T, "Pipeline", Caught)
+    T.train(full, "random_forest")
+    monkeypatch.setattr(T, "TASK_ROWS", 100)
+    T.train(full, "random_forest")
+    assert sizes[0] == [300] and len(sizes[1]) == 3 and sizes[1][0] > 60
+
+
 def test_importances(spark, rows, tmp_path):
     full = T.features(rows.select("vec_id", "class_name", F.transform("features", lambda x: F.coalesce(x, F.lit(0.0))).alias("v")), "v")
     model = T.train(full, "random_forest", numTrees=6, maxDepth=4).stages[1]
