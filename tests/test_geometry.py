@@ -150,6 +150,17 @@ def test_replay_of_a_perspective_crop(spark):
     assert moved(spark, [("crop", (None, None, m, [50, 50]), 1)]) == ([8.333333, 16.666667], (50, 50))
 
 
+def test_a_log_is_replayed_by_columns(spark):
+    schema = f"id int, width int, height int, corners array<array<double>>, transforms {STEP}"
+    m = [[2., 0., 0.], [0., 2., 0.], [0., 0., 1.]]
+    logs = [None, [], [("crop", (None, None, m, [50, 60]), 1)], [("deskew", (None, None, [m[0], None], [7, 8]), 1)], [("crop", (None, None, m[:2], [7]), 1)], [None, ("rotation", (90., None, None, None), None)]]
+    df = X.replay(spark.createDataFrame([(i, 100, 200, [[10., 20.], None], t) for i, t in enumerate(logs)], schema).coalesce(1))
+    assert [(r["moved"][0], r["final_width"], r["final_height"]) for r in df.orderBy("id").collect()] == [
+        ([None, None], None, None), ([10, 20], 100, 200), ([20, 40], 50, 60), ([None, None], 7, 8), ([None, None], 7, None), ([179, 10], 200, 100)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan  # no interpreted fold for each page
+
+
 def test_stable_order(spark):
     steps = [("a", (None,) * 4, 2), ("b", (None,) * 4, None), ("c", (None,) * 4, 2), ("d", (None,) * 4, 1)]
     df = spark.createDataFrame([(steps,)], f"t {STEP}")
