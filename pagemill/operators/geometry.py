@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import quads
 from pagemill.functions.frames import once
 from pagemill.functions.numbers import clamp, first_max_index, ratio, softmax, whole
-from pagemill.operators.quantiles import exact_median
+from pagemill.operators.quantiles import beside, counted, narrowed_medians, split, with_medians
 from pagemill.params import Params
 
 RIGHT_ANGLES = (0, 90, 180, 270)
@@ -161,15 +161,21 @@ def read_sizes(pages: DataFrame, dpi: str, p: Params = Params()) -> DataFrame:
 def skew_estimates(line_angles: DataFrame, pages: DataFrame | None = None, p: Params = Params()) -> DataFrame:
     """Median line angle per page and the share of lines within the tolerance of it.
 
-    Lines are counted per (page, angle), the median is selected from these counts and the lines near it are summed, so a
-    page may have any number of lines and of different angles. Pages without any line (taken from ``pages``) get (0, 0).
+    Lines are counted per (page, angle). A page of few angles is sorted once, and its median and the lines near it are taken
+    from the sorted counts; for others the median is selected first and joined to the counts. So a page may have any number
+    of lines and of different angles. Pages without any line (taken from ``pages``) get (0, 0).
     """
     angle = F.col("theta") - 90
     folded = F.when(angle < -45, angle + 90).when(angle > 45, angle - 90).otherwise(angle)
-    angles = line_angles.where("theta IS NOT NULL").select("page_key", folded.alias("angle"))
-    counts = angles.groupBy("page_key", "angle").agg(F.count(F.lit(1)).alias("n"))
-    near = F.sum(F.when(F.abs(F.col("angle") - F.col("median")) <= p.deskew_tolerance, F.col("n")).otherwise(0)).alias("inliers")
-    grouped = counts.join(exact_median(angles, ["page_key"], "angle"), "page_key").groupBy("page_key", "median").agg(near, F.sum("n").alias("lines"))
+    key = ["page_key"]
+    few, many = split(counted(line_angles.select(*key, folded.alias("angle")), key, "angle"), key)
+    near = F.sum(F.when(F.abs(F.col("_v") - F.col("median")) <= p.deskew_tolerance, F.col("_n")).otherwise(0))
+    page = Window.partitionBy(*key)
+    grouped = with_medians(few, key).withColumn("inliers", near.over(page)).where("_place = 1").select(
+        *key, "median", "inliers", F.col("_total").alias("lines"))
+    if many is not None:
+        crowded = beside(many, narrowed_medians(many, key), key).groupBy(*key, "median").agg(near.alias("inliers"), F.sum("_n").alias("lines"))
+        grouped = grouped.unionByName(crowded)
     usable = F.abs("median") <= p.deskew_max_angle
     estimates = grouped.select(
         "page_key",

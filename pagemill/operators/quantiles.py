@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,61 @@ RANKED, PARTS = 4096, 64
 def exact_median(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact median per key (mean of the middle two for an even count), also for keys of any size.
 
-    Rows are counted per (key, value), pre-aggregated before the shuffle. While the values that may be a key's middle are
-    more than ``RANKED``, they are cut into ``PARTS`` at approximate quantiles and counted per part, and only the parts
-    that hold the middle ranks stay; each pass leaves about a thirtieth, whatever the distribution, and sorts nothing.
-    The last few values are ranked. A key without values has no row.
+    Rows are counted per (key, value), pre-aggregated before the shuffle. A key of at most ``RANKED`` values is ranked;
+    the values of others are narrowed first (see ``narrowed_medians``). A key without values has no row.
     """
+    few, many = split(counted(rows, keys, value), keys)
+    found = with_medians(few, keys).where("_place = 1").select(*keys, "median")
+    return found if many is None else found.unionByName(narrowed_medians(many, keys))
+
+
+def counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Rows (``_n``) per key and present value (``_v``), checkpointed."""
     shared_dir(rows.sparkSession)
     present = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    counts = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    return present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+
+
+def split(counts: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The counts of keys that a window may rank, and those of wider keys (None without any).
+
+    Only wide keys are joined, and at most one in ``RANKED`` counts has one, so the usual case joins and sorts nothing here.
+    """
+    wide = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_distinct")).where(F.col("_distinct") > RANKED).drop("_distinct").checkpoint()
+    if wide.isEmpty():
+        return counts, None
+    if not keys:
+        return counts.where("false"), counts
+    return beside(counts, wide, keys, "left_anti"), beside(counts, wide, keys, "left_semi")
+
+
+def beside(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys of which a null equals a null, as in a grouping."""
+    named = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return left.join(named, same, how).drop(*[f"_key_{k}" for k in keys])
+
+
+def with_medians(few: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of keys of at most ``RANKED`` values beside ``median``, rows of the key (``_total``) and place among its values
+    (``_place``, from 1): one sort, and no aggregation or join after it."""
+    own = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_v")
+    whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = few.withColumns({"_upto": F.sum("_n").over(own), "_total": F.sum("_n").over(whole), "_place": F.row_number().over(own)})
+
+    def at(rank: str) -> Column:
+        return F.min(F.when(F.col("_upto") >= F.expr(rank), F.col("_v"))).over(whole)
+
+    return placed.withColumn("median", (at("(_total + 1) div 2") + at("(_total + 2) div 2")) / 2).drop("_upto")
+
+
+def narrowed_medians(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact median per key from counts, for keys with any number of values.
+
+    While the values that may be a key's middle are more than ``RANKED``, they are cut into ``PARTS`` at approximate
+    quantiles and counted per part, and only the parts that hold the middle ranks stay; each pass leaves about a thirtieth,
+    whatever the distribution, and sorts nothing. The last few values are ranked.
+    """
     whole = counts.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"), F.count(F.lit(1)).alias("_distinct"))
     bounds = whole.where("_total IS NOT NULL").withColumn("_below", F.lit(0).cast("bigint")).checkpoint()
     while not (wide := bounds.where(F.col("_distinct") > RANKED)).isEmpty():
@@ -41,7 +90,7 @@ def _inside(counts: DataFrame, bounds: DataFrame, keys: list[str]) -> DataFrame:
     """The counted values within their key's bounds; a single group's bounds are one value, so nothing is joined."""
     own = [c for c in bounds.columns if c not in keys]
     if keys:
-        joined = counts.join(bounds, keys)
+        joined = beside(counts, bounds, keys)
     else:
         box = bounds.select(F.struct(*own)).scalar()
         joined = counts.withColumns({c: box[c] for c in own})
@@ -52,7 +101,7 @@ def _narrowed(inside: DataFrame, keys: list[str]) -> DataFrame:
     """New bounds: the parts that hold the middle ranks."""
     cuts = inside.groupBy(*keys).agg(F.percentile_approx("_v", [i / PARTS for i in range(1, PARTS)], 100 * PARTS).alias("_cuts"))
     if keys:
-        cut = inside.join(cuts, keys)
+        cut = beside(inside, cuts, keys)
     else:
         cut = inside.withColumn("_cuts", cuts.select("_cuts").scalar())
     part = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))

@@ -57,6 +57,29 @@ def test_skew_of_any_angles(spark):
         assert found[k]["skew_confidence"] == pytest.approx(sum(abs(a - median) <= 1 for a in angles) / len(angles))
 
 
+def test_skew_joins_nothing_for_pages_of_few_angles(spark):
+    lines = spark.range(3000).select((F.col("id") % 700).alias("page_key"), (F.col("id") * 7 % 180).cast("double").alias("theta"))
+    plan = G.skew_estimates(lines)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Scan Existing" in plan and plan.count("ExistingRDD") == 1  # the counts, read once
+
+
+@pytest.mark.parametrize("ranked", [3, 40, 4096])
+def test_skew_of_few_and_many_angles_and_of_no_page_key(spark, monkeypatch, ranked):
+    monkeypatch.setattr(Q, "RANKED", ranked)
+    monkeypatch.setattr(Q, "PARTS", 8)
+    rng = random.Random(11)
+    sizes = {1: 1, 2: 3, 3: 4, 4: 300, 5: 41, None: 60}
+    thetas = {k: [float(rng.randrange(860, 940)) / 10 for _ in range(n)] for k, n in sizes.items()}
+    frame = spark.createDataFrame([(k, t) for k, values in thetas.items() for t in values], "page_key long, theta double").repartition(3)
+    found = {r["page_key"]: r for r in G.skew_estimates(frame).collect()}
+    assert found.keys() == sizes.keys()
+    for k, values in thetas.items():
+        angles = [t - 90 for t in values]
+        median = statistics.median(angles)
+        assert found[k]["skew_angle"] == pytest.approx(median) and found[k]["lines"] == sizes[k]
+        assert found[k]["skew_confidence"] == pytest.approx(sum(abs(a - median) <= 1 for a in angles) / len(angles))
+
+
 def test_class_indices_need_no_global_window(spark):
     files = spark.range(3000).select(F.concat(F.lit("c"), F.lpad(F.col("id") % 700, 4, "0")).alias("class_name"))
     found = T.class_indices(files)
