@@ -63,21 +63,24 @@ def decided_results(documents: DataFrame, results: DataFrame, p: Params = Params
 
     A document is decided when every expected page has a result, or ``p.document_deadline_s`` after its first result
     (by ``ts_us``), whichever is first; what comes later does not count. A document without any result has reached its
-    deadline. Only each row's own time counts, never the order in which rows arrive. Pages are reduced before documents,
-    so a huge document is spread over its pages.
+    deadline. Only each row's own time counts, never the order in which rows arrive. The decision is made from the first
+    time of each page, reduced before the shuffle; whole results move once, by page, and are sorted once, so a huge
+    document is spread over its pages.
     """
     deadline = p.document_deadline_s * 1_000_000
-    starts = results.groupBy("document_id").agg(F.min("ts_us").alias("first_us"))
-    timely = results.join(starts, "document_id").where(F.col("ts_us") <= F.col("first_us") + deadline)
-    known = timely.join(documents.select("document_id", "num_pages"), "document_id").where(F.col("page_index").between(0, F.col("num_pages") - 1))
-    reached = known.groupBy(*PAGE).agg(F.min("ts_us").alias("_at")).groupBy("document_id").agg(
-        F.count(F.lit(1)).alias("_pages"), F.max("_at").alias("_complete_us"))
+    firsts = results.groupBy(*PAGE).agg(F.min("ts_us").alias("_at"))
+    starts = firsts.groupBy("document_id").agg(F.min("_at").alias("first_us"))
+    sizes = documents.select("document_id", "num_pages").distinct()
+    timely = firsts.join(starts, "document_id").join(sizes, "document_id").where(
+        (F.col("_at") <= F.col("first_us") + deadline) & F.col("page_index").between(0, F.col("num_pages") - 1)).select(*PAGE, "_at")
+    reached = timely.groupBy("document_id").agg(F.count(F.lit(1)).alias("_pages"), F.max("_at").alias("_complete_us"))
     judged = documents.join(starts, "document_id", "left").join(reached, "document_id", "left")
     late = F.coalesce(F.col("_pages"), F.lit(0)) < F.col("num_pages")
     decided = F.when(late, F.col("first_us") + deadline).otherwise(F.coalesce("_complete_us", "first_us"))
     judged = judged.withColumns({"timeout_reached": late, "_decided_us": decided}).withColumn(
         "processing_time", rounded((F.col("_decided_us") - F.col("first_us")) / 1_000_000, 3))
-    counted = known.drop("num_pages", "first_us").join(judged.select("document_id", "_decided_us"), "document_id").where("ts_us <= _decided_us")
+    due = timely.join(judged.select("document_id", "_decided_us"), "document_id").where("_at <= _decided_us").drop("_at")
+    counted = results.join(due, PAGE).where("ts_us <= _decided_us")
     return judged.drop("first_us", "_pages", "_complete_us", "_decided_us"), latest_results(counted.drop("_decided_us"))
 
 

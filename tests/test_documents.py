@@ -1,5 +1,8 @@
 """Documents, failed messages, recovery and tasks on literal rows."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +72,40 @@ def test_decision_by_time(spark):
     assert sorted(r["document_type"] for r in counted.collect()) == ["t2", "t3", "t5", "t6"]
 
 
+def test_whole_results_are_sorted_once_for_the_decision(spark):
+    """They are joined by page, in the order the newest of a page is taken in."""
+    documents = spark.createDataFrame([(1, 2, "a")], "document_id bigint, num_pages bigint, filename string")
+    results = spark.range(9).selectExpr(
+        "id AS result_id", "id % 3 AS document_id", "id AS page_index", "'t' AS document_type", "0.9D AS confidence", "CAST(NULL AS STRING) AS error", "id AS ts_us")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = D.decided_results(documents, results)[1]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortAggregate" in plan and not re.search(r"SortAggregate\(.*\n\W*(\(\d+\) )?Sort \[", plan)
+
+
+def test_decisions_of_random_results(spark):
+    rng, s = random.Random(5), 1_000_000
+    sizes = {d: rng.randrange(4) for d in range(40)}
+    rows = [(i, rng.randrange(40), rng.choice([0, 0, 1, 1, 2, 3, -1, None]), f"t{i}", .9, None, rng.choice([None, *range(0, 450 * s, 25 * s)])) for i in range(300)]
+    documents = spark.createDataFrame([(d, n, "f") for d, n in sizes.items()], "document_id bigint, num_pages bigint, filename string")
+    judged, counted = D.decided_results(documents, spark.createDataFrame(rows, RESULT).repartition(3))
+    late, newest = {}, {}
+    for d, n in sizes.items():
+        mine = [(r[6], r[0], r[2]) for r in rows if r[1] == d and r[6] is not None]
+        first = min((r[0] for r in mine), default=None)
+        timely = [r for r in mine if r[2] is not None and 0 <= r[2] < n and r[0] <= first + 300 * s]
+        reached = {k: min(r[0] for r in timely if r[2] == k) for k in {r[2] for r in timely}}
+        late[d] = len(reached) < n
+        end = first if not reached and not late[d] else None if first is None else first + 300 * s if late[d] else max(reached.values())
+        for r in sorted(r for r in timely if r[0] <= end):
+            newest[d, r[2]] = r[1]
+    assert {r["document_id"]: r["timeout_reached"] for r in judged.collect()} == late
+    assert {(r["document_id"], r["page_index"]): r["result_id"] for r in counted.collect()} == newest
+
+
 @pytest.mark.parametrize("pages", [3, 20_001])
 def test_records_look_alike_at_any_size(spark, pages):
     """Every third page is missing; counts, message and blocks have one form for short and long documents."""
