@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from pagemill.functions.numbers import rounded
@@ -139,19 +142,29 @@ def stored_records(s, d):
     checks = "CAST(CASE WHEN doc_id % 2 = 0 THEN array(named_struct('position', CAST(NULL AS ARRAY<DOUBLE>), 'checked', true, 'confidence', 0.5D)) END AS ARRAY<STRUCT<position: ARRAY<DOUBLE>, checked: BOOLEAN, confidence: DOUBLE>>)"
     measured = flags(s, d).withColumns({"input_path": F.concat(F.lit("in/"), F.col("page_key").cast("string")), "processed_path": F.concat(F.lit("out/"), F.col("page_key").cast("string"))})
     logs = parse_transform_logs(B.transform_logs(s, d), ["page_key"]).withColumn("output_original_path", F.when(F.col("page_key") % 2 == 0, F.concat(F.lit("orig/"), F.col("page_key").cast("string"))))
-    K.write_page_records(pages.withColumn("checkboxes", F.expr(checks)), base, ["doc_id", "page_index"], "features")
-    K.write_page_records(measured, base, KEYS, "flags")
-    K.write_page_records(measured, base, KEYS, "preprocessing")
-    K.write_page_records(logs, base, KEYS[1:], "transforms")
-    part = lambda path, kind: F.try_variant_get("record", path, kind)
-    size = lambda path: F.size(part(path, "array<variant>"))
-    of = lambda **kinds: F.coalesce(*[F.when(F.col("kind") == k, v.cast("string")) for k, v in kinds.items()])
-    return K.read_page_records(s, base, "doc_id bigint, page_index bigint, page_key bigint, line_key bigint").select(
+    writes = [(pages.withColumn("checkboxes", F.expr(checks)), ["doc_id", "page_index"], "features"), (measured, KEYS, "flags"),
+              (measured, KEYS, "preprocessing"), (logs, KEYS[1:], "transforms")]
+    with ThreadPoolExecutor(len(writes)) as pool:  # side by side, so that cores left by the last tasks of one kind work on the next
+        for done in [pool.submit(inheritable_thread_target(s)(K.write_page_records), rows, base, keys, kind) for rows, keys, kind in writes]:
+            done.result()
+    # A record is cast once, to the fields named here; a field that it has not is null.
+    fields = {
+        "features": "ocr_lines: array<struct<text: string>>, checkboxes: array<struct<position: array<bigint>>>",
+        "flags": "final_resolution: array<variant>, crop_margins: struct<top: bigint>, rotated: boolean",
+        "preprocessing": "capture_info: struct<type: string>, processed_path: string, status: string",
+        "transforms": "transforms: array<struct<transform_type: string>>, output_original_path: string",
+    }
+    back = K.read_page_records(s, base, "doc_id bigint, page_index bigint, page_key bigint, line_key bigint").select(
         "kind", F.coalesce("doc_id", "page_key").alias("page"), F.coalesce("page_index", "line_key").alias("part"),
-        of(features=size("$.ocr_lines"), flags=size("$.final_resolution"), preprocessing=part("$.capture_info.type", "string"), transforms=size("$.transforms")).alias("first"),
-        of(features=part("$.ocr_lines[0].text", "string"), flags=part("$.crop_margins.top", "bigint"), preprocessing=part("$.processed_path", "string"),
-           transforms=part("$.transforms[0].transform_type", "string")).alias("second"),
-        of(features=part("$.checkboxes[0].position[3]", "bigint"), flags=part("$.rotated", "string"), preprocessing=part("$.status", "string"), transforms=part("$.output_original_path", "string")).alias("third"))
+        *[F.when(F.col("kind") == k, F.try_variant_get("record", "$", f"struct<{f}>")).alias(k) for k, f in fields.items()])
+    of = lambda **kinds: F.coalesce(*[F.when(F.col("kind") == k, v.cast("string")) for k, v in kinds.items()])
+    item = lambda column, i=0: F.get(F.col(column), F.lit(i))
+    return back.select(
+        "kind", "page", "part",
+        of(features=F.size("features.ocr_lines"), flags=F.size("flags.final_resolution"), preprocessing=F.col("preprocessing.capture_info.type"), transforms=F.size("transforms.transforms")).alias("first"),
+        of(features=item("features.ocr_lines")["text"], flags=F.col("flags.crop_margins.top"), preprocessing=F.col("preprocessing.processed_path"),
+           transforms=item("transforms.transforms")["transform_type"]).alias("second"),
+        of(features=F.get(item("features.checkboxes")["position"], F.lit(3)), flags=F.col("flags.rotated"), preprocessing=F.col("preprocessing.status"), transforms=F.col("transforms.output_original_path")).alias("third"))
 
 
 QUERIES["stored_records"] = stored_records
