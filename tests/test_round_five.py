@@ -41,4 +41,4 @@ def test_a_log_is_the_text_that_to_json_gives(spark, tmp_path):
         {"transform_type": "deskew", "params": {"transform_matrix": [[1, 0, 2], [0, 1, 4]], "output_size": [4468, 2858]}, "order": 2},
         {"transform_type": "rotation", "params": {"angle": 90, "rotation_type": "standard"}},
         {"transform_type": "crop", "params": {"transform_matrix": [[2, 0, 0], [0, 2, 0], [0, 2 / 8192, 1]], "output_size": [4468, 2858]}, "order": 1}]}
-    assert "to_json" not in logs._jdf.queryExecution().optimizedPlan().toString()
+    assert "to_json" not in logs._jdf.queryExecution().analyzed().toString()
